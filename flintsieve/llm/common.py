@@ -1,4 +1,4 @@
-"""What several text operators share: the shared folder, ranges of a key, and a bounded hash filter."""
+"""What several text operators share: the shared folder, ranges of a key, and small batches for Python workers."""
 
 from __future__ import annotations
 
@@ -37,6 +37,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Arrow batches of few rows, as one text can be long; it changes the speed of a session only, never a result."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def range_bounds(df: DataFrame, key: str, n: int) -> list[int]:
     """At most n - 1 cut points that deal the rows of df out evenly by an integer key."""
     if n < 2:
@@ -46,36 +51,13 @@ def range_bounds(df: DataFrame, key: str, n: int) -> list[int]:
     return sorted(set(row["p"] or []))
 
 
-def range_of(key: str, bounds: list[int]) -> Column:
+def range_of(key: Column, bounds: list[int]) -> Column:
     """Index of the range that holds the key (ascending with it); null keys are in the first."""
     if not bounds:
         return F.lit(0)
     cuts = F.array(*[F.lit(int(b)) for b in bounds])
-    return F.when(F.col(key).isNull(), F.lit(0)).otherwise(F.size(F.filter(cuts, lambda b: b <= F.col(key))))
-
-
-BITS = 1 << 20
-
-
-def hash_slot(value: Column, bits: int = BITS) -> Column:
-    return F.pmod(F.xxhash64(value), F.lit(bits)).cast("int")
-
+    return F.when(key.isNull(), F.lit(0)).otherwise(F.size(F.filter(cuts, lambda b: b <= key)))
 
-def hash_filter(df: DataFrame, column: str, bits: int = BITS):
-    """A test that is true for every value in df's column and false for most others.
 
-    It is a bit field of fixed size (bits / 8 bytes) built by Spark, whatever the number of values is;
-    exact joins follow it, so it only saves shuffling and never decides.
-    """
-    rows = (
-        df.select(hash_slot(F.col(column), bits).alias("slot")).distinct()
-        .groupBy((F.col("slot") / 64).cast("int").alias("word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, slot % 64)")).alias("mask"))
-        .collect()
-    )
-    words = [0] * (bits // 64)
-    for r in rows:
-        words[r["word"]] = r["mask"]
-    spark = df.sparkSession
-    field = F.lit(spark.sparkContext._gateway.jvm.PythonSQLUtils.castTimestampNTZToLong) if False else F.array(*map(F.lit, words))
-    return field
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
