@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import heapq
 import json
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,12 @@ SHORT = 96
 KEPT, KEPT_CHARS = 600_000, 48
 _SPACE = r"\t-\r \x85\xa0  -     　"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
-_NONE = 1 << 30
+#: Bits of an id, and what stands for the rank of a pair that is never merged.
+_BITS = 20
+_NONE = 1 << 60
+_MASK = (1 << _BITS) - 1
+#: After a word of letters alone, each of these is a word of its own.
+_MARKS = frozenset(".,;:!?|")
 
 
 def byte_letters() -> dict[str, int]:
@@ -46,11 +52,11 @@ class ByteBpe:
         to_bytes = lambda s: bytes(letters[c] for c in s)
         vocab = t["model"]["vocab"]
         self.ids = {to_bytes(k): v for k, v in vocab.items()}
-        # The rank of a pair and the id it becomes, by the ids of the pair.
-        self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
+        # By the two ids of a pair: its rank, and in the low bits the id it becomes.
+        self.pairs: dict[int, int] = {}
         for rank, m in enumerate(t["model"]["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ")
-            self.pairs.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
+            self.pairs.setdefault(vocab[a] << _BITS | vocab[b], rank << _BITS | vocab[a + b])
         self.byte_ids = [self.ids[bytes([b])] for b in range(256)]
         self.special = {x["content"]: x["id"] for x in t["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
@@ -72,43 +78,51 @@ class ByteBpe:
         if len(word) > SHORT:
             return self.merge_long(word)
         parts = [self.byte_ids[b] for b in word]
-        pairs, none = self.pairs, (_NONE, 0)
-        ranks = [pairs.get(p, none) for p in zip(parts, parts[1:])]
+        rank = self.pairs.get
+        ranks = [rank(a << _BITS | b, _NONE) for a, b in zip(parts, parts[1:])]
         while ranks:
             least = min(ranks)
-            if least is none or least[0] == _NONE:
+            if least == _NONE:
                 break
             i = ranks.index(least)
-            parts[i] = least[1]
+            parts[i] = new = least & _MASK
             del parts[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = pairs.get((parts[i - 1], parts[i]), none)
+                ranks[i - 1] = rank(parts[i - 1] << _BITS | new, _NONE)
             if i < len(ranks):
-                ranks[i] = pairs.get((parts[i], parts[i + 1]), none)
+                ranks[i] = rank(new << _BITS | parts[i + 1], _NONE)
         return parts
 
     def merge_long(self, word: bytes) -> list[int]:
         parts = [self.byte_ids[b] for b in word]
-        n, pairs = len(parts), self.pairs
+        n, rank = len(parts), self.pairs.get
         after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        heap = [(p[0], i, parts[i], parts[i + 1], p[1]) for i in range(n - 1) if (p := pairs.get((parts[i], parts[i + 1])))]
+        heap = [(p, i, parts[i], parts[i + 1]) for i in range(n - 1) if (p := rank(parts[i] << _BITS | parts[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b, new = heapq.heappop(heap)
+            p, i, a, b = heapq.heappop(heap)
             j = after[i]
             if not alive[i] or j >= n or parts[i] != a or parts[j] != b:
                 continue
-            parts[i], alive[j], after[i] = new, False, after[j]
+            parts[i], alive[j], after[i] = p & _MASK, False, after[j]
             if after[j] < n:
                 before[after[j]] = i
             for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y < n and (p := pairs.get((parts[x], parts[y]))):
-                    heapq.heappush(heap, (p[0], x, parts[x], parts[y], p[1]))
+                if x >= 0 and y < n and (p := rank(parts[x] << _BITS | parts[y])) is not None:
+                    heapq.heappush(heap, (p, x, parts[x], parts[y]))
         return [p for p, live in zip(parts, alive) if live]
 
     def _slow(self, text: str) -> bytes:
         merge = self.merge
-        return np.array([i for w in self.words.findall(text) for i in merge(w.encode())], np.uint32).tobytes()
+        return array("I", [i for w in self.words.findall(text) for i in merge(w.encode())]).tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        """Ids of a space and the chunk after it."""
+        if chunk.isalpha():
+            return array("I", self.merge(b" " + chunk.encode())).tobytes()
+        if chunk[-1] in _MARKS and (word := chunk[:-1]).isalpha():
+            return (self.kept.get(word) or self._chunk(word)) + array("I", [self.byte_ids[ord(chunk[-1])]]).tobytes()
+        return self._slow(" " + chunk)
 
     def _plain(self, text: str) -> bytes:
         """Ids of text without special tokens. A lone space between two other characters always begins a word of the
@@ -131,7 +145,7 @@ class ByteBpe:
             new = set(chunks)
         rare = {}
         for c in new:
-            (kept if len(c) <= KEPT_CHARS else rare)[c] = self._slow(" " + c)
+            (kept if len(c) <= KEPT_CHARS else rare)[c] = self._chunk(c)
         return self._slow(first) + b"".join([kept[c] if c in kept else rare[c] for c in chunks])
 
     def encode(self, text: str) -> np.ndarray:
