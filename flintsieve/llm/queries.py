@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flintsieve.llm import bpe, token_store, url_filter, word_pieces
+from flintsieve.llm import bpe, pii, secrets, set_hash, token_store, url_filter, word_pieces
 from flintsieve.llm.common import documents
 
 #: Rules of the URL query: action, host, path.
@@ -27,11 +27,23 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(documents(spark, sf_dir))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return word_pieces.count_tokens(docs, vocabulary("piece_bpe_32k.model")).select("doc_id", "n_words", "n_tokens")
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(documents(spark, sf_dir))
+
+
+def op9_set_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_hash.fingerprints(documents(spark, sf_dir))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     rules = spark.createDataFrame(URL_RULES, "action string, host string, path string")
@@ -53,5 +65,5 @@ SELECT page_id, hp.host, hp.path, rule, coalesce(action, 'allow') AS verdict
 FROM hp LEFT JOIN best ON hp.host = best.host AND hp.path = best.path
 """
 
-QUERIES = {"op1_token_store": op1_token_store, "op4_bpe": op4_bpe, "op6_token_counts": op6_token_counts, "op10_url_filter": op10_url_filter}
+QUERIES = {"op1_token_store": op1_token_store, "op4_bpe": op4_bpe, "op5_pii": op5_pii, "op6_token_counts": op6_token_counts, "op8_secrets": op8_secrets, "op9_set_hash": op9_set_hash, "op10_url_filter": op10_url_filter}
 SQL = {"op10_url_filter": OP10_SQL}
