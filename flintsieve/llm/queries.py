@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flintsieve.llm import bpe, pii, secrets, set_hash, token_store, url_filter, word_pieces
+from flintsieve.llm import bpe, language_id, pii, secrets, set_hash, token_store, url_filter, word_pieces
 from flintsieve.llm.common import documents
 
 #: Rules of the URL query: action, host, path.
@@ -36,6 +36,13 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_pieces.count_tokens(docs, vocabulary("piece_bpe_32k.model")).select("doc_id", "n_words", "n_tokens")
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    out = language_id.held_out(F.col("doc_id"))
+    models = language_id.train(docs.where(~out), vocabulary("piece_bpe_32k.model"))
+    return language_id.identify(docs.select("doc_id", out.alias("held_out"), "text"), models).drop("text")
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(documents(spark, sf_dir))
 
@@ -65,5 +72,5 @@ SELECT page_id, hp.host, hp.path, rule, coalesce(action, 'allow') AS verdict
 FROM hp LEFT JOIN best ON hp.host = best.host AND hp.path = best.path
 """
 
-QUERIES = {"op1_token_store": op1_token_store, "op4_bpe": op4_bpe, "op5_pii": op5_pii, "op6_token_counts": op6_token_counts, "op8_secrets": op8_secrets, "op9_set_hash": op9_set_hash, "op10_url_filter": op10_url_filter}
+QUERIES = {"op1_token_store": op1_token_store, "op4_bpe": op4_bpe, "op5_pii": op5_pii, "op6_token_counts": op6_token_counts, "op7_language": op7_language, "op8_secrets": op8_secrets, "op9_set_hash": op9_set_hash, "op10_url_filter": op10_url_filter}
 SQL = {"op10_url_filter": OP10_SQL}
