@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flintsieve.llm import bpe, decontaminate, language_id, pii, secrets, set_hash, token_store, url_filter, word_pieces
+from flintsieve.llm import bpe, decontaminate, jaccard_join, language_id, pii, secrets, set_hash, token_store, url_filter, word_pieces
 from flintsieve.llm.common import documents
 
 #: Rules of the URL query: action, host, path.
@@ -27,6 +27,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_groups(documents(spark, sf_dir), words=4, percent=85)
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
@@ -76,5 +80,5 @@ SELECT page_id, hp.host, hp.path, rule, coalesce(action, 'allow') AS verdict
 FROM hp LEFT JOIN best ON hp.host = best.host AND hp.path = best.path
 """
 
-QUERIES = {"op1_token_store": op1_token_store, "op2_decontaminate": op2_decontaminate, "op4_bpe": op4_bpe, "op5_pii": op5_pii, "op6_token_counts": op6_token_counts, "op7_language": op7_language, "op8_secrets": op8_secrets, "op9_set_hash": op9_set_hash, "op10_url_filter": op10_url_filter}
+QUERIES = {"op1_token_store": op1_token_store, "op2_decontaminate": op2_decontaminate, "op3_jaccard_join": op3_jaccard_join, "op4_bpe": op4_bpe, "op5_pii": op5_pii, "op6_token_counts": op6_token_counts, "op7_language": op7_language, "op8_secrets": op8_secrets, "op9_set_hash": op9_set_hash, "op10_url_filter": op10_url_filter}
 SQL = {"op10_url_filter": OP10_SQL}
