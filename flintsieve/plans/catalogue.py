@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from flintsieve.plans import code_queries
+
+QUERIES = dict(code_queries.QUERIES)
+SQL = dict(code_queries.SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/part.parquet").groupBy("p_brand").count()
+    return code_queries.ranked_functions(spark, sf_dir)
