@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flintsieve.plans import code_queries
+from flintsieve.plans import code_queries, score_queries
 
-QUERIES = dict(code_queries.QUERIES)
-SQL = dict(code_queries.SQL)
+_MODULES = (code_queries, score_queries)
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
