@@ -52,7 +52,12 @@ SUM = r"(?i)^[+-]?(?:0x[0-9a-f]+|\d+)(?:[+-](?:0x[0-9a-f]+|\d+))*$"
 HIGH, MEDIUM = 0.85, 0.65
 ALWAYS_UNBOUNDED = "strcpy strcat gets sprintf vsprintf".split()
 
-# Names of runtime helpers and of library functions, and beginnings of runtime names.
+# Calls that may be findings; of them copies with a bound; words of safe evidence.
+FINDABLE = "strcpy strcat gets sprintf vsprintf memcpy memmove strncpy strncat scanf sscanf fscanf read recv recvfrom snprintf vsnprintf wcscpy wcscat wmemcpy wmemmove".split()
+COPIES = "memcpy memmove strncpy strncat scanf sscanf fscanf read recv recvfrom".split()
+SAFE_WORDS = "safe_proof strong_guard size_lt_dst size_eq_dst size_le_dst sizeof guard bound check literal_copy_safe".split()
+
+# Beginnings of runtime names.
 RUNTIME_PREFIXES = ["__x86.get_pc_thunk", "__libc_", "__cxa_", "__gmon_", "_Unwind_"]
 
 # Share of each group among selected features, bonus of a group, weight of a group.
