@@ -72,7 +72,7 @@ class Index:
     def ids(self, text: str) -> np.ndarray:
         """Term ids of the words of a text, -1 for words that no item has."""
         chunks, kept = text.lower().split(), self.kept
-        for c in set(chunks) - kept.keys():
+        for c in {c for c in chunks if c not in kept}:
             words = _WORD.findall(c)
             if len(words) > 1 or len(c) > KEPT_CHARS or len(kept) >= KEPT:
                 if len(kept) >= KEPT:

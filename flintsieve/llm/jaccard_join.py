@@ -47,7 +47,7 @@ def grams(text: str, n: int) -> np.ndarray:
     try:
         h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
     except KeyError:
-        for w in set(words) - _WORDS.keys():
+        for w in {w for w in words if w not in _WORDS}:
             _WORDS[w] = xxhash.xxh3_64_intdigest(w)
         h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
     size = min(n, len(h))
