@@ -43,8 +43,8 @@ def group_split(df: DataFrame, group: str, label: str, seed: int = 42, parts: di
         have[k][0] += r["n0"]
         have[k][1] += r["n1"]
         placed.append((r[group], names[k]))
-    table = df.sparkSession.createDataFrame(placed, df.select(F.col(group).alias("g"), F.lit("").alias("partition")).schema)
-    return df.join(F.broadcast(table), F.col(group) == F.col("g")).drop("g")
+    table = df.sparkSession.createDataFrame(placed, df.select(F.col(group).alias("_group"), F.lit("").alias("partition")).schema)
+    return df.join(F.broadcast(table), F.col(group) == F.col("_group")).drop("_group")
 
 
 def split_report(df: DataFrame, group: str, label: str) -> DataFrame:
