@@ -12,9 +12,11 @@ from flintsieve.functions import constants as C
 from flintsieve.functions import text as T
 
 
-def call_sites(functions: DataFrame) -> DataFrame:
+def call_sites(functions: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """One row for each line of a function that calls a known name: arguments, sizes, source and guard.
 
+    keep: of ls (lines) and buffers, what stays beside them.
+
     Narrow: lines are exploded where the function lies, after lines without a call are dropped.
     """
     known = sorted({*C.DANGEROUS, *C.BOUNDED, *C.INPUT, *C.LENGTH, *C.INIT})
@@ -28,7 +30,7 @@ def call_sites(functions: DataFrame) -> DataFrame:
     df = df.withColumns({"dst": T.buffer_of(F.col("buffers"), F.col("dst_var")), "src": T.buffer_of(F.col("buffers"), F.col("src_var"))})
     df = df.withColumns({
         "dst_is_local_buffer": F.col("dst").isNotNull(), "dst_buffer_size": F.coalesce("dst.byte_size", F.lit(0).cast("long")),
-        "src_size_est": F.coalesce("src.byte_size", T.literal_length(F.col("src_arg")) + 1, F.lit(0).cast("long")),
+        "src_size_est": F.coalesce(T.literal_length(F.col("src_arg")), "src.byte_size", F.lit(0).cast("long")),
         "src_origin": T.source_origin(F.col("src_arg"), F.col("buffers"), F.col("params")),
         "guard": T.guard(T.window(F.col("ls"), F.col("line_index"), 8), F.col("dst_var"), F.col("src_var"), F.col("size_arg")),
     })
@@ -42,7 +44,7 @@ def call_sites(functions: DataFrame) -> DataFrame:
         "size_to_dst_ratio": F.when(sized, F.col("size_value") / F.col("dst_buffer_size")).otherwise(0.0),
     }).select(
         "fn", "function", "line_index", F.trim("line").alias("line"), "api", "args", *places, "dst_var", "src_var", "dst_is_local_buffer", "dst_buffer_size", "src_size_est",
-        "src_origin", "size_value", "size_expr_known", "size_gt_dst", "src_gt_dst", "overflow_margin", "size_to_dst_ratio", "guard.*",
+        "src_origin", "size_value", "size_expr_known", "size_gt_dst", "src_gt_dst", "overflow_margin", "size_to_dst_ratio", "guard.*", *(keep or []),
     )
 
 

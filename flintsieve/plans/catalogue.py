@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flintsieve.plans import code_queries, feature_queries, model_queries, score_queries
+from flintsieve.plans import code_queries, context_queries, feature_queries, model_queries, score_queries
 
-_MODULES = (code_queries, score_queries, feature_queries, model_queries)
+_MODULES = (code_queries, context_queries, score_queries, feature_queries, model_queries)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
 

@@ -43,11 +43,11 @@ sized AS (SELECT v.*, d.name IS NOT NULL AS dst_is_local_buffer, coalesce(d.byte
   FROM vars v LEFT JOIN buffers d ON v.fn = d.fn AND v.dst_var = d.name LEFT JOIN buffers s ON v.fn = s.fn AND v.src_var = s.name),
 valued AS (SELECT *, CASE WHEN regexp_matches(bare, '{C.SUM}') THEN list_sum(list_transform(regexp_extract_all(bare, '[+-]?(0x[0-9a-fA-F]+|\d+)'),
     lambda t: CASE WHEN t[1] = '-' THEN -1 ELSE 1 END * CAST(ltrim(t, '+-') AS BIGINT))) END AS total,
-    CASE WHEN is_literal THEN literal_length + 1 ELSE 0 END AS literal_size,
+    CASE WHEN is_literal THEN literal_length ELSE 0 END AS literal_size,
     CASE WHEN is_literal THEN 'literal' WHEN src_var = 'param_1' THEN 'parameter' WHEN src_local THEN 'local_buffer' WHEN src_var <> '' THEN 'local_or_unknown' ELSE 'unknown' END AS src_origin FROM sized),
 guards AS (SELECT v.fn, v.line_index, coalesce(string_agg(lower(l.line) || chr(10), '' ORDER BY l.line_index), '') AS low
   FROM valued v LEFT JOIN lines l ON l.fn = v.fn AND l.line_index BETWEEN v.line_index - 8 AND v.line_index - 1 GROUP BY v.fn, v.line_index),
-tests AS (SELECT v.* EXCLUDE (total), CAST(coalesce(CASE WHEN total >= 0 THEN total END, 0) AS BIGINT) AS size_value, total IS NOT NULL AND total >= 0 AS size_expr_known,
+tests AS (SELECT v.* EXCLUDE (total), low, CAST(coalesce(CASE WHEN total >= 0 THEN total END, 0) AS BIGINT) AS size_value, total IS NOT NULL AND total >= 0 AS size_expr_known,
     contains(low, 'if') AS has_if, regexp_matches(low, '[<>]|==|!=') AS has_cmp, regexp_matches(low, 'strlen|wcslen|strnlen|wcsnlen|sizeof') AS has_len, regexp_matches(low, 'len|size|count|bound') AS has_word,
     dst_var <> '' AND contains(low, lower(dst_var)) AS m_dst, src_var <> '' AND contains(low, lower(src_var)) AS m_src, size_arg <> '' AND contains(low, lower(size_arg)) AS m_size,
     src_var <> '' AND contains(low, 'strlen(' || lower(src_var) || ')') AS u_len, dst_var <> '' AND contains(low, 'sizeof(' || lower(dst_var) || ')') AS u_size
