@@ -26,6 +26,8 @@ TOKEN = r"[A-Za-z0-9+/_-]{20,}+"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
 #: Documents that the model of ordinary tokens is trained on, about; the least mean log-likelihood ratio of a step.
 SAMPLE, RATIO = 2000, 0.8
+#: Pairs seen of a first character from which its own counts weigh more than the second character's share.
+PRIOR = 20
 
 
 def base_spans(text: Column) -> Column:
@@ -40,7 +42,7 @@ def _steps(token: str) -> str:
 def markov_ratios(random: DataFrame, ordinary: DataFrame) -> list[float] | None:
     """Log-likelihood ratios of each pair of ALPHABET, row by row, from two tables with a column token.
 
-    Each count is one more than seen. None if either sample has no step.
+    Rare pairs lean on how common their second character is. None if either sample has no step.
     """
     both = random.select(F.lit(1).alias("label"), "token").unionByName(ordinary.select(F.lit(0).alias("label"), "token")).where("length(token) > 1")
     inside = F.col("pair").rlike(r"^[A-Za-z0-9+/_-]{2}$")
@@ -50,7 +52,9 @@ def markov_ratios(random: DataFrame, ordinary: DataFrame) -> list[float] | None:
     if len({r["label"] for r in rows}) < 2:
         return None
     row = {(k, a): sum(n.get((k, a + b), 0) for b in ALPHABET) for k in (0, 1) for a in ALPHABET}
-    p = lambda k, a, b: (n.get((k, a + b), 0) + 1) / (row[k, a] + size)
+    whole = {k: sum(row[k, a] for a in ALPHABET) for k in (0, 1)}
+    alone = {(k, b): (sum(n.get((k, a + b), 0) for a in ALPHABET) + 1) / (whole[k] + size) for k in (0, 1) for b in ALPHABET}
+    p = lambda k, a, b: (n.get((k, a + b), 0) + PRIOR * alone[k, b]) / (row[k, a] + PRIOR)
     return [math.log(p(1, a, b) / p(0, a, b)) for a in ALPHABET for b in ALPHABET]
 
 
@@ -70,6 +74,8 @@ def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     n = rows.count()
     some = rows.where(F.pmod(F.xxhash64(text), F.lit(1 << 20)) < math.ceil(min(1.0, SAMPLE / max(n, 1)) * (1 << 20)))
     words = some.where("size(_base) = 0").select(F.explode(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[A-Za-z0-9+/_-]{4,}+"), F.lit(0))).alias("token"))
+    # Long tokens of several digits are what is to be judged, and no sample of ordinary ones.
+    words = words.where(~((F.length("token") >= 20) & F.col("token").rlike("[0-9].*[0-9].*[0-9]")))
     ratios = markov_ratios(values.where(F.col("token").rlike("[0-9]")), words)
     base = F.col("_base")
     spans = base if ratios is None else F.concat(base, F.filter("_long", lambda s: likely_random(s["value"], ratios)))
