@@ -28,7 +28,8 @@ LONGEST, UNKNOWN, UNSEEN = 12, 1e-9, 1e-3
 #: Words whose evidence makes the score: of longer texts, the mean word's evidence so many times.
 EVIDENCE = 8
 UNDETERMINED = "und"
-KEPT, KEPT_CHARS = 400_000, 40
+#: Chunks that a worker keeps, and the longest it keeps.
+KEPT, KEPT_CHARS = 800_000, 40
 
 
 def held_out(doc_id: Column) -> Column:
@@ -36,7 +37,9 @@ def held_out(doc_id: Column) -> Column:
 
 
 def letters(word: str) -> str:
-    return "".join(c for c in word if c.isalpha())
+    if word.isalpha():
+        return word
+    return word[:-1] if word[:-1].isalpha() else "".join(filter(str.isalpha, word))
 
 
 def matches(word: str, known: dict[str, object]) -> list[tuple[int, int, object]]:
@@ -128,7 +131,7 @@ class Scorer:
 
     def word(self, chunk: str) -> list[float]:
         """Log-probabilities of the letters of a chunk by language, and 1 if it has any."""
-        w = chunk if chunk.isalpha() else letters(chunk)
+        w = letters(chunk)
         if not w:
             return [0.0] * (len(self.langs) + 1)
         out = [0.0] * len(self.langs)
@@ -139,23 +142,21 @@ class Scorer:
 
     def forward(self, word: str) -> list[float]:
         """Probability of a word in each language, summed over its segmentations."""
-        n, langs = len(word), range(len(self.langs))
-        a = [[0.0] * len(self.langs) for _ in range(n + 1)]
+        n, get = len(word), self.known.get
+        a: list[list[float] | None] = [None] * (n + 1)
         a[0] = [1.0] * len(self.langs)
-        reached = 0
-        for i, j, q in matches(word, self.known):
-            while reached < i:  # a character that begins no piece is passed alone
-                reached += 1
-                if not any(a[reached]):
-                    a[reached] = [x * UNKNOWN for x in a[reached - 1]]
-            x, y = a[i], a[j]
-            for k in langs:
-                y[k] += x[k] * q[k]
-        while reached < n:
-            reached += 1
-            if not any(a[reached]):
-                a[reached] = [x * UNKNOWN for x in a[reached - 1]]
-        return a[n]
+        for i in range(n):
+            x = a[i]
+            if x is None:  # a character that begins no piece is passed alone
+                x = a[i] = [v * UNKNOWN for v in a[i - 1]]
+            for j in range(i + 1, min(i + LONGEST, n) + 1):
+                q = get(word[i:j], False)
+                if q:
+                    y = a[j]
+                    a[j] = [u * v for u, v in zip(x, q)] if y is None else [w + u * v for w, u, v in zip(y, x, q)]
+                elif q is False:  # no piece begins so
+                    break
+        return a[n] or [v * UNKNOWN for v in a[n - 1]]
 
     def _add(self, chunk: str) -> int:
         if self.used == len(self.table):
@@ -167,14 +168,15 @@ class Scorer:
     def sums(self, text: str) -> np.ndarray:
         chunks, kept = text.lower().split(), self.kept
         extra = np.zeros(self.table.shape[1])
-        if new := set(chunks) - kept.keys():
+        if new := {c for c in chunks if c not in kept}:
             if self.used + len(new) > KEPT:
                 kept.clear()
                 self.used, new = 0, set(chunks)
             for c in new:
                 if len(c) <= KEPT_CHARS and self.used < KEPT:
-                    kept[c] = self._add(c)
-            rare = new - kept.keys()
+                    w = letters(c)  # with other marks around it, a word scores the same
+                    kept[c] = self._add(c) if w == c or w not in kept else kept[w]
+            rare = {c for c in new if c not in kept}
             if rare:
                 for c in chunks:
                     if c in rare:
