@@ -19,9 +19,10 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flintsieve.llm.common import small_batches, written
@@ -34,6 +35,8 @@ MOST_MATCHES, VERIFY = 6, 20
 #: Bits of the filter that spares sending the sets of documents without candidates; exact joins follow it.
 FILTER_BITS = 1 << 24
 KEPT = 400_000
+#: Documents of one side of a tile, in which pairs are verified.
+TILE = 256
 _WORDS: dict[bytes, int] = {}
 
 
@@ -194,6 +197,49 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links that connect whatever the linked pairs connect. sets: node, grams, matches, prefix.
+
+    Pairs that hang together meet in tiles of at most TILE nodes a side, so a set is sent once for each tile, not for
+    each pair, and no tile is large whatever the group is. Inside a tile a pair that is connected already is passed
+    over; the others must share enough grams of their lengthened prefixes before the whole sets are compared.
+    """
+    near = components(pairs)
+    parts = near.groupBy("root").agg(F.ceil(F.count("*") / TILE).cast("int").alias("k"))
+    place = near.join(parts, "root")
+    block = lambda c: F.pmod(F.xxhash64(c), F.col("k"))
+    tiled = written(pairs.join(place.withColumnRenamed("node", "a"), "a").select("root", block("a").alias("i"), block("b").alias("j"), "a", "b"), "tiles")
+    tile = ["root", "i", "j"]
+    members = tiled.select(*tile, F.col("a").alias("node")).unionByName(tiled.select(*tile, F.col("b").alias("node"))).distinct().join(sets, "node")
+    held_by = ["r", "p", "q"]
+    members = members.toDF("node", *held_by, *members.columns[4:])
+
+    def run(frame: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        grams_of = {k: np.frombuffer(g, np.uint64) for k, g in zip(held["node"], held["grams"])}
+        prefix_of, wanted = dict(zip(held["node"], held["prefix"])), dict(zip(held["node"], held["matches"]))
+        up: dict[int, int] = {}
+
+        def find(v: int) -> int:
+            while (w := up.get(v, v)) != v:
+                up[v] = v = up.get(w, w)
+            return v
+
+        out = []
+        for a, b in zip(frame["a"], frame["b"]):
+            if (x := find(a)) == (y := find(b)):
+                continue
+            s, t = grams_of[a], grams_of[b]
+            need, k = -(-percent * (len(s) + len(t)) // (100 + percent)), min(wanted[a], wanted[b])
+            if k > 1 and len(np.intersect1d(prefix_of[a][: len(s) - need + k], prefix_of[b][: len(t) - need + k], assume_unique=True)) < k:
+                continue
+            if len(np.intersect1d(s, t, assume_unique=True)) >= need:
+                up[x] = y
+                out.append((a, b))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return tiled.groupBy(*tile).cogroup(members.groupBy(*held_by)).applyInPandas(run, "a long, b long")
+
+
 def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of every document.
 
@@ -226,26 +272,21 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, text: str =
     links = written(_verified(star, _sets(docs, words, _ends(star)), percent), "links") if not star.isEmpty() else none
     groups = components(links)
 
+    # The index holds the shortest prefixes: any linked pair shares one of their grams. The lengthened ones are compared
+    # where the pair is, before its whole sets are.
     posts = (
-        indexed.join(groups, "node", "left").select("node", "size", "matches", F.coalesce("root", "node").alias("root"), F.posexplode("prefix").alias("pos", "gram"))
+        indexed.join(groups, "node", "left")
+        .select("node", "size", F.coalesce("root", "node").alias("root"), F.posexplode(F.expr(f"slice(prefix, 1, CAST(size - ({percent} * size + 99) DIV 100 + 1 AS INT))")).alias("pos", "gram"))
     )
     x, y = posts.alias("x"), posts.alias("y")
     need = f"({percent} * (x.size + y.size) + {99 + percent}) DIV {100 + percent}"
     met = x.join(y, "gram").where(
-        f"x.node < y.node AND x.root <> y.root AND 100 * least(x.size, y.size) >= {percent} * greatest(x.size, y.size)"
-        f" AND least(x.size - x.pos, y.size - y.pos) + least(x.matches, y.matches) - 1 >= {need}"
+        f"x.node < y.node AND x.root <> y.root AND 100 * least(x.size, y.size) >= {percent} * greatest(x.size, y.size) AND least(x.size - x.pos, y.size - y.pos) >= {need}"
     )
-    pairs = met.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("n"), F.min(F.least("x.matches", "y.matches")).alias("l")).where("n >= l")
-    pairs = written(pairs.select("a", "b", "n"), "pairs")
+    pairs = written(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "pairs")
     if not pairs.isEmpty():
-        sets = written(_sets(docs, words, _ends(pairs)), "sets")
-        # First the best partner of each class; then what that left in different groups.
-        best = pairs.groupBy("b").agg(F.max(F.struct("n", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
-        links = written(links.unionByName(_verified(best, sets, percent)), "links")
-        groups = components(links)
-        root = lambda k: groups.select(F.col("node").alias(k), F.col("root").alias(f"r_{k}"))
-        rest = pairs.select("a", "b").join(root("a"), "a", "left").join(root("b"), "b", "left").where("coalesce(r_a, a) <> coalesce(r_b, b)").select("a", "b")
-        links = written(links.unionByName(_verified(rest, sets, percent)), "links")
+        kept = indexed.select("node", "matches", "prefix")
+        links = written(links.unionByName(_linked(pairs, _sets(docs, words, _ends(pairs)).join(kept, "node"), percent)), "links")
         groups = components(links)
 
     classes = rows.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.min("twin").alias("t0"), F.max("twin").alias("t1"))
