@@ -5,8 +5,8 @@ of its paragraphs' vectors, each component modulo a power of two. So the order o
 multisets have equal fingerprints, and a paragraph is inserted or deleted by adding or subtracting its vector.
 
 A vector has EXACT components modulo 2^32, hashed from the whole paragraph, which tell different multisets apart, and
-4 * WORDS small components modulo 2^14, which count 0/1 bits hashed from the paragraph's phrases (four words
-each, counted from its beginning). The bits are fair and independent, so the squared distance of two sums estimates how many
+2 * WORDS components modulo 2^31, which count 0/1 bits hashed from the paragraph's phrases (four words
+each, counted from its beginning). No text has 2^31 phrases, so these counts are whole. The bits are fair and independent, so the squared distance of two sums estimates how many
 phrases the documents do not share; likeness() is that estimate against the documents' own lengths.
 """
 
@@ -17,23 +17,28 @@ from pyspark.sql import functions as F
 
 from flintsieve.llm.common import partitions, range_bounds, range_of
 
-#: 64-bit words of small components: 15 from each of two hashes, of four components 15 bits apart.
-WORDS = 30
+#: 64-bit words of counts, of two components 32 bits apart: 30 from each of two hashes.
+WORDS = 60
 #: Components of 32 bits hashed from whole paragraphs.
 EXACT = 4
 _BITS = sum(1 << 15 * i for i in range(4))
-_LANES = sum(0x3FFF << 15 * i for i in range(4))
+_COUNT = 0x7FFFFFFF
+#: Hashes that are summed in four lanes of 15 bits before their counts are widened.
+_RUN = 32_767
 _PHRASE = r"(?:\S{1,64}+[ \t]*+){1,4}+"
 
 
 def _lane_sums(hashes: str) -> Column:
-    """15 words of sums over the hashes; each component keeps its low 14 bits, so none runs into the next."""
-    return F.expr(f"transform(sequence(0, 14), k -> aggregate({hashes}, 0L, (a, h) -> (a + (shiftrightunsigned(h, k) & {_BITS}L)) & {_LANES}L))")
+    """30 words of counts over the hashes. A run of hashes fits four narrow lanes; the lanes of all runs are added in wide ones."""
+    runs = f"transform(sequence(0, greatest(size({hashes}) - 1, 0) div {_RUN}), r -> slice({hashes}, cast(r * {_RUN} + 1 AS int), {_RUN}))"
+    sums = f"transform({runs}, run -> transform(sequence(0, 14), k -> aggregate(run, 0L, (a, h) -> a + (shiftrightunsigned(h, k) & {_BITS}L))))"
+    wide = lambda low: f"transform(s, w -> (shiftrightunsigned(w, {low}) & 32767L) + shiftleft(shiftrightunsigned(w, {low + 15}) & 32767L, 32))"
+    return F.expr(f"aggregate({sums}, array_repeat(0L, 30), (t, s) -> zip_with(t, concat({wide(0)}, {wide(30)}), (x, y) -> x + y))")
 
 
 def with_vector(df: DataFrame, text: Column, out: str = "vector") -> DataFrame:
     """df with the vector of a text: array<bigint> of the phrase count, EXACT and WORDS words; null counts as empty."""
-    # explode keeps the optimiser from copying the hashes into each of the thirty sums.
+    # explode keeps the optimiser from copying the hashes into each of the sums.
     one = F.struct(
         F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_PHRASE), F.lit(0)), lambda p: F.xxhash64(p)).alias("a"),
         F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda p: F.xxhash64(p)).alias("p"),
@@ -48,7 +53,7 @@ def with_vector(df: DataFrame, text: Column, out: str = "vector") -> DataFrame:
 
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
     """The vector of both multisets together, or with sign -1 of a without b."""
-    add = lambda x, y, lanes: sum((((F.shiftright(x, 15 * i).bitwiseAND(F.lit(0x3FFF)) + F.lit(sign) * F.shiftright(y, 15 * i).bitwiseAND(F.lit(0x3FFF)))).bitwiseAND(F.lit(0x3FFF)) * F.lit(1 << 15 * i) for i in range(4)), F.lit(0)) if lanes else (x + F.lit(sign) * y).bitwiseAND(F.lit(0xFFFFFFFF))
+    add = lambda x, y, lanes: sum((((F.shiftrightunsigned(x, 32 * i).bitwiseAND(F.lit(_COUNT)) + F.lit(sign) * F.shiftrightunsigned(y, 32 * i).bitwiseAND(F.lit(_COUNT))).bitwiseAND(F.lit(_COUNT)) * F.lit(1 << 32 * i)) for i in range(2)), F.lit(0)) if lanes else (x + F.lit(sign) * y).bitwiseAND(F.lit(0xFFFFFFFF))
     at = lambda k, n: (F.slice(a, k, n), F.slice(b, k, n))
     return F.concat(
         F.zip_with(*at(1, 1), lambda x, y: x + F.lit(sign) * y),
@@ -58,20 +63,20 @@ def combine(a: Column, b: Column, sign: int = 1) -> Column:
 
 
 def fingerprint(vector: Column) -> Column:
-    """The vector as hexadecimal text: the count and 32-bit components of 8 digits, then words of 15."""
+    """The vector as hexadecimal text: the count and 32-bit components of 8 digits, then words of 16."""
     return F.concat(
         F.array_join(F.transform(F.slice(vector, 1, 1 + EXACT), lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), ""),
-        F.array_join(F.transform(F.slice(vector, 2 + EXACT, WORDS), lambda x: F.lpad(F.lower(F.hex(x)), 15, "0")), ""),
+        F.array_join(F.transform(F.slice(vector, 2 + EXACT, WORDS), lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), ""),
     )
 
 
 def _square(a: str, b: str | None = None) -> str:
     """SQL of the mean squared component of a (or of a - b), components being bits counted as -1 and 1."""
     n = f"element_at({a}, 1)" + (f" - element_at({b}, 1)" if b else "")
-    # The difference of two components is known modulo 2^14; it is taken as the one nearest to 0.
-    lane = lambda i: f"(((shiftrightunsigned(x, {15 * i}) & 16383) - (shiftrightunsigned(y, {15 * i}) & 16383) + 24576) % 16384 - 8192)" if b else f"(shiftrightunsigned(x, {15 * i}) & 16383)"
+    # Components are known modulo 2^31, so twice one less n is known modulo 2^32; it is taken as the one nearest to 0.
+    lane = lambda i: f"(shiftrightunsigned(x, {32 * i}) & {_COUNT}L)" + (f" - (shiftrightunsigned(y, {32 * i}) & {_COUNT}L)" if b else "")
     other = b or a
-    return f"aggregate(zip_with(slice({a}, {2 + EXACT}, {WORDS}), slice({other}, {2 + EXACT}, {WORDS}), (x, y) -> " + " + ".join(f"pow(2 * {lane(i)} - ({n}), 2)" for i in range(4)) + f"), 0D, (s, v) -> s + v) / {4 * WORDS}"
+    return f"aggregate(zip_with(slice({a}, {2 + EXACT}, {WORDS}), slice({other}, {2 + EXACT}, {WORDS}), (x, y) -> " + " + ".join(f"pow(((2 * ({lane(i)}) - ({n}) + 2147483648L) & 4294967295L) - 2147483648L, 2)" for i in range(2)) + f"), 0D, (s, v) -> s + v) / {2 * WORDS}"
 
 
 def likeness(a: str, b: str) -> Column:
@@ -101,8 +106,7 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     beginning of the next document; and the likeness to the edited text and to the next document.
 
     Defined results: null texts count as empty; repeated rows are fingerprinted each; an empty table gives no rows;
-    other columns are not read. Texts of over 16,383 phrases have right fingerprints; their likeness to a text that
-    differs in more phrases than that is not meaningful.
+    other columns are not read. Texts may have any length.
     """
     rows = with_next(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("t")), ["t"])
     n = F.length("t")

@@ -314,6 +314,20 @@ def test_set_hash_is_homomorphic_and_order_independent(spark, docs, odd, empty):
     assert set_hash.fingerprints(empty).isEmpty()
 
 
+def test_likeness_holds_on_very_long_texts(spark):
+    phrases = lambda lo, hi: "\n".join(" ".join(f"w{k}x{j}" for j in range(4)) for k in range(lo, hi))
+    long, short = phrases(0, 40_000), phrases(200_000, 200_300)
+    assert len(long.split()) > 150_000
+    pairs = {"none": (long, phrases(50_000, 89_000), 0.0), "half": (long, phrases(20_000, 60_000), 0.5), "short": (long, long[: len(long) - len(short)] + short, 0.99), "third": (long, phrases(0, 20_000), 2 / 3), "same": (long + "\na b", long + "\na b", 1.0)}
+    df = spark.createDataFrame([(k, a, b) for k, (a, b, _) in pairs.items()], "k string, a string, b string")
+    for c in "ab":
+        df = set_hash.with_vector(df, F.col(c), f"v{c}").drop(c)
+    rows = {r["k"]: r for r in df.select("k", set_hash.likeness("va", "vb").alias("x"), F.element_at("va", 1).alias("n"), (set_hash.combine(set_hash.combine("va", "vb"), F.col("vb"), -1) == F.col("va")).alias("whole")).collect()}
+    assert all(r["whole"] and r["n"] >= 40_000 for r in rows.values())
+    for k, (_, _, want) in pairs.items():
+        assert rows[k]["x"] == pytest.approx(want, abs=0.12), k
+
+
 def test_urls(spark):
     urls = [None, "", "no scheme", "http://A.Example.NET/en/x?y#z", "https://net/", "http://net", "http://xnet/", "http://example.net/en", "ftp://b.org/fr/1", "http://example.com/de/", "http://example.com/fr/", "x://a.net?/b", "http://a.b.c.net//"] * 2
     df = spark.createDataFrame([(i, u, "clash", "clash") for i, u in enumerate(urls)], "page_id long, url string, host string, rule string")
