@@ -199,8 +199,8 @@ def risk_level(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_window_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", text.lines(F.col("text")).alias("ls"))
-    d = d.select("doc_id", "ls", F.posexplode("ls").alias("i", "line")).where("i % 5 = 0")
-    return d.select("doc_id", F.col("i").cast("long").alias("i"), F.length(text.window(F.col("ls"), F.col("i"), 8)).cast("long").alias("n_before"))
+    d = d.select("doc_id", F.posexplode(F.transform("ls", lambda _, i: F.length(text.window(F.col("ls"), i, 8)).cast("long"))).alias("i", "n_before"))
+    return d.select("doc_id", F.col("i").cast("long").alias("i"), "n_before")
 
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from flintsieve.functions import names, text
 from flintsieve.operators import ensemble, findings, infer, metrics, models, program, scoring, split, stats, vectorize
-from flintsieve.plans.feature_queries import NAMES
+from flintsieve.plans.feature_queries import NAMES, line_window_text
 from flintsieve.sources import readers
 from flintsieve.streaming import screen
 
@@ -39,6 +39,16 @@ def test_lines_and_buffers(spark):
     assert got == [("local_18", "char", 16, 1, 16, -24), ("w", "wchar_t", 4, 4, 16, None)]
 
 
+def test_every_line_has_its_window(spark, tmp_path):
+    docs = [(1, "\n".join("x" * (k % 7) + "y" for k in range(23)) + "\n\n"), (2, ""), (3, None), (4, "one"), (5, "a\r\n\nb")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = []
+    for k, t in docs:
+        ls = (t or "").rstrip("\n").replace("\r\n", "\n").split("\n") if t else []
+        want += [(k, i, sum(len(x) + 1 for x in ls[max(0, i - 8) : i])) for i in range(len(ls))]
+    assert sorted(map(tuple, line_window_text(spark, str(tmp_path)).collect())) == want
+
+
 @pytest.mark.parametrize(("inside", "want"), [("a, b", ["a", "b"]), ("f(x, y), \"p,q\", 'c'", ["f(x, y)", '"p,q"', "'c'"]), ("", []), ("a,,b", ["a", "", "b"]), ("a, ", ["a"]), (r'"x\",y", 2', [r'"x\",y"', "2"])])
 def test_arguments(spark, inside, want):
     assert one(spark, text.arguments(F.col("t")), t=inside) == want
