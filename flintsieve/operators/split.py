@@ -7,44 +7,48 @@ from pyspark.sql import functions as F
 
 #: Share of rows of each partition in thousandths.
 PARTS = {"train": 600, "meta": 100, "select": 100, "test": 200}
-#: Groups are balanced on the driver up to this number; beyond it each is placed by its hash.
-BALANCED_GROUPS = 20_000
+#: A group with more than 1 / WEIGHTY of the rows of a class is placed by itself; the rest are placed in so many hashed lots.
+WEIGHTY = 10_000
 
 
 def group_split(df: DataFrame, group: str, label: str, seed: int = 42, parts: dict[str, int] = PARTS) -> DataFrame:
     """df with `partition`: whole groups, so that rows and both classes have about the wanted shares.
 
-    Groups are taken by size (ties by a seeded hash) and each goes to the partition that most lacks its rows. Fewer
-    groups than partitions, and rows without a group, are errors; there is no split by row. With more groups than
-    BALANCED_GROUPS, each is placed by a seeded hash, for which large numbers balance themselves.
+    Groups are taken by size (ties by a seeded hash) and each goes to the partition that most lacks its rows. Groups too
+    small to matter alone are first dealt into WEIGHTY lots by the hash, and a lot is placed like a group; so the driver
+    sees at most 3 * WEIGHTY rows, however many groups there are. Fewer groups than partitions, and rows without a
+    group, are errors; there is no split by row.
     """
+    mixed = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(group).cast("string")))
+    lot = F.pmod(F.conv(F.left(mixed, F.lit(8)), 16, 10).cast("long"), F.lit(WEIGHTY))
     each = df.groupBy(group).agg(F.count_if(F.col(label) == 0).alias("n0"), F.count_if(F.col(label) == 1).alias("n1"))
-    n = each.count()
-    if n < len(parts):
-        raise ValueError(f"{n} groups cannot fill {len(parts)} partitions")
-    if not each.where(F.col(group).isNull()).isEmpty():
+    every = each.agg(F.count("*").alias("n"), F.count_if(F.col(group).isNull()).alias("none"), F.coalesce(F.sum("n0"), F.lit(0)).alias("n0"), F.coalesce(F.sum("n1"), F.lit(0)).alias("n1")).first()
+    if every["n"] < len(parts):
+        raise ValueError(f"{every['n']} groups cannot fill {len(parts)} partitions")
+    if every["none"]:
         raise ValueError("a row has no group")
-    mixed = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(group).cast("string")))
-    names, shares = list(parts), list(parts.values())
-    if n > BALANCED_GROUPS:
-        at = F.pmod(F.conv(F.left(mixed, F.lit(8)), 16, 10).cast("long"), F.lit(sum(shares)))
-        out, last = F, 0
-        for name, share in parts.items():
-            last += share
-            out = out.when(at < last, name)
-        return df.withColumn("partition", out.otherwise(names[-1]))
-    rows = each.withColumn("h", mixed).collect()
-    total = [sum(r["n0"] for r in rows), sum(r["n1"] for r in rows)]
+    names, shares, total = list(parts), list(parts.values()), [every["n0"], every["n1"]]
+    alone = (F.col("n0") * WEIGHTY > total[0]) | (F.col("n1") * WEIGHTY > total[1])
+    large = each.where(alone).select(F.col(group).alias("g"), F.lit(None).cast("long").alias("lot"), mixed.alias("h"), "n0", "n1")
+    lots = each.where(~alone).groupBy(lot.alias("lot")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    rows = large.unionByName(lots.withColumn("h", F.lpad(F.col("lot").cast("string"), 8, "0")), allowMissingColumns=True).collect()
     want = [[t * s / sum(shares) for t in total] for s in shares]
-    have, placed = [[0, 0] for _ in shares], []
+    have, groups, of_lot = [[0, 0] for _ in shares], [], []
     for r in sorted(rows, key=lambda r: (-(r["n0"] + r["n1"]), r["h"])):
         lack = [sum((w[c] - h[c]) / max(w[c], 1) * (r["n1"] if c else r["n0"]) for c in (0, 1)) for w, h in zip(want, have)]
         k = max(range(len(shares)), key=lambda i: (lack[i], -i))
         have[k][0] += r["n0"]
         have[k][1] += r["n1"]
-        placed.append((r[group], names[k]))
-    table = df.sparkSession.createDataFrame(placed, df.select(F.col(group).alias("_group"), F.lit("").alias("partition")).schema)
-    return df.join(F.broadcast(table), F.col(group) == F.col("_group")).drop("_group")
+        if r["lot"] is None:
+            groups.append((r["g"], names[k]))
+        else:
+            of_lot.append((r["lot"], names[k]))
+    spark = df.sparkSession
+    out = df.join(F.broadcast(spark.createDataFrame(groups, df.select(F.col(group).alias("_group"), F.lit("").alias("_alone")).schema)), F.col(group) == F.col("_group"), "left")
+    if not of_lot:
+        return out.withColumn("partition", F.col("_alone")).drop("_group", "_alone")
+    out = out.join(F.broadcast(spark.createDataFrame(of_lot, "_lot long, _gathered string")), lot == F.col("_lot"), "left")
+    return out.withColumn("partition", F.coalesce("_alone", "_gathered")).drop("_group", "_alone", "_lot", "_gathered")
 
 
 def split_report(df: DataFrame, group: str, label: str) -> DataFrame:

@@ -158,6 +158,19 @@ def test_group_split(spark):
         split.group_split(df.withColumn("g", F.when(F.col("i") > 4, F.col("g"))), "g", "y")
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_group_split_keeps_shares_with_one_large_group_among_many(spark, seed):
+    # One group has a third of the rows, and 40 of the 30,000 small ones have almost all rows of class 1.
+    one = spark.range(15_000).select(F.lit(-1).cast("long").alias("g"), F.lit(0).alias("y"))
+    df = spark.range(30_000).select(F.col("id").alias("g"), (F.col("id") < 40).cast("int").alias("y")).unionByName(one)
+    parted = split.group_split(df, "g", "y", seed)
+    split.check_split(parted, "g", "y")
+    got = {r["partition"]: r for r in split.split_report(parted, "g", "y").collect()}
+    for name, share in split.PARTS.items():
+        assert got[name]["n_rows"] == pytest.approx(45.0 * share, rel=0.02) and got[name]["n_vulnerable"] == pytest.approx(0.04 * share, abs=1)
+    assert sorted(map(tuple, parted.collect())) == sorted(map(tuple, split.group_split(df.repartition(7), "g", "y", seed).collect()))
+
+
 def test_flatten_and_align(spark):
     df = spark.createDataFrame(
         [({"n": 2}, [(1.0, True), (3.0, None)], {"COPY": 4}, [1, 0], ["x"], "t"), (None, None, None, None, None, None)],
