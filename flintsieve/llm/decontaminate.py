@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flintsieve.llm.common import small_batches
+from flintsieve.llm.common import small_batches, written
 
 K1, B = 1.2, 0.75
 #: Share of an item's own score that a passage must reach; words of a gram; share of the item's grams, and of its
@@ -35,9 +35,13 @@ _HITS = "item_id long, score double, gram_overlap double, answer_overlap double"
 
 
 class Index:
-    """Normalised BM25 postings of items: a passage with all words of an item scores 1."""
+    """Normalised BM25 postings of items: a passage with all words of an item scores 1.
 
-    def __init__(self, items: list[tuple[int, str]]):
+    Where the items are a block of more, `whole` has what depends on all: their number, words, longest length, and in how
+    many of them each term of the block is.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], whole: tuple[int, int, int, dict[str, int]] | None = None):
         split = [(i, _WORD.findall(x.lower()), len(_WORD.findall(_END.split(x.strip())[-1])), ) for i, x in items if x]
         split = [(i, w, a) for i, w, a in split if w]
         self.items = [i for i, _, _ in split]
@@ -46,11 +50,11 @@ class Index:
             for t in w:
                 self.terms.setdefault(t, len(self.terms))
         words = [[self.terms[t] for t in w] for _, w, _ in split]
-        df = Counter(t for w in words for t in set(w))
-        n, mean = len(words), sum(map(len, words)) / max(1, len(words))
-        idf = {t: math.log(1 + (n - d + 0.5) / (d + 0.5)) for t, d in df.items()}
+        n, total, longest, df = whole or (len(words), sum(map(len, words)), max(map(len, words), default=1), Counter(t for _, w, _ in split for t in set(w)))
+        mean = total / max(1, n)
+        idf = {k: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) for t, k in self.terms.items()}
         self.postings: list[list[tuple[int, float]]] = [[] for _ in self.terms]
-        self.grams, self.answers, self.longest = [], [], max(map(len, words), default=1)
+        self.grams, self.answers, self.longest = [], [], longest
         for k, w in enumerate(words):
             tf = Counter(w)
             part = {t: idf[t] * f * (K1 + 1) / (f + K1 * (1 - B + B * len(w) / mean)) for t, f in tf.items()}
@@ -63,7 +67,7 @@ class Index:
         self.most = [max((v for _, v in p), default=0.0) for p in self.postings]
         self.blocks = [[max(v for _, v in p[i : i + BLOCK]) for i in range(0, len(p), BLOCK)] for p in self.postings]
         # Largest weight of a term among each TOGETHER neighbouring items, for a bound on whole passages.
-        self.bound = np.zeros((len(self.terms) + 1, -(-max(1, n) // TOGETHER)), np.float32)
+        self.bound = np.zeros((len(self.terms) + 1, -(-max(1, len(words)) // TOGETHER)), np.float32)
         for t, p in enumerate(self.postings):
             for k, v in p:
                 self.bound[t, k // TOGETHER] = max(self.bound[t, k // TOGETHER], v)
@@ -146,27 +150,49 @@ class Index:
 _INDEXES: dict[str, Index] = {}
 
 
+def _words(items: DataFrame) -> DataFrame:
+    """The words of each item that has any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            split = (_WORD.findall(x.lower()) for x in b.column("t").to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([w for w in split if w], pa.list_(pa.string()))], names=["w"])
+
+    return items.select("t").mapInArrow(run, "w array<string>")
+
+
 def _blocks(docs: DataFrame, items: DataFrame, item_id: str, text: str) -> Iterator[tuple[object, str]]:
-    """The items in broadcasts of at most ITEMS, however many there are (none: one empty broadcast)."""
+    """The items in broadcasts of at most about ITEMS, however many there are (none: one empty broadcast).
+
+    With more than one, each also has the figures that depend on all items, so a score does not depend on the blocks.
+    """
+    spark = docs.sparkSession
     rows = items.select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
     n = -(-rows.count() // ITEMS) or 1
+    if n == 1:
+        yield spark.sparkContext.broadcast((sorted(map(tuple, rows.collect())), None)), uuid.uuid4().hex
+        return
+    each = lambda x: _words(x).select(F.explode(F.array_distinct("w")).alias("term"))
+    whole = _words(rows).agg(F.count("*"), F.coalesce(F.sum(F.size("w")), F.lit(0)), F.coalesce(F.max(F.size("w")), F.lit(1))).first()
+    found_in = written(each(rows).groupBy("term").count(), "item-terms")
     for k in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
-        yield docs.sparkSession.sparkContext.broadcast(sorted(map(tuple, part.collect()))), uuid.uuid4().hex
+        part = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
+        df = dict(map(tuple, found_in.join(each(part).distinct(), "term", "left_semi").select("term", "count").collect()))
+        yield spark.sparkContext.broadcast((sorted(map(tuple, part.collect())), (*whole, df))), uuid.uuid4().hex
 
 
 def _index(sent: object, key: str) -> Index:
     if key not in _INDEXES:
         _INDEXES.clear()
-        _INDEXES[key] = Index(sent.value)
+        _INDEXES[key] = Index(*sent.value)
     return _INDEXES[key]
 
 
 def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, score, gram_overlap, answer_overlap) of each document and test item that stands in it.
 
-    Defined results: null and empty texts of either side have no hits, repeated rows have each their own, an empty
-    table on either side gives no rows; other columns are not read. No shuffle.
+    Defined results: null and empty texts of either side and items of a null id have no hits, repeated rows have each
+    their own, an empty table on either side gives no rows; other columns are not read. No shuffle of documents.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))

@@ -223,6 +223,19 @@ def test_decontamination_finds_items_and_nothing_else(spark, docs, odd, empty):
     assert decontaminate.without_leaks(odd, none).count() == len(ODD)
 
 
+def test_scores_do_not_depend_on_the_blocks_of_items(spark, docs, monkeypatch):
+    items = spark.read.parquet(f"{SF}/benchmark.parquet").limit(40).unionByName(spark.createDataFrame([(900, "why " * 90 + "so? Because.")], "item_id long, text string"), allowMissingColumns=True)
+    bench = [(r["item_id"], r["text"]) for r in items.collect()]
+    df = docs.select("doc_id", "text").limit(20).union(spark.createDataFrame([(5000 + i, f"Before. {x} After. " + x[: len(x) * 3 // 4]) for i, x in bench] + [(7000 + i, x[: len(x) * 9 // 10]) for i, x in bench], "doc_id long, text string"))
+    found = lambda: {(r["doc_id"], r["item_id"]): tuple(r)[2:] for r in decontaminate.contaminated(df, items).collect()}
+    left = lambda: sorted(r["doc_id"] for r in decontaminate.without_leaks(df, items).collect())
+    want, kept = found(), left()
+    monkeypatch.setattr(decontaminate, "ITEMS", 15)
+    got = found()
+    assert got.keys() == want.keys() and len(want) >= 40 and left() == kept
+    assert all(got[k] == pytest.approx(v, abs=1e-9) for k, v in want.items())
+
+
 def test_wand_returns_all_above_the_threshold(spark):
     rng = np.random.default_rng(2)
     items = [(i, " ".join(rng.choice([f"t{k}" for k in range(60)], rng.integers(3, 12)))) for i in range(300)]
