@@ -11,8 +11,6 @@ from flintsieve.plans.adapters import table
 from flintsieve.streaming import screen
 
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
-#: Trees and rounds of the registered queries.
-SIZE = {"trees": 10, "rounds": 5}
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +21,7 @@ def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _trained(name: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = _rows(spark, sf_dir)
-        model = models.train(df.where("partition = 'train'"), FEATURES, name, **SIZE)
+        model = models.train(df.where("partition = 'train'"), FEATURES, name)
         test = models.scored(model, df.where("partition = 'test'"), "p")
         return test.select("l_orderkey", "l_linenumber", "label", "p")
 

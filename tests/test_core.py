@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from flintsieve.functions import names, text
 from flintsieve.operators import ensemble, findings, infer, metrics, models, program, scoring, split, stats, vectorize
+from flintsieve.plans import model_queries
 from flintsieve.plans.feature_queries import NAMES, line_window_text
 from flintsieve.sources import readers
 from flintsieve.streaming import screen
@@ -245,3 +246,18 @@ def test_models_learn(spark):
     for name in ("LogisticRegression", "DecisionTree", "RandomForest", "XGBoost"):
         m = models.train(df, ["a", "b"], name, "y", trees=5, rounds=5)
         assert metrics.roc_auc(models.scored(m, df, "p")).first()[0] > 0.95
+
+
+@pytest.mark.parametrize(("query", "stage", "size"), [("train_rf", "getNumTrees", 300), ("train_gbt", "getMaxIter", 450)])
+def test_registered_models_have_their_full_size(spark, monkeypatch, query, stage, size):
+    class Stop(Exception):
+        pass
+
+    def fit(pipeline, df):
+        last = pipeline.getStages()[-1]
+        assert getattr(last, stage)() == size
+        raise Stop
+
+    monkeypatch.setattr(models.Pipeline, "fit", fit)
+    with pytest.raises(Stop):
+        model_queries.QUERIES[query](spark, "/root/testdata/sf0.001")
