@@ -2,13 +2,30 @@
 
 from __future__ import annotations
 
+import gc
+import math
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+_HELD: dict[Any, Any] = {}
+#: Bytes of an Arrow batch, about, as one text can be long.
+BATCH_BYTES = 8 << 20
+
+
+def held(key: Any, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps from task to task: one operator's tables at a time. Workers serve one operator after the
+    other, so whatever the last one kept goes before the next one's is made."""
+    if key not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        _HELD[key] = make()
+    return _HELD[key]
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,7 +47,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, written to the shared folder and read again: lost executors cannot lose them."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that written() made and nothing reads any more, and lets Spark drop the shuffles of what is done."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        gc.collect()
+        spark._jvm.System.gc()
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as make it no column of df."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in have:
+            n = "_" + n
+        out.append(n)
+    return out
 
 
 def partitions(spark: SparkSession) -> int:
@@ -38,8 +79,12 @@ def partitions(spark: SparkSession) -> int:
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches of few rows, as one text can be long; it changes the speed of a session only, never a result."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Arrow batches of few rows and bytes, as texts can be long. Plans are run later, so the settings stay; lower ones of
+    the caller's are kept. They change the speed and memory of a session only, never a result."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(name).lower().removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
 
 
 def range_bounds(df: DataFrame, key: str, n: int) -> list[int]:
@@ -52,11 +97,16 @@ def range_bounds(df: DataFrame, key: str, n: int) -> list[int]:
 
 
 def range_of(key: Column, bounds: list[int]) -> Column:
-    """Index of the range that holds the key (ascending with it); null keys are in the first."""
+    """Index of the range that holds the key (ascending with it); null keys are in the first.
+
+    Bounds are looked through in two steps, of about the square root of their number each."""
     if not bounds:
         return F.lit(0)
-    cuts = F.array(*[F.lit(int(b)) for b in bounds])
-    return F.when(key.isNull(), F.lit(0)).otherwise(F.size(F.filter(cuts, lambda b: b <= key)))
+    step = max(1, math.isqrt(len(bounds)))
+    below = lambda cuts: F.size(F.filter(cuts, lambda b: b <= key))
+    coarse, cuts = F.lit(bounds[::step]), F.lit(bounds)
+    found = F.transform(F.array(below(coarse)), lambda k: F.when(k == 0, F.lit(0)).otherwise((k - 1) * step + below(F.slice(cuts, (k - 1) * step + 1, F.lit(step)))))
+    return F.when(key.isNull(), F.lit(0)).otherwise(F.element_at(found, 1))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

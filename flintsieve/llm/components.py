@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flintsieve.llm.common import written
+from flintsieve.llm.common import discard, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -13,9 +13,8 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round points all larger neighbours of a node to its smallest one (large star), then all smaller ones too
     (small star). Minima are combined before the shuffle, so a node with very many links is no burden; each round is
-    written to the shared folder, which cuts lineage and keeps it when executors are lost.
+    written to the shared folder, which cuts lineage and keeps it when executors are lost, and the last one is deleted.
     """
-    spark = links.sparkSession
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges, seen = written(edges, "links"), None
     while True:
@@ -27,5 +26,6 @@ def components(links: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
-        edges = written(large.join(small, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "links")
+        last, edges = edges, written(large.join(small, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "links")
+        discard(last)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
