@@ -19,12 +19,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flintsieve.llm.common import small_batches
+from flintsieve.llm.common import held, small_batches
 
 #: Bytes up to which a word is short.
 SHORT = 96
 #: Chunks that a worker keeps, and the longest chunk it keeps.
-KEPT, KEPT_CHARS = 600_000, 48
+KEPT, KEPT_CHARS = 400_000, 48
 _SPACE = r"\t-\r \x85\xa0  -     　"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 #: Bits of an id, and what stands for the rank of a pair that is never merged.
@@ -170,20 +170,23 @@ class ByteBpe:
         return ",".join(map(self.names.__getitem__, ids.tolist()))
 
 
-_LOADED: dict[str, ByteBpe] = {}
-
-
 def loaded(path: str) -> ByteBpe:
     """One vocabulary for each worker and path."""
-    if path not in _LOADED:
-        _LOADED[path] = ByteBpe(path)
-    return _LOADED[path]
+    return held(("byte bpe", path), lambda: ByteBpe(path))
+
+
+def _lists(found: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, found)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*found, np.zeros(0, np.uint32)]).astype(np.int32)))
 
 
 def encode_texts(docs: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """docs with the ids of each whole text (null: none) as array<int>, as the tokenizers library gives without adding
-    special tokens of its own; special tokens that stand in a text become their ids. A column named as out is replaced.
-    No shuffle: rows stay where they are."""
+    """docs with the ids of each whole text as array<int>, as the tokenizers library gives without adding special tokens of
+    its own; special tokens that stand in a text become their ids.
+
+    Defined results: null and empty texts have no ids, repeated rows are encoded each, an empty table stays empty, texts
+    may have any length, ids of documents play no part; a column named as out is replaced. No shuffle: rows stay where
+    they are."""
     small_batches(docs.sparkSession)
     docs = docs.drop(out)
 
@@ -191,16 +194,32 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text", out: str = "ids
         bpe = loaded(path)
         for b in batches:
             found = [bpe.encode(x or "") for x in b.column(text).to_pylist()]
-            ends = np.cumsum([0, *map(len, found)])
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*found, np.zeros(0, np.uint32)]).astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([*b.columns, ids], names=[*b.schema.names, out])
+            yield pa.RecordBatch.from_arrays([*b.columns, _lists(found)], names=[*b.schema.names, out])
 
     return docs.mapInArrow(run, docs.withColumn(out, F.array(F.lit(0))).schema)
 
 
+def encode_checked(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """What encode_texts gives as `ids`, and in `whole` whether decoding them gives the text back (null: the empty one).
+
+    Both are done in one worker, so the vocabulary is loaded once. Columns named ids or whole are replaced."""
+    small_batches(docs.sparkSession)
+    docs = docs.drop("ids", "whole")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = loaded(path)
+        for b in batches:
+            texts = [x or "" for x in b.column(text).to_pylist()]
+            found = [bpe.encode(x) for x in texts]
+            same = [bpe.decode(i) == x for i, x in zip(found, texts)]
+            yield pa.RecordBatch.from_arrays([*b.columns, _lists(found), pa.array(same, pa.bool_())], names=[*b.schema.names, "ids", "whole"])
+
+    return docs.mapInArrow(run, docs.withColumns({"ids": F.array(F.lit(0)), "whole": F.lit(True)}).schema)
+
+
 def decode_ids(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """docs with the text of each id array, bytes that are no UTF-8 replaced; null arrays give an empty text, null or
-    unknown ids none. A column named as out is replaced."""
+    unknown ids none. Repeated rows are decoded each, an empty table stays empty; a column named as out is replaced."""
     small_batches(docs.sparkSession)
     docs = docs.drop(out)
 
@@ -217,7 +236,9 @@ def decode_ids(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded
 def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """doc_id, n_tokens, digests of the ids and of the decoded text, and whether the decoded text is the text.
 
-    Encoding and decoding follow each other inside one batch, so the ids are never shipped. Null texts count as empty.
+    Encoding and decoding follow each other inside one batch, so the ids are never shipped. Null texts count as empty,
+    repeated rows are encoded each, a null doc_id stays null, an empty table gives no rows, texts may have any length;
+    other columns are not read.
     """
     import hashlib
 

@@ -14,12 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flintsieve.llm.common import small_batches
+from flintsieve.llm.common import held, small_batches
 
 #: Begins each word in the vocabulary.
 MARK = "▁"
 #: Words that a worker keeps, and the longest it keeps.
-KEPT, KEPT_CHARS = 600_000, 40
+KEPT, KEPT_CHARS = 300_000, 40
 
 
 class Automaton:
@@ -102,19 +102,15 @@ def piece_list(path: str) -> list[str]:
     return [p for i in range(sp.get_piece_size()) if not odd(i) and MARK not in (p := sp.id_to_piece(i))[1:]]
 
 
-_LOADED: dict[str, Automaton] = {}
-
-
 def loaded(path: str) -> Automaton:
-    if path not in _LOADED:
-        _LOADED[path] = Automaton(piece_list(path))
-    return _LOADED[path]
+    return held(("word pieces", path), lambda: Automaton(piece_list(path)))
 
 
 def count_tokens(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """docs with n_words (between white space) and n_tokens of each whole text; null and empty texts have 0 of both.
 
-    No shuffle; columns of docs that are named n_words or n_tokens are replaced, repeated rows are counted each.
+    No shuffle; columns of docs that are named n_words or n_tokens are replaced, repeated rows are counted each, an empty
+    table stays empty, texts may have any length, and ids play no part.
     """
     small_batches(docs.sparkSession)
     docs = docs.drop("n_words", "n_tokens")
