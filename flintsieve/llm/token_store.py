@@ -6,9 +6,11 @@ folder of the shared store:
 
 - chunks/    digest, n, width (bytes of an id), ids (little-endian), one row for each distinct chunk
 - recipes/   block=N/, ascending in doc_id over and within the blocks: doc_id, start, n_tokens, digests, sizes, root
-- manifest/  a row for each leaf of LEAF documents of a block, and one for each block: Merkle roots and counts
+- manifest/  a row for each leaf of LEAF documents of a block, one for each block and one for the whole: Merkle roots
+             and counts
 
-A document's root hashes its digests, a leaf's root its documents' roots, a block's root its leaves' roots.
+A document's root hashes its digests, a leaf's root its documents' roots, a block's root its leaves' roots, and the
+store's root its blocks' roots. Reading back compares all of them, both ways.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from flintsieve.llm.bpe import byte_letters
-from flintsieve.llm.common import new_path, partitions, range_bounds, range_of, small_batches, written
+from flintsieve.llm.common import discard, held, new_path, partitions, range_bounds, range_of, small_batches, written
 
 #: Ids that the rolling hash sees; a cut where its top CUT_BITS bits are 0; least and most ids of a chunk.
 WINDOW, CUT_BITS, LEAST, MOST = 16, 9, 128, 4096
@@ -36,6 +38,8 @@ WINDOW, CUT_BITS, LEAST, MOST = 16, 9, 128, 4096
 LEAF = 1024
 #: Pieces of text that a worker keeps, and the longest it keeps.
 KEPT, KEPT_CHARS = 700_000, 40
+#: Documents of a block, about; there are as many blocks as partitions at least.
+BLOCK = 1_000_000
 
 
 class PieceEncoder:
@@ -61,16 +65,24 @@ class PieceEncoder:
     def _word(self, piece: str) -> bytes:
         """Ids of a piece: of lower-case letters, or such and one mark, from the library's model directly."""
         word, mark = (piece[:-1], self.marks[piece[-1]]) if piece[-1:] in self.marks else (piece, b"")
-        if not self.quick or not word.isalpha() or word != word.lower() or not unicodedata.is_normalized("NFC", word):
+        if not self.quick or not word.isalpha():
             return self._whole(piece)
         if not word.isascii():
+            if word != word.lower() or not unicodedata.is_normalized("NFC", word):
+                return self._whole(piece)
             word = "".join(map(_LETTERS.__getitem__, word.encode()))
+        elif not word.islower():
+            return self._whole(piece)
         return array("I", [t.id for t in self.tok.model.tokenize(word)]).tobytes() + mark
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         if self.quick and "<|" not in text and "Σ" not in text:
-            text = text.lower()  # as the library does, so that fewer pieces are different
+            # The library composes letters and marks before it takes lower case. Where that changes nothing, lower case
+            # is taken first, so that fewer pieces are different; other texts go to the library as they are.
+            low = text.lower()
+            if text.isascii() or (unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low)):
+                text = low
         pieces = text.replace("\n", " ").split(" ")
         kept = self.kept
         try:
@@ -89,13 +101,10 @@ class PieceEncoder:
 
 #: The letter that stands for each byte in byte-level vocabularies.
 _LETTERS = [k for k, _ in sorted(byte_letters().items(), key=lambda x: x[1])]
-_ENCODERS: dict[str, PieceEncoder] = {}
 
 
 def encoder(path: str) -> PieceEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = PieceEncoder(path)
-    return _ENCODERS[path]
+    return held(("pieces", path), lambda: PieceEncoder(path))
 
 
 def _gear() -> np.ndarray:
@@ -109,18 +118,21 @@ def _gear() -> np.ndarray:
 _GEAR = _gear()
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id stream. They depend on near ids only, so an edit moves few of them."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Where the rolling hash of an id stream asks for a cut."""
+    if not len(ids):
+        return np.zeros(0, np.int64)
     h, step = _GEAR[ids & 0xFFFF], 1
     while step < WINDOW:
         more = h.copy()
         more[step:] += h[:-step] << np.uint64(step)
         h, step = more, 2 * step
+    return np.flatnonzero(h >> np.uint64(64 - CUT_BITS) == 0) + 1
+
+
+def _ends(n: int, marked: list[int]) -> list[int]:
     out, last = [], 0
-    for c in (np.flatnonzero(h >> np.uint64(64 - CUT_BITS) == 0) + 1).tolist():
+    for c in marked:
         while c - last > MOST:
             last += MOST
             out.append(last)
@@ -133,6 +145,11 @@ def cuts(ids: np.ndarray) -> list[int]:
     return [*out, n]
 
 
+def cuts(ids: np.ndarray) -> list[int]:
+    """Ends of the chunks of an id stream. They depend on near ids only, so an edit moves few of them."""
+    return _ends(len(ids), marks(ids).tolist()) if len(ids) else []
+
+
 def digest(ids: bytes) -> bytes:
     return hashlib.blake2b(ids, digest_size=16).digest()
 
@@ -205,18 +222,24 @@ def encoded(docs: DataFrame, path: str, end_id: int, text: str = "text", doc_id:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(path), np.array([end_id], "<u4").tobytes()
         for b in batches:
-            sizes, total, keys, counts, bodies = [0], [], [], [], []
-            for x in b.column("text").to_pylist():
-                raw = (enc.encode(x) if x else b"") + end
-                ids, last = np.frombuffer(raw, "<u4"), 0
-                packed = ids.astype("<u2").tobytes() if enc.width == 2 else raw
-                for c in cuts(ids):
-                    keys.append(digest(raw[4 * last : 4 * c]))
+            raws = [enc.encode(x) + end if x else end for x in b.column("text").to_pylist()]
+            raw = b"".join(raws)
+            ids = np.frombuffer(raw, "<u4")
+            packed = ids.astype("<u2").tobytes() if enc.width == 2 else raw
+            # One rolling hash for the batch: a chunk has LEAST ids, so none of a document's cuts can see the one before.
+            total = [len(x) // 4 for x in raws]
+            marked = marks(ids)
+            begins = np.cumsum([0, *total])
+            upto = np.searchsorted(marked, begins, side="right").tolist()
+            marked, sizes, keys, counts, bodies = marked.tolist(), [0], [], [], []
+            for k, (at, n) in enumerate(zip(begins.tolist(), total)):
+                last = 0
+                for c in _ends(n, [m - at for m in marked[upto[k] : upto[k + 1]]]) if n > LEAST else (n,):
+                    keys.append(digest(raw[4 * (at + last) : 4 * (at + c)]))
                     counts.append(c - last)
-                    bodies.append(packed[enc.width * last : enc.width * c])
+                    bodies.append(packed[enc.width * (at + last) : enc.width * (at + c)])
                     last = c
                 sizes.append(len(keys))
-                total.append(len(ids))
             chunks = pa.StructArray.from_arrays([pa.array(keys, pa.binary()), pa.array(counts, pa.int32()), pa.array([enc.width] * len(keys), pa.int32()), pa.array(bodies, pa.binary())], names=["digest", "n", "width", "ids"])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(total, pa.int64()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), chunks)], names=["doc_id", "n_tokens", "chunks"])
 
@@ -226,18 +249,19 @@ def encoded(docs: DataFrame, path: str, end_id: int, text: str = "text", doc_id:
 def write_store(docs: DataFrame, path: str, end_id: int, text: str = "text") -> Store:
     """Encodes every whole text and writes the three parts below a new folder of the shared store.
 
-    Defined results: null and empty texts are the end id alone, documents of one doc_id stand in order of their size
-    and root, null ids come first, an empty table gives empty parts; other columns are not read.
+    Defined results: null and empty texts are the end id alone, documents of one doc_id (repeated rows too) stand in order
+    of their size and root, null ids come first, an empty table gives empty parts; other columns are not read; texts may
+    have any length.
     """
     spark = docs.sparkSession
     store = Store(new_path(spark, "token-store"))
     done = written(encoded(docs, path, end_id, text), "encoded")
     (done.select(F.explode("chunks").alias("c")).select("c.*").groupBy("digest").agg(F.first("n").alias("n"), F.first("width").alias("width"), F.first("ids").alias("ids"))
         .write.option("compression", "zstd").parquet(f"{store.path}/chunks"))
-    n = partitions(spark)
+    n = max(partitions(spark), done.count() // BLOCK)
     bounds = range_bounds(done, "doc_id", n)
     rows = done.select("doc_id", "n_tokens", F.col("chunks.digest").alias("digests"), F.col("chunks.n").alias("sizes")).withColumn("block", range_of(F.col("doc_id"), bounds))
-    # One number for each block (as many as partitions), to begin its running total with.
+    # One number for each block, to begin its running total with.
     sums = {r["block"]: r["n"] for r in rows.groupBy("block").agg(F.sum("n_tokens").alias("n")).collect()}
     begin, offsets = 0, []
     for b in range(len(bounds) + 1):
@@ -246,20 +270,23 @@ def write_store(docs: DataFrame, path: str, end_id: int, text: str = "text") ->
     order = Window.partitionBy("block").orderBy("doc_id", "n_tokens", "root")
     rows = (
         rows.withColumn("root", _root(F.col("digests")))
-        .withColumn("start", F.element_at(F.array(*map(F.lit, offsets)), F.col("block") + 1).cast("long") + F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens"))
+        .withColumn("start", F.element_at(F.lit(offsets), F.col("block") + 1).cast("long") + F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens"))
         .withColumn("leaf", ((F.row_number().over(order) - 1) / LEAF).cast("int"))
     )
     rows.select("doc_id", "start", "n_tokens", "digests", "sizes", "root", "leaf", "block").write.option("compression", "zstd").partitionBy("block").parquet(f"{store.path}/recipes")
     manifest_of(store.read(spark, "recipes")).write.parquet(f"{store.path}/manifest")
+    discard(done)
     return store
 
 
 def manifest_of(recipes: DataFrame) -> DataFrame:
-    """Merkle roots: of each leaf (at most LEAF documents), and of each block (leaf is null) over its leaves."""
+    """Merkle roots: of each leaf (at most LEAF documents), of each block (leaf is null) over its leaves, and of all blocks
+    (both are null), which is there for an empty store too."""
     in_order = lambda key: _root_hex(F.transform(F.array_sort(F.collect_list(F.struct(key, "root"))), lambda x: x["root"]))
     leaves = recipes.groupBy("block", "leaf").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.min("start").alias("start"), in_order("start").alias("root"))
     blocks = leaves.groupBy("block").agg(F.lit(None).cast("int").alias("leaf"), F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.min("start").alias("start"), in_order("leaf").alias("root"))
-    return leaves.unionByName(blocks)
+    whole = blocks.agg(F.lit(None).cast("int").alias("block"), F.lit(None).cast("int").alias("leaf"), F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n_docs"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"), F.min("start").alias("start"), in_order("block").alias("root"))
+    return leaves.unionByName(blocks).unionByName(whole)
 
 
 def _root_hex(roots: Column) -> Column:
@@ -287,8 +314,12 @@ def read_back(spark: SparkSession, store: Store) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 and n_chunks of each document, from the files alone.
 
     Chunk bytes are read once, where they lie; only digests and checksums move. A document's CRC-32 is the exclusive or
-    of its chunks' checksums, each shifted by the bytes that follow it. Damaged, missing or short parts are errors.
+    of its chunks' checksums, each shifted by the bytes that follow it. Damaged, missing or short parts are errors: of
+    recipes and the manifest before anything is read, as all counts and Merkle roots are compared both ways; of chunks
+    when the result is read. A chunk of very many documents is a skewed key of the join, which Spark splits at run time.
     """
+    if wrong := verify(spark, store).limit(5).collect():
+        raise ValueError(f"manifest and recipes differ, as at {[(r['block'], r['leaf']) for r in wrong]}")
     recipes = store.read(spark, "recipes").where(F.assert_true(F.col("root") == _root(F.col("digests")), F.lit("a recipe is damaged")).isNull())
     parts = (
         recipes.select("doc_id", "start", "n_tokens", F.posexplode("digests").alias("k", "digest"), "sizes")
@@ -314,6 +345,9 @@ def documents_of(spark: SparkSession, store: Store) -> DataFrame:
 
 
 def verify(spark: SparkSession, store: Store) -> DataFrame:
-    """Rows of the manifest that the recipes do not confirm; none if the store is whole."""
+    """Rows of the manifest that the recipes do not confirm, and rows that they ask for beside it; none if both are whole."""
     again = manifest_of(store.read(spark, "recipes"))
-    return again.exceptAll(store.read(spark, "manifest").select(again.columns))
+    kept = store.read(spark, "manifest").select(again.columns)
+    # Equal rows meet in pairs, one of each side; a row of one side alone stands out.
+    both = again.withColumn("side", F.lit(1)).unionByName(kept.withColumn("side", F.lit(-1)))
+    return both.groupBy(again.columns).agg(F.sum("side").alias("side")).where("side <> 0").drop("side")
