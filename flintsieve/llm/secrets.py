@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flintsieve.llm.common import written
-from flintsieve.llm.spans import by_start, find_all, listed, of_kind
+from flintsieve.llm.spans import apart, by_start, find_all, listed, of_kind
 
 KINDS = ["assign", "access", "hex", "random"]
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]++)"""
@@ -62,24 +62,24 @@ def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with `spans`: the base spans and random-looking tokens that touch none of them.
 
     Defined results: a null text has none; repeated rows get the same spans each; where either sample is empty, as in
-    an empty table, only base spans are found; a column named spans is replaced.
+    an empty table, only base spans are found; a column named spans is replaced, other names cannot clash; null ids and
+    ties play no part; a very long text costs time in proportion.
     """
     columns = [c for c in docs.columns if c.lower() != "spans"]
     clean = F.coalesce(text, F.lit(""))
     long = F.filter(find_all(clean, TOKEN, "random"), lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]"))
-    rows = docs.select(*columns, base_spans(clean).alias("_base"), long.alias("_long"))
-    rows = rows.withColumn("_long", F.filter("_long", lambda s: ~F.exists("_base", lambda b: (s["start"] < b["end"]) & (b["start"] < s["end"]))))
-    rows = written(rows, "secrets")
-    values = rows.select(F.explode("_base").alias("s")).select(F.when(F.col("s.kind") == "assign", F.regexp_extract("s.value", ASSIGN, 1)).otherwise(F.col("s.value")).alias("token"))
-    n = rows.count()
-    some = rows.where(F.pmod(F.xxhash64(text), F.lit(1 << 20)) < math.ceil(min(1.0, SAMPLE / max(n, 1)) * (1 << 20)))
-    words = some.where("size(_base) = 0").select(F.explode(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[A-Za-z0-9+/_-]{4,}+"), F.lit(0))).alias("token"))
+    # The caller's columns stay inside one struct, so that none can clash with those made here.
+    rows = written(docs.select(F.struct(*columns).alias("row"), base_spans(clean).alias("base"), long.alias("long")), "secrets")
+    values = rows.select(F.explode("base").alias("s")).select(F.when(F.col("s.kind") == "assign", F.regexp_extract("s.value", ASSIGN, 1)).otherwise(F.col("s.value")).alias("token"))
+    n, own = rows.count(), F.col("row")[text]
+    some = rows.where(F.pmod(F.xxhash64(own), F.lit(1 << 20)) < math.ceil(min(1.0, SAMPLE / max(n, 1)) * (1 << 20)))
+    words = some.where("size(base) = 0").select(F.explode(F.regexp_extract_all(F.coalesce(own, F.lit("")), F.lit(r"[A-Za-z0-9+/_-]{4,}+"), F.lit(0))).alias("token"))
     # Long tokens of several digits are what is to be judged, and no sample of ordinary ones.
     words = words.where(~((F.length("token") >= 20) & F.col("token").rlike("[0-9].*[0-9].*[0-9]")))
     ratios = markov_ratios(values.where(F.col("token").rlike("[0-9]")), words)
-    base = F.col("_base")
-    spans = base if ratios is None else F.concat(base, F.filter("_long", lambda s: likely_random(s["value"], ratios)))
-    return rows.select(*columns, by_start(spans, KINDS).alias("spans"))
+    base = F.col("base")
+    spans = base if ratios is None else F.concat(base, F.filter(apart(F.col("long"), F.array_sort(F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))), lambda s: likely_random(s["value"], ratios)))
+    return rows.select("row.*", by_start(spans, KINDS).alias("spans"))
 
 
 def likely_random(token: Column, ratios: list[float]) -> Column:
