@@ -19,6 +19,8 @@ from flintsieve.llm.common import partitions, range_bounds, range_of
 
 #: 64-bit words of counts, of two components 32 bits apart: 30 from each of two hashes.
 WORDS = 60
+#: Ranges of doc_id for each partition of a shuffle.
+RANGES = 8
 #: Components of 32 bits hashed from whole paragraphs.
 EXACT = 4
 _BITS = sum(1 << 15 * i for i in range(4))
@@ -43,12 +45,13 @@ def with_vector(df: DataFrame, text: Column, out: str = "vector") -> DataFrame:
         F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_PHRASE), F.lit(0)), lambda p: F.xxhash64(p)).alias("a"),
         F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda p: F.xxhash64(p)).alias("p"),
     )
-    df = df.withColumn("_m", F.explode(F.array(one)))
-    two = F.struct(F.col("_m.a").alias("a"), F.expr("transform(_m.a, h -> xxhash64(h, 1))").alias("b"), F.col("_m.p").alias("p"), F.expr("transform(_m.p, h -> xxhash64(h, 2))").alias("q"))
-    df = df.withColumn("_m", F.explode(F.array(two)))
+    # The caller's columns stay inside one struct, so that none can clash with those made here.
+    df = df.select(F.struct(*[c for c in df.columns if c.lower() != out.lower()]).alias("row"), F.explode(F.array(one)).alias("m"))
+    two = F.struct(F.col("m.a").alias("a"), F.expr("transform(m.a, h -> xxhash64(h, 1))").alias("b"), F.col("m.p").alias("p"), F.expr("transform(m.p, h -> xxhash64(h, 2))").alias("q"))
+    df = df.select("row", F.explode(F.array(two)).alias("m"))
     half = lambda x, shift: F.expr(f"aggregate({x}, 0L, (a, h) -> (a + (shiftrightunsigned(h, {shift}) & 4294967295L)) & 4294967295L)")
-    vector = F.concat(F.array(F.size("_m.a").cast("long"), half("_m.p", 0), half("_m.p", 32), half("_m.q", 0), half("_m.q", 32)), _lane_sums("_m.a"), _lane_sums("_m.b"))
-    return df.withColumn(out, vector).drop("_m")
+    vector = F.concat(F.array(F.size("m.a").cast("long"), half("m.p", 0), half("m.p", 32), half("m.q", 0), half("m.q", 32)), _lane_sums("m.a"), _lane_sums("m.b"))
+    return df.select("row.*", vector.alias(out))
 
 
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
@@ -88,10 +91,11 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     """Rows of docs (doc_id and the columns named) with a struct `next` of the following row's columns, in ascending
     order of doc_id and then of the columns; after the last row follows the first.
 
-    Rows are dealt by ranges of doc_id, once. Each range also gets a copy of the row that begins the next one, so no
-    window reaches over ranges, and no text passes the driver. Null ids come first.
+    Rows are dealt by ranges of doc_id, once; there are RANGES for each partition, which evens the partitions out. Each
+    range also gets a copy of the row that begins the next one, so no window reaches over ranges, and no text passes the
+    driver. Null ids come first.
     """
-    bounds = range_bounds(docs, "doc_id", partitions(docs.sparkSession))
+    bounds = range_bounds(docs, "doc_id", RANGES * partitions(docs.sparkSession))
     rows = docs.select("doc_id", *columns).withColumn("block", range_of(F.col("doc_id"), bounds))
     full = sorted(r["block"] for r in rows.select("block").distinct().collect())
     before = {b: full[i - 1] for i, b in enumerate(full)}
@@ -105,8 +109,9 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     """For each document: its length and fingerprint; those of its edited text, whose last half is replaced by the
     beginning of the next document; and the likeness to the edited text and to the next document.
 
-    Defined results: null texts count as empty; repeated rows are fingerprinted each; an empty table gives no rows;
-    other columns are not read. Texts may have any length.
+    Defined results: null texts count as empty; repeated rows are fingerprinted each, and rows of one doc_id follow each
+    other by their texts; null ids come first; an empty table gives no rows; other columns are not read. Texts may have
+    any length.
     """
     rows = with_next(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("t")), ["t"])
     n = F.length("t")
