@@ -10,7 +10,7 @@ BOUNDED = (
     "memcpy memmove wmemcpy wmemmove memcpy_chk memmove_chk strcpy_chk strcat_chk"
 ).split()
 UNBOUNDED = "gets sprintf swprintf vsprintf vswprintf strcpy strcat wcscpy wcscat".split()
-INPUT = "gets fgets fgetws scanf sscanf fscanf isoc99_scanf isoc99_sscanf isoc99_fscanf isoc23_scanf isoc23_sscanf isoc23_fscanf read recv recvfrom".split()
+INPUT = "gets fgets fgetws scanf sscanf fscanf isoc99_scanf isoc99_sscanf isoc23_scanf isoc23_sscanf read recv recvfrom".split()
 LENGTH = "strlen wcslen strnlen wcsnlen sizeof".split()
 INIT = "memset wmemset bzero".split()
 FORMAT = "sprintf snprintf swprintf vsprintf vsnprintf vswprintf".split()
