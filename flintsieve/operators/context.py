@@ -34,6 +34,13 @@ def aliases(ls: Column, found: Column) -> Column:
     return F.filter(kept, lambda p, i: F.array_position(keys, F.concat_ws("->", p["alias"], p["target"])) == i + 1)
 
 
+def alias_summary(found: Column) -> Column:
+    """struct of the number of aliases, how many name a buffer of the stack (all that aliases() gives), and the largest one."""
+    n = F.coalesce(F.size(found), F.lit(0)).cast("long")
+    largest = F.coalesce(F.array_max(F.transform(found, lambda a: a["target_size"])), F.lit(0)).cast("long")
+    return F.struct(n.alias("v6_alias_count"), n.alias("v6_stack_buffer_alias_count"), F.greatest(largest, F.lit(0)).alias("v6_alias_target_size_max"))
+
+
 def resolved(name: Column, found: Column) -> Column:
     """The target of a name's first alias, or the name."""
     return F.coalesce(F.get(F.filter(found, lambda a: a["alias"] == name), 0)["target"], name)

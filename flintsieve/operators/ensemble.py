@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 
+from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +40,24 @@ def best_vote(scores: DataFrame, grid: DataFrame, models: list[str], floor: floa
     return best.join(grid, "grid")
 
 
+# Votes that are searched, and the most that a model may weigh in any of them.
+VOTES = {
+    "WEIGHT_RF_XGB": ["rf", "xgb"], "WEIGHT_RF_DT": ["rf", "dt"], "WEIGHT_XGB_DT": ["xgb", "dt"], "WEIGHT_RF_XGB_DT": ["rf", "xgb", "dt"], "WEIGHT_ALL4": ["rf", "xgb", "dt", "lr"],
+}
+MOST_WEIGHT = {"lr": 0.10}
+
+
+def best_votes(scores: DataFrame, votes: dict[str, list[str]] = VOTES, steps: int = 20, floor: float | None = 0.95) -> DataFrame:
+    """recipe, weights (model to weight), threshold and counts of the best vote of each recipe."""
+    parts = []
+    for name, models in votes.items():
+        grid = weight_grid(scores.sparkSession, models, steps, {m: w for m, w in MOST_WEIGHT.items() if m in models})
+        best = best_vote(scores, grid, models, floor)
+        weights = F.create_map(*[x for m in models for x in (F.lit(m), F.col(f"w_{m}"))])
+        parts.append(best.select(F.lit(name).alias("recipe"), weights.alias("weights"), "threshold", "tp", "fp", "fn", "tn", "f1", "recall"))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def meta_features(scores: DataFrame, models: list[str], risks: list[str] = []) -> DataFrame:  # noqa: B006
     """scores with uncertainty of each model, difference and absolute difference of each pair, and signed logarithms."""
     p = {m: F.col(f"p_{m}") for m in models}
@@ -56,6 +76,32 @@ def closest_model(models: list[str], y: str = "y") -> Column:
     return out.otherwise(0)
 
 
+def softmax_gate(meta: DataFrame, models: list[str], inputs: list[str], c: float = 0.35, y: str = "y"):
+    """A multinomial model of which model is closest to y, on scaled inputs and with classes of equal weight; where only
+    one model ever is, its index."""
+    df = meta.withColumn("label", closest_model(models, y).cast("double"))
+    sizes = {r["label"]: r["n"] for r in df.groupBy("label").agg(F.count("*").alias("n")).collect()}  # a row for each model
+    if len(sizes) < 2:
+        return int(next(iter(sizes), 0))
+    n = sum(sizes.values())
+    weight = F.coalesce(*[F.when(F.col("label") == k, n / (len(sizes) * v)) for k, v in sizes.items()])
+    return Pipeline(stages=[
+        VectorAssembler(inputCols=inputs, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True),
+        LogisticRegression(labelCol="label", weightCol="weight", family="multinomial", maxIter=3000, regParam=1 / (c * n), standardization=False),
+    ]).fit(df.withColumn("weight", weight))
+
+
+def apply_softmax_gate(df: DataFrame, gate, models: list[str], out: str = "p") -> DataFrame:
+    """df with the models' scores p_<model>, weighted by the gate's probability of each; classes it has not met weigh 0."""
+    if isinstance(gate, int):
+        return df.withColumn(out, F.col(f"p_{models[gate]}"))
+    scored = gate.transform(df).withColumn("_w", vector_to_array("probability"))
+    weights = [F.coalesce(F.get("_w", F.lit(i)), F.lit(0.0)) for i in range(len(models))]
+    total = sum(weights, F.lit(0.0))
+    p = sum((w * F.col(f"p_{m}") for w, m in zip(weights, models)), F.lit(0.0)) / F.when(total > 0, total).otherwise(1.0)
+    return scored.withColumn(out, p).select(*df.columns, out)
+
+
 def gated(a: Column, b: Column, gate: Column, least: float, most: float) -> Column:
     """Score of a pair: the gate's probability moves the weight of b between two bounds."""
     w = least + (most - least) * gate

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Words of operands that refer to the stack, and beginnings of mnemonics that write.
+STACK_WORDS = ["rbp", "rsp", "ebp", "esp", "local_", "stack_", "austack", "acstack", "aistack"]
+WRITING = ["mov", "stos", "rep"]
 
 def histogram(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """A map of counts of the lower-cased values of each key."""
@@ -21,6 +24,15 @@ def instruction_counts(instructions: DataFrame, keys: list[str], mnemonic: str =
     return instructions.groupBy(*keys).agg(*[F.count_if(c).alias(k) for k, c in kinds.items()])
 
 
+def stack_accesses(instructions: DataFrame, keys: list[str], mnemonic: str = "mnemonic", operands: str = "operands") -> DataFrame:
+    """For each key: instructions whose operands refer to the stack, and those of them that look like writes."""
+    text, m = F.lower(F.coalesce(operands, F.lit(""))), F.lower(mnemonic)
+    any_of = lambda test, words: F.exists(F.array(*map(F.lit, words)), test)
+    stack = any_of(lambda w: F.contains(text, w), STACK_WORDS)
+    writes = any_of(lambda w: F.startswith(m, w), WRITING)
+    return instructions.groupBy(*keys).agg(F.count_if(stack).alias("stack_mem_access_count"), F.count_if(stack & writes).alias("stack_write_like_count"))
+
+
 def distinct_offsets(accesses: DataFrame, keys: list[str], offset: Column) -> DataFrame:
     """Ascending distinct offsets of each key, and how many there are."""
     return accesses.groupBy(*keys).agg(F.sort_array(F.collect_set(offset)).alias("offsets")).withColumn("n_offsets", F.size("offsets").cast("long"))

@@ -6,11 +6,15 @@ Feature tables have a row for each feature; data tables are read once, by one ag
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flintsieve.functions import constants as C
 from flintsieve.functions import names
+from flintsieve.operators.models import balanced
 from flintsieve.operators.vectorize import finite
 
 # Weights of groups and of the parts of a base score; words of risk columns and how many are taken; the least
@@ -82,6 +86,37 @@ def ranked_features(stats: DataFrame) -> DataFrame:
     return out.withColumn("score", F.col("base_score") * group_weight(F.col("group")))
 
 
+def importances(df: DataFrame, features: list[str], label: str = "label", trees: int = 500, seed: int = 42) -> DataFrame:
+    """(feature, rf_importance, et_importance) of two forests on balanced rows, with the square root and with a third of the
+    features at a split. Spark ML has no extremely random trees; the second forest stands for them."""
+    df = balanced(df.select(*[finite(F.col(c)).alias(c) for c in features], F.col(label).cast("double").alias("label")))
+    vec = VectorAssembler(inputCols=features, outputCol="features").transform(df).select("features", "label", "weight")
+    found = []
+    for strategy in ("sqrt", "onethird"):
+        forest = RandomForestClassifier(labelCol="label", weightCol="weight", numTrees=trees, maxDepth=15, maxBins=64, featureSubsetStrategy=strategy, seed=seed)
+        found.append(forest.fit(vec).featureImportances.toArray().tolist())
+    return df.sparkSession.createDataFrame(list(zip(features, *found)), "feature string, rf_importance double, et_importance double")
+
+
+def model_importances(spark: SparkSession, models: dict[str, PipelineModel], order: tuple[str, ...] = ("RandomForest", "XGBoost", "DecisionTree")) -> DataFrame:
+    """(feature, rf_importance) of fitted models; a later model of the order takes the place of earlier ones."""
+    last: dict[str, float] = {}
+    for name in [n for n in order if n in models]:
+        fitted = next((s for s in models[name].stages if hasattr(s, "featureImportances")), None)
+        inputs = next((s.getInputCols() for s in models[name].stages if isinstance(s, VectorAssembler)), [])
+        if fitted is not None:
+            last |= dict(zip(inputs, fitted.featureImportances.toArray().tolist()))
+    return spark.createDataFrame(list(last.items()), "feature string, rf_importance double")
+
+
+def composition(audit: DataFrame) -> DataFrame:
+    """For each group of audited features (group, score, class_separation, nonzero_ratio): how many, mean and best score, mean separation and share of
+    non-zero values; largest groups first."""
+    out = audit.groupBy("group").agg(
+        F.count("*").alias("feature_count"), F.avg("score").alias("mean_score"), F.max("score").alias("max_score"), F.avg("class_separation").alias("mean_separation"), F.avg("nonzero_ratio").alias("mean_nonzero"))
+    return out.orderBy(F.desc("feature_count"), F.desc("mean_score"), "group")
+
+
 def select_score(audit: DataFrame) -> DataFrame:
     """Audited features (audit_score, group, proxy_flags) with their final score: a bonus for the group, less a penalty for
     each mark of a stand-in."""

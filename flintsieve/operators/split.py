@@ -51,6 +51,26 @@ def group_split(df: DataFrame, group: str, label: str, seed: int = 42, parts: di
     return out.withColumn("partition", F.coalesce("_alone", "_gathered")).drop("_group", "_alone", "_lot", "_gathered")
 
 
+def holdout(df: DataFrame, group: str | None, label: str, seed: int = 42) -> DataFrame:
+    """df with `partition` fit or held, for choosing features: a fifth of the rows by whole groups; without a group column,
+    or with fewer than five groups, a quarter of the rows by a seeded hash of the row within each label."""
+    if group and df.where(F.col(group).isNotNull()).select(group).distinct().limit(5).count() == 5:
+        return group_split(df, group, label, seed, {"fit": 800, "held": 200})
+    mixed = F.pmod(F.xxhash64(F.lit(seed), *[F.col(c) for c in sorted(df.columns)]), F.lit(4))
+    return df.withColumn("partition", F.when(mixed == 0, "held").otherwise("fit"))
+
+
+def row_split(df: DataFrame, key: list[str], label: str, seed: int = 42, parts: dict[str, int] = PARTS) -> DataFrame:
+    """df with `partition` by rows, for data without groups: a seeded hash of the key within each label, so that shares hold
+    for both labels as far as their rows are many. Leaks between rows of one origin are not prevented; group_split does."""
+    place = F.pmod(F.xxhash64(F.lit(seed), F.col(label).cast("string"), *[F.col(k) for k in key]), F.lit(sum(parts.values())))
+    out, end = F, 0
+    for name, share in parts.items():
+        end += share
+        out = out.when(place < end, name)
+    return df.withColumn("partition", out)
+
+
 def split_report(df: DataFrame, group: str, label: str) -> DataFrame:
     """For each partition: rows, groups, rows of both labels, and groups that another partition has too (should be 0)."""
     shared = df.groupBy(group).agg(F.count_distinct("partition").alias("k"))

@@ -30,38 +30,61 @@ def number_stats(values: Column, nonzero: bool = False) -> dict[str, Column]:
     return out
 
 
-def flatten(schema: T.StructType, at: Column | None = None, path: tuple[str, ...] = (), maps: dict[str, list[str]] | None = None, nonzero: bool = False) -> dict[str, Column]:
-    """Feature columns of a nested schema: numbers and flags as doubles, arrays as statistics, wanted keys of count
-    maps; text is ignored. maps names the keys by the beginning of the feature's name."""
+def number(c: Column) -> Column:
+    """A variant's number or flag as a double; text and other kinds are null."""
+    kind = F.schema_of_variant(c)
+    return F.when(kind == "BOOLEAN", F.try_variant_get(c, "$", "boolean").cast("double")).when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(c, "$", "double"))
+
+
+def flatten(schema: T.StructType, at: Column | None = None, path: tuple[str, ...] = (), maps: dict[str, list[str]] | None = None, nonzero: bool = False, leaf=finite) -> dict[str, Column]:
+    """Feature columns of a nested schema: numbers and flags as doubles, arrays as statistics (members of their structs at
+    any depth), keys of count maps; text is ignored, and of variants all but numbers. maps names the wanted keys of maps
+    by the beginning of the feature's name; count maps that are structs have their keys in the schema."""
     out: dict[str, Column] = {}
     for f in schema.fields:
         c = F.col(f"`{f.name}`") if at is None else at[f.name]
         here = path if f.name in TRANSPARENT else (*path, key_name(f.name))
-        name = "_".join(here)
-        if isinstance(f.dataType, T.NumericType | T.BooleanType):
-            out[name] = finite(c.cast("int") if isinstance(f.dataType, T.BooleanType) else c)
-        elif isinstance(f.dataType, T.StructType):
-            out |= flatten(f.dataType, c, here, maps, nonzero)
-        elif isinstance(f.dataType, T.MapType) and f.name in COUNT_MAPS:
-            out |= {f"{COUNT_MAPS[f.name]}_{key_name(k)}": finite(F.try_element_at(c, F.lit(k))) for k in (maps or {}).get(COUNT_MAPS[f.name], [])}
-        elif isinstance(f.dataType, T.ArrayType):
-            e = f.dataType.elementType
-            if isinstance(e, T.NumericType | T.BooleanType):
-                out |= {f"{name}_{k}": v for k, v in number_stats(F.transform(c, lambda v: v.cast("int")) if isinstance(e, T.BooleanType) else c, nonzero).items()}
-            elif isinstance(e, T.StructType):
-                out |= {f"{name}_count": F.coalesce(F.size(c), F.lit(0)).cast("double"), f"{name}_dict_count": F.coalesce(F.size(F.filter(c, lambda v: v.isNotNull())), F.lit(0)).cast("double")}
-                for g in e.fields:
-                    if isinstance(g.dataType, T.NumericType | T.BooleanType):
-                        values = F.transform(c, _member(g))
-                        out |= {f"{name}_{key_name(g.name)}_{k}": v for k, v in number_stats(values, nonzero).items()}
-            else:
-                out[f"{name}_count"] = F.coalesce(F.size(c), F.lit(0)).cast("double")
+        name, kind, counts = "_".join(here), f.dataType, COUNT_MAPS.get(f.name.lower())
+        if _numeric(kind):
+            out[name] = leaf(_number_of(c, kind))
+        elif isinstance(kind, T.StructType) and counts:
+            out |= {f"{counts}_{key_name(g.name)}": leaf(_number_of(c[g.name], g.dataType)) for g in kind.fields if _numeric(g.dataType)}
+        elif isinstance(kind, T.StructType):
+            out |= flatten(kind, c, here, maps, nonzero, leaf)
+        elif isinstance(kind, T.MapType) and counts:
+            out |= {f"{counts}_{key_name(k)}": leaf(F.try_element_at(c, F.lit(k))) for k in (maps or {}).get(counts, [])}
+        elif isinstance(kind, T.ArrayType):
+            out |= {f"{name}_{k}": v if leaf is finite else F.when(c.isNotNull(), v) for k, v in _list_features(c, kind.elementType, nonzero).items()}
+    return out
+
+
+def _list_features(c: Column, e: T.DataType, nonzero: bool) -> dict[str, Column]:
+    """Statistics of an array: of its numbers, or of each number within its structs; of others their count."""
+    count = F.coalesce(F.size(c), F.lit(0)).cast("double")
+    if _numeric(e):
+        return number_stats(F.transform(c, lambda v: _number_of(v, e)), nonzero)
+    if not isinstance(e, T.StructType):
+        return {"count": count}
+    out = {"count": count, "dict_count": F.coalesce(F.size(F.filter(c, lambda v: v.isNotNull())), F.lit(0)).cast("double")}
+    within = lambda v: flatten(e, v, (), None, False, _present)
+    member = lambda name: lambda v: within(v)[name]
+    for name in within(F.col("x")):
+        out |= {f"{name}_{k}": s for k, s in number_stats(F.transform(c, member(name)), nonzero).items()}
     return out
 
 
-def _member(field: T.StructField):
-    """What takes a field out of a struct; flags as 0 and 1."""
-    return (lambda v: v[field.name].cast("int")) if isinstance(field.dataType, T.BooleanType) else (lambda v: v[field.name])
+def _numeric(kind: T.DataType) -> bool:
+    return isinstance(kind, T.NumericType | T.BooleanType | T.VariantType)
+
+
+def _number_of(c: Column, kind: T.DataType) -> Column:
+    return number(c) if isinstance(kind, T.VariantType) else c.cast("int") if isinstance(kind, T.BooleanType) else c
+
+
+def _present(c: Column) -> Column:
+    """A finite double, or null."""
+    x = c.try_cast("double")
+    return F.when(F.abs(x) < float("inf"), x)
 
 
 def align(df: DataFrame, ids: list[str], features: list[str]) -> DataFrame:

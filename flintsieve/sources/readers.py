@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,16 +26,27 @@ def read_programs(spark: SparkSession, paths: str | list[str], skip_info: bool =
     Spark, recursively, from any store. No function at all is an error.
     """
     df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(paths, wholetext=True)
-    df = df.select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("json_file"), F.try_parse_json("value").alias("v")).where("v IS NOT NULL")
+    df = df.select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("json_file"), "value")
     if skip_info:
         df = df.where(~F.col("json_file").endswith(".info.json"))
-    listed = [F.try_variant_get("v", "$", "array<variant>"), *[F.try_variant_get("v", f"$.{k}", "array<variant>") for k in FUNCTION_KEYS]]
-    out = df.select("json_file", "v", F.explode(F.coalesce(*listed, F.array("v"))).alias("f")).where(F.schema_of_variant("f").startswith("OBJECT"))
+    out = parse_programs(df)
     if out.isEmpty():
         raise ValueError(f"no function in {paths}")
     return out
 
 
+def parse_programs(texts: DataFrame) -> DataFrame:
+    """json_file, the document v and each of its functions f (variants) of (json_file, value); a projection without a shuffle."""
+    df = texts.select("json_file", F.try_parse_json("value").alias("v")).where("v IS NOT NULL")
+    listed = [F.try_variant_get("v", "$", "array<variant>"), *[F.try_variant_get("v", f"$.{k}", "array<variant>") for k in FUNCTION_KEYS]]
+    return df.select("json_file", "v", F.explode(F.coalesce(*listed, F.array("v"))).alias("f")).where(F.schema_of_variant("f").startswith("OBJECT"))
+
+
+def unreadable(texts: DataFrame) -> DataFrame:
+    """json_file of the documents (json_file, value) that parse_programs leaves out as no JSON."""
+    return texts.where(F.try_parse_json("value").isNull()).select("json_file")
+
+
 def with_ids(programs: DataFrame) -> DataFrame:
     """Id columns of each function: names fall back to others, and empty ones count as missing."""
     get = lambda c, *keys: [F.try_variant_get(c, f"$.{k}", "string") for k in keys]
@@ -53,6 +66,24 @@ def write_table(df: DataFrame, path: str) -> None:
     df.write.option("header", True).csv(path)
 
 
+def write_json(df: DataFrame, path: str) -> None:
+    """A JSON object a line, null members included."""
+    df.write.option("ignoreNullFields", False).json(path)
+
+
+def write_report(sections: dict[str, DataFrame], path: str) -> None:
+    """A text report: the title of each section, then its rows as comma-separated text below a line of column names.
+
+    For tables of a bounded size (features, groups): rows come in the order of their frame, so one task writes each."""
+    whole = None
+    for i, (title, df) in enumerate(sections.items()):
+        head = df.sparkSession.createDataFrame([(i, -2, f"== {title}"), (i, -1, ", ".join(df.columns))], "part int, row long, value string")
+        values = [F.when(F.col(c).isNull(), "").otherwise(F.format_string("%.6f", c) if t in ("double", "float") else F.col(c).cast("string")) for c, t in df.dtypes]
+        rows = df.coalesce(1).select(F.lit(i).alias("part"), F.monotonically_increasing_id().alias("row"), F.concat_ws(", ", *values).alias("value"))
+        whole = head.unionByName(rows) if whole is None else whole.unionByName(head).unionByName(rows)
+    whole.coalesce(1).sortWithinPartitions("part", "row").select("value").write.text(path)
+
+
 def read_feature_list(spark: SparkSession, path: str) -> list[str]:
     """Names of features in order: a JSON list, a JSON object with one of LIST_KEYS, text lines with # comments, or CSV
     (one column of names, else the header)."""
@@ -91,3 +122,35 @@ def load_models(folder: str, names: list[str]) -> tuple[dict[str, PipelineModel]
     if not models:
         raise ValueError(f"no model in {folder}: {errors}")
     return models, errors
+
+
+def save_models(models: dict[str, PipelineModel], folder: str, features: list[str]) -> None:
+    """Each model in a folder of its name, and the features in their order beside them."""
+    for name, model in models.items():
+        model.write().overwrite().save(os.path.join(folder, name))
+    spark = SparkSession.active()
+    spark.createDataFrame([(json.dumps({"feature_columns": features}),)], "value string").coalesce(1).write.mode("overwrite").text(os.path.join(folder, "feature_columns.json"))
+
+
+def model_features(model: object) -> list[str] | None:
+    """The features that a model was fitted on: those of its first assembler, however deep pipelines are nested."""
+    for stage in getattr(model, "stages", []):
+        if isinstance(stage, VectorAssembler):
+            return list(stage.getInputCols())
+        if found := model_features(stage):
+            return found
+    return None
+
+
+def infer_features(spark: SparkSession, files: list[str], models: dict[str, PipelineModel]) -> list[str]:
+    """The first feature list that can be read and is not empty, else the features of the first model that knows them."""
+    for path in files:
+        try:
+            if found := read_feature_list(spark, path):
+                return found
+        except (ValueError, AnalysisException):
+            continue
+    for model in models.values():
+        if found := model_features(model):
+            return found
+    raise ValueError("no list of features, and no model that names its own")
