@@ -80,13 +80,15 @@ def average_precision(scores: DataFrame, p: str = "p", y: str = "y") -> DataFram
 
 
 def cross_errors(scores: DataFrame, models: dict[str, float], y: str = "y") -> DataFrame:
-    """For each ordered pair of models (column: threshold): errors of both and corrections, in one pass over the rows."""
+    """For each ordered pair of models (column: threshold): errors of both and corrections, by one aggregate over the rows."""
     wrong = {m: (F.col(m) >= t) != (F.col(y) == 1) for m, t in models.items()}
     pos = F.col(y) == 1
-    pairs = [(a, b) for a in models for b in models if a != b]
-    rows = F.array(*[F.struct(F.lit(a).alias("base_model"), F.lit(b).alias("helper_model"), *[
-        c.alias(k) for k, c in {
-            "base_fn": wrong[a] & pos, "fn_fixed": wrong[a] & pos & ~wrong[b], "both_fn": wrong[a] & wrong[b] & pos, "base_fp": wrong[a] & ~pos, "fp_fixed": wrong[a] & ~pos & ~wrong[b], "both_fp": wrong[a] & wrong[b] & ~pos,
-        }.items()]) for a, b in pairs])
-    counted = ["base_fn", "fn_fixed", "both_fn", "base_fp", "fp_fixed", "both_fp"]
-    return scores.select(F.inline(rows)).groupBy("base_model", "helper_model").agg(*[F.count_if(F.col(c)).alias(c) for c in counted])
+
+    def pair(a: str, b: str) -> Column:
+        kinds = {
+            "base_fn": wrong[a] & pos, "fn_fixed": wrong[a] & pos & ~wrong[b], "both_fn": wrong[a] & wrong[b] & pos,
+            "base_fp": wrong[a] & ~pos, "fp_fixed": wrong[a] & ~pos & ~wrong[b], "both_fp": wrong[a] & wrong[b] & ~pos,
+        }
+        return F.struct(F.lit(a).alias("base_model"), F.lit(b).alias("helper_model"), *[F.count_if(c).alias(k) for k, c in kinds.items()])
+
+    return scores.agg(F.array(*[pair(a, b) for a in models for b in models if a != b]).alias("pairs")).select(F.inline("pairs"))
