@@ -24,7 +24,8 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select(*[F.round(c, 6).alias(c) if t == "double" else c for c, t in found.dtypes])
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +66,63 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def _grams(words: str, size: str) -> str:
+    """SQL of the distinct runs of so many words of a list."""
+    return f"list_distinct([array_to_string({words}[i : i + {size} - 1], ' ') for i in range(1, len({words}) - {size} + 2)])"
+
+
+_W = r"'[\p{L}\p{N}_]+'"
+#: Every passage against every item that shares a word, scored and verified without an index.
+OP2_SQL = rf"""
+WITH items AS (
+  SELECT item_id, w, len(w) AS n, CASE WHEN a = 0 THEN len(w) ELSE a END AS a FROM (
+    SELECT item_id, regexp_extract_all(lower(text), {_W}) AS w,
+           len(regexp_extract_all(regexp_split_to_array(regexp_replace(text, '^\s+|\s+$', '', 'g'), '[.!?]+\s+')[-1], {_W})) AS a
+    FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL) WHERE len(w) > 0),
+figures AS (SELECT count(*) AS items, avg(n) AS mean, max(n) AS step FROM items),
+tf AS (SELECT item_id, n, t, count(*) AS f FROM (SELECT item_id, n, unnest(w) AS t FROM items) GROUP BY item_id, n, t),
+idf AS (SELECT t, ln(1 + (items - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf CROSS JOIN figures GROUP BY t, items),
+parts AS (SELECT item_id, t, idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / mean)) AS v FROM tf JOIN idf USING (t) CROSS JOIN figures),
+weights AS (SELECT item_id, t, v / sum(v) OVER (PARTITION BY item_id) AS v FROM parts),
+docs AS (SELECT doc_id, w, step FROM (SELECT doc_id, regexp_extract_all(lower(text), {_W}) AS w FROM documents WHERE text IS NOT NULL) CROSS JOIN figures WHERE len(w) > 0),
+starts AS (SELECT doc_id, w, step, unnest(range(0, greatest(1, len(w) - step), step)) AS place FROM docs),
+passages AS (SELECT doc_id, place, w[place + 1 : place + 2 * step] AS p FROM starts),
+found AS (
+  SELECT doc_id, place, item_id, sum(v) AS score FROM (SELECT DISTINCT doc_id, place, unnest(p) AS t FROM passages) JOIN weights USING (t)
+  GROUP BY doc_id, place, item_id HAVING sum(v) >= 0.5 - 1e-9),
+read AS (
+  SELECT doc_id, place, item_id, score, p, w, w[n - a + 1 :] AS answer, CASE WHEN n > a THEN w[: n - a] ELSE w END AS question
+  FROM found JOIN passages USING (doc_id, place) JOIN items USING (item_id)),
+grams AS (
+  SELECT *, {_grams("w", "least(5, len(w))")} AS wg, {_grams("p", "least(5, len(w))")} AS wp,
+         {_grams("question", "least(5, len(question))")} AS qg, {_grams("p", "least(5, len(question))")} AS qp FROM read),
+shared AS (
+  SELECT doc_id, place, item_id, score, len(list_intersect(wg, wp)) / len(wg) AS gram_overlap, len(list_intersect(qg, qp)) / len(qg) AS question_overlap,
+         len(list_intersect(list_distinct(answer), list_distinct(p))) / len(list_distinct(answer)) AS answer_overlap FROM grams)
+SELECT doc_id, item_id, round(score, 6) AS score, round(gram_overlap, 6) AS gram_overlap, round(question_overlap, 6) AS question_overlap, round(answer_overlap, 6) AS answer_overlap
+FROM shared WHERE gram_overlap >= 0.8 AND question_overlap >= 0.5 AND answer_overlap >= 0.5
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY score DESC, gram_overlap DESC, place) = 1
+"""
+
+#: Every two different sets that share a shingle, counted, and what their links reach.
+OP3_SQL = rf"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] 
+    ELSE list_sort(list_distinct([x[1] || ' ' || x[2] || ' ' || x[3] || ' ' || x[4] for x in list_zip(w[: len(w) - 3], w[2 : len(w) - 2], w[3 : len(w) - 1], w[4 :])])) END AS g FROM split),
+named AS (SELECT doc_id, g, len(g) AS n, min(doc_id) OVER (PARTITION BY g) AS c FROM sets WHERE len(g) > 0),
+shingles AS (SELECT c, n, unnest(g) AS s FROM named WHERE doc_id = c),
+pairs AS (
+  SELECT a.c AS x, b.c AS y FROM shingles a JOIN shingles b ON a.s = b.s AND a.c < b.c AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+links AS (SELECT x, y FROM pairs UNION ALL SELECT y, x FROM pairs),
+reach AS (SELECT DISTINCT c, c AS r FROM named UNION SELECT reach.c, links.y FROM reach JOIN links ON reach.r = links.x),
+least_of AS (SELECT c, min(r) AS component_id FROM reach GROUP BY c)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, component_id FROM named JOIN least_of USING (c)
+UNION ALL SELECT doc_id, CAST(0 AS BIGINT), doc_id FROM sets WHERE len(g) = 0
+"""
+
 OP10_SQL = r"""
 WITH parts AS (
   SELECT page_id, coalesce(CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END, '') AS rest FROM pages),
@@ -81,4 +139,4 @@ FROM hp LEFT JOIN best ON hp.host = best.host AND hp.path = best.path
 """
 
 QUERIES = {"op1_token_store": op1_token_store, "op2_decontaminate": op2_decontaminate, "op3_jaccard_join": op3_jaccard_join, "op4_bpe": op4_bpe, "op5_pii": op5_pii, "op6_token_counts": op6_token_counts, "op7_language": op7_language, "op8_secrets": op8_secrets, "op9_set_hash": op9_set_hash, "op10_url_filter": op10_url_filter}
-SQL = {"op10_url_filter": OP10_SQL}
+SQL = {"op2_decontaminate": OP2_SQL, "op3_jaccard_join": OP3_SQL, "op10_url_filter": OP10_SQL}
