@@ -33,10 +33,11 @@ def vote(models: list[str]) -> Column:
 
 
 def best_vote(scores: DataFrame, grid: DataFrame, models: list[str], floor: float | None = 0.95) -> DataFrame:
-    """The best weights and threshold: every row meets every weight (a fixed set of at most 1,771 rows, broadcast), and
-    each pair only adds to a count of 182 buckets a weight before the shuffle."""
-    met = scores.crossJoin(F.broadcast(grid)).select("grid", "y", F.round(vote(models), 9).alias("p"))
-    best = metrics.best_threshold(metrics.with_metrics(metrics.threshold_counts(met, ["grid"])), [], floor, ["grid", "threshold"])
+    """The best weights and threshold: rows that are alike in label and scores are counted first, each of these meets every
+    weight (a fixed set of at most 1,771 rows, broadcast) and adds to a count of 182 buckets a weight before the shuffle."""
+    alike = scores.groupBy("y", *[f"p_{m}" for m in models]).agg(F.count("*").alias("n_rows"))
+    met = alike.crossJoin(F.broadcast(grid)).select("grid", "y", "n_rows", F.round(vote(models), 9).alias("p"))
+    best = metrics.best_threshold(metrics.with_metrics(metrics.threshold_counts(met, ["grid"], n_rows="n_rows")), [], floor, ["grid", "threshold"])
     return best.join(grid, "grid")
 
 

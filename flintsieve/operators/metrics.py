@@ -12,8 +12,9 @@ THRESHOLDS = np.arange(0.05, 0.951, 0.005).tolist()[:181]
 RANGES = 1024
 
 
-def threshold_counts(scores: DataFrame, keys: list[str], p: str = "p", y: str = "y") -> DataFrame:
-    """tp, fp, fn and tn at every threshold, for each key: one pass and one shuffle of at most 182 rows a key.
+def threshold_counts(scores: DataFrame, keys: list[str], p: str = "p", y: str = "y", n_rows: str | None = None) -> DataFrame:
+    """tp, fp, fn and tn at every threshold, for each key: one pass and one shuffle of at most 182 rows a key. Each row
+    counts once, or as often as n_rows says.
 
     A row counts for all thresholds up to its score, so it is put in the bucket of the last one and buckets are summed
     from the end. The bucket is guessed by division and put right against the exact thresholds.
@@ -23,7 +24,8 @@ def threshold_counts(scores: DataFrame, keys: list[str], p: str = "p", y: str =
     guess = F.greatest(F.lit(0), F.least(F.lit(n), F.floor((F.col(p) - THRESHOLDS[0]) / 0.005).cast("int") + 1))
     at = lambda k: F.get(cuts, k)
     bucket = guess + F.when((guess < n) & (at(guess) <= F.col(p)), 1).when((guess > 0) & (at(guess - 1) > F.col(p)), -1).otherwise(0)
-    held = scores.groupBy(*keys, bucket.alias("bucket")).agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg"))
+    of = lambda v: F.count_if(F.col(y) == v) if n_rows is None else F.sum(F.when(F.col(y) == v, F.col(n_rows)).otherwise(0))
+    held = scores.groupBy(*keys, bucket.alias("bucket")).agg(of(1).alias("pos"), of(0).alias("neg"))
     # All buckets of a key in one row: 182 numbers, so suffix sums need no window.
     row = held.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("bucket", F.struct("pos", "neg").alias("c")))).alias("m"), F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
     suffix = lambda k, name: F.aggregate(F.sequence(k, F.lit(n)), F.lit(0).cast("long"), lambda a, i: a + F.coalesce(F.try_element_at("m", i)[name], F.lit(0)))
