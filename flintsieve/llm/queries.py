@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flintsieve.llm import bpe, decontaminate, jaccard_join, language_id, pii, secrets, set_hash, token_store, url_filter, word_pieces
+from flintsieve.llm import bpe, decontaminate, jaccard_join, language_id, pii, secrets, set_hash, target_sampling, token_store, url_filter, word_pieces
 from flintsieve.llm.common import documents
 
 #: Rules of the URL query: action, host, path.
@@ -66,6 +66,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return target_sampling.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), percent=10, runs=1, buckets=10_000, least_words=20, seed=2024)
+
+
 def _grams(words: str, size: str) -> str:
     """SQL of the distinct runs of so many words of a list."""
     return f"list_distinct([array_to_string({words}[i : i + {size} - 1], ' ') for i in range(1, len({words}) - {size} + 2)])"
@@ -138,5 +142,32 @@ SELECT page_id, hp.host, hp.path, rule, coalesce(action, 'allow') AS verdict
 FROM hp LEFT JOIN best ON hp.host = best.host AND hp.path = best.path
 """
 
-QUERIES = {"op1_token_store": op1_token_store, "op2_decontaminate": op2_decontaminate, "op3_jaccard_join": op3_jaccard_join, "op4_bpe": op4_bpe, "op5_pii": op5_pii, "op6_token_counts": op6_token_counts, "op7_language": op7_language, "op8_secrets": op8_secrets, "op9_set_hash": op9_set_hash, "op10_url_filter": op10_url_filter}
-SQL = {"op2_decontaminate": OP2_SQL, "op3_jaccard_join": OP3_SQL, "op10_url_filter": OP10_SQL}
+#: The checksum of each distinct word, byte by byte through a table of 256 entries, then buckets, gains and ranks.
+OP13_SQL = r"""
+WITH crc_table AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM (SELECT unnest(range(256)) AS i)),
+texts AS (
+  SELECT 'd' AS side, doc_id, text FROM documents UNION ALL SELECT 'b', NULL, text FROM benchmark),
+split AS (
+  SELECT side, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+seen AS (SELECT side, unnest(w) AS word, count(*) AS n FROM split GROUP BY side, word),
+bytes AS (SELECT word, hex(encode(word)) AS h FROM (SELECT DISTINCT word FROM seen)),
+hashed AS (
+  SELECT word, xor(list_reduce(list_prepend(4294967295, [CAST('0x' || h[2 * i - 1 : 2 * i] AS BIGINT) for i in range(1, len(h) // 2 + 1)]), lambda c, b: xor(c >> 8, t[CAST(xor(c & 255, b) AS INT) + 1])), 4294967295) % 10000 AS bucket
+  FROM bytes CROSS JOIN crc_table),
+counts AS (
+  SELECT bucket, sum(CASE WHEN side = 'd' THEN n ELSE 0 END) AS s, sum(CASE WHEN side = 'b' THEN n ELSE 0 END) AS t FROM seen JOIN hashed USING (word) GROUP BY bucket),
+totals AS (SELECT sum(s) AS s_all, sum(t) AS t_all FROM counts),
+gains AS (SELECT bucket, CAST(floor(1000 * ln(CAST((t + 1) * (s_all + 10000) AS DOUBLE) / CAST((s + 1) * (t_all + 10000) AS DOUBLE))) AS BIGINT) AS gain FROM counts CROSS JOIN totals),
+sums AS (
+  SELECT doc_id, CAST(sum(gain) AS BIGINT) AS g FROM (SELECT doc_id, unnest(w) AS word FROM split WHERE side = 'd') JOIN hashed USING (word) JOIN gains USING (bucket) GROUP BY doc_id),
+weights AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_features, CASE WHEN len(w) = 0 THEN 0 ELSE CAST((g - ((g % len(w)) + len(w)) % len(w)) // len(w) AS BIGINT) END AS weight,
+         CAST('0x' || sha256('2024:' || doc_id)[:8] AS BIGINT) AS h FROM split LEFT JOIN sums USING (doc_id) WHERE side = 'd'),
+scored AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296))) AS BIGINT) AS score FROM weights),
+placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * (SELECT count(*) FROM placed) // 100 THEN place END AS rank FROM scored LEFT JOIN placed USING (doc_id)
+"""
+
+QUERIES = {"op1_token_store": op1_token_store, "op2_decontaminate": op2_decontaminate, "op3_jaccard_join": op3_jaccard_join, "op4_bpe": op4_bpe, "op5_pii": op5_pii, "op6_token_counts": op6_token_counts, "op7_language": op7_language, "op8_secrets": op8_secrets, "op9_set_hash": op9_set_hash, "op10_url_filter": op10_url_filter, "op13_resample": op13_resample}
+SQL = {"op2_decontaminate": OP2_SQL, "op3_jaccard_join": OP3_SQL, "op10_url_filter": OP10_SQL, "op13_resample": OP13_SQL}
