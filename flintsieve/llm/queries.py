@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flintsieve.llm import bpe, decontaminate, jaccard_join, language_id, pii, secrets, set_hash, target_sampling, token_store, url_filter, word_pieces
+from flintsieve.llm import alignment, bpe, decontaminate, jaccard_join, language_id, pii, secrets, set_hash, target_sampling, token_store, url_filter, word_pieces
 from flintsieve.llm.common import documents
 
 #: Rules of the URL query: action, host, path.
@@ -66,6 +66,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokenizers(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return target_sampling.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), percent=10, runs=1, buckets=10_000, least_words=20, seed=2024)
 
@@ -169,5 +173,5 @@ placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS pla
 SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * (SELECT count(*) FROM placed) // 100 THEN place END AS rank FROM scored LEFT JOIN placed USING (doc_id)
 """
 
-QUERIES = {"op1_token_store": op1_token_store, "op2_decontaminate": op2_decontaminate, "op3_jaccard_join": op3_jaccard_join, "op4_bpe": op4_bpe, "op5_pii": op5_pii, "op6_token_counts": op6_token_counts, "op7_language": op7_language, "op8_secrets": op8_secrets, "op9_set_hash": op9_set_hash, "op10_url_filter": op10_url_filter, "op13_resample": op13_resample}
+QUERIES = {"op1_token_store": op1_token_store, "op2_decontaminate": op2_decontaminate, "op3_jaccard_join": op3_jaccard_join, "op4_bpe": op4_bpe, "op5_pii": op5_pii, "op6_token_counts": op6_token_counts, "op7_language": op7_language, "op8_secrets": op8_secrets, "op9_set_hash": op9_set_hash, "op10_url_filter": op10_url_filter, "op12_alignment": op12_alignment, "op13_resample": op13_resample}
 SQL = {"op2_decontaminate": OP2_SQL, "op3_jaccard_join": OP3_SQL, "op10_url_filter": OP10_SQL, "op13_resample": OP13_SQL}
