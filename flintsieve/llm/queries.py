@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flintsieve.llm import alignment, bpe, decontaminate, jaccard_join, language_id, pii, secrets, set_hash, target_sampling, token_store, url_filter, word_pieces
+from flintsieve.llm import alignment, bpe, decontaminate, jaccard_join, language_id, pii, secrets, set_hash, target_sampling, token_store, url_filter, vector_join, word_pieces
 from flintsieve.llm.common import documents
 
 #: Rules of the URL query: action, host, path.
@@ -66,6 +66,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_join.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), cosine=0.98)
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_tokenizers(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
 
@@ -146,6 +150,19 @@ SELECT page_id, hp.host, hp.path, rule, coalesce(action, 'allow') AS verdict
 FROM hp LEFT JOIN best ON hp.host = best.host AND hp.path = best.path
 """
 
+#: All pairs of usable vectors of one label, and what their links reach.
+OP11_SQL = r"""
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs AS (SELECT a.vec_id AS x, b.vec_id AS y FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+reach AS (SELECT DISTINCT x AS c, x AS r FROM pairs UNION SELECT reach.c, pairs.y FROM reach JOIN pairs ON reach.r = pairs.x),
+least_of AS (SELECT c AS vec_id, min(r) AS low FROM reach GROUP BY c),
+counted AS (SELECT x AS vec_id, count(*) AS n FROM pairs GROUP BY x)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(low, vec_id) AS component_id, vec_id = coalesce(low, vec_id) AS kept
+FROM embeddings LEFT JOIN counted USING (vec_id) LEFT JOIN least_of USING (vec_id)
+"""
+
 #: The checksum of each distinct word, byte by byte through a table of 256 entries, then buckets, gains and ranks.
 OP13_SQL = r"""
 WITH crc_table AS (
@@ -173,5 +190,5 @@ placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS pla
 SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * (SELECT count(*) FROM placed) // 100 THEN place END AS rank FROM scored LEFT JOIN placed USING (doc_id)
 """
 
-QUERIES = {"op1_token_store": op1_token_store, "op2_decontaminate": op2_decontaminate, "op3_jaccard_join": op3_jaccard_join, "op4_bpe": op4_bpe, "op5_pii": op5_pii, "op6_token_counts": op6_token_counts, "op7_language": op7_language, "op8_secrets": op8_secrets, "op9_set_hash": op9_set_hash, "op10_url_filter": op10_url_filter, "op12_alignment": op12_alignment, "op13_resample": op13_resample}
-SQL = {"op2_decontaminate": OP2_SQL, "op3_jaccard_join": OP3_SQL, "op10_url_filter": OP10_SQL, "op13_resample": OP13_SQL}
+QUERIES = {"op1_token_store": op1_token_store, "op2_decontaminate": op2_decontaminate, "op3_jaccard_join": op3_jaccard_join, "op4_bpe": op4_bpe, "op5_pii": op5_pii, "op6_token_counts": op6_token_counts, "op7_language": op7_language, "op8_secrets": op8_secrets, "op9_set_hash": op9_set_hash, "op10_url_filter": op10_url_filter, "op11_vectors": op11_vectors, "op12_alignment": op12_alignment, "op13_resample": op13_resample}
+SQL = {"op2_decontaminate": OP2_SQL, "op3_jaccard_join": OP3_SQL, "op10_url_filter": OP10_SQL, "op11_vectors": OP11_SQL, "op13_resample": OP13_SQL}

@@ -15,12 +15,13 @@ DOCUMENTS = [
 ]
 BENCHMARK = [(1, ITEM), (2, "What is the capital of the made up land of Ruritania? Strelsau."), (3, None), (4, ""), (5, "...")]
 PAGES = [(1, None), (2, "no scheme"), (3, "https://A.Example.NET/en/x?q#f"), (4, "http://example.net/de/"), (5, "ftp://shop.example.com/de/a"), (6, "http://example.com"), (7, "x://b.org/fr/#"), (8, "x://notnet/"), (9, "")]
+EMBEDDINGS = [(1, [1.0, 0.0], 1), (2, [1.0, 0.1], 1), (3, [1.0, 0.25], 1), (4, [1.0, 0.0], 2), (5, None, 1), (6, [0.0, 0.0], 1), (7, [1.0, 0.0], None), (8, [float("nan"), 0.0], 1), (9, [-1.0, 0.0], 1)]
 
 
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("tables"))
-    for name, rows, schema in (("documents", DOCUMENTS, "doc_id long, text string"), ("benchmark", BENCHMARK, "item_id long, text string"), ("pages", PAGES, "page_id long, url string")):
+    for name, rows, schema in (("documents", DOCUMENTS, "doc_id long, text string"), ("benchmark", BENCHMARK, "item_id long, text string"), ("pages", PAGES, "page_id long, url string"), ("embeddings", EMBEDDINGS, "vec_id long, embedding array<float>, label int")):
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{path}/{name}.parquet")
     return path
 
@@ -28,7 +29,7 @@ def folder(spark, tmp_path_factory):
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_equals_its_sql(spark, folder, name):
     db = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "embeddings"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
     found = queries.QUERIES[name](spark, folder)
     cursor = db.execute(queries.SQL[name])
