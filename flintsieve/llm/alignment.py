@@ -17,8 +17,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,15 +26,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flintsieve.llm.bpe import ByteBpe
+from flintsieve.llm.bpe import byte_letters
 from flintsieve.llm.common import held, small_batches, written
 
 #: Slots of the first side's ids, and postings of a part of a slot, about.
 SLOTS, PART = 128, 4_000_000
 #: Segments that a worker keeps, the longest it finds again, and pairs of segments from which it starts anew.
 KEPT, KEPT_CHARS, PAIRS = 400_000, 48, 6_000_000
-#: Pairs of one group that are listed; those of larger ones are counted.
-LISTED = 256
+#: Links of one group that are listed; those of larger ones are counted by pair.
+LISTED = 4096
 #: Pairs that a task counts before it passes them on.
 AT_ONCE = 1_500_000
 _LONE = re.compile(r"(?<=\S) (?=\S)")
@@ -50,15 +50,26 @@ class Aligner:
 
     def __init__(self, a_path: str, b_path: str):
         import sentencepiece
+        from tokenizers import Tokenizer
 
-        self.a, self.b = ByteBpe(a_path), sentencepiece.SentencePieceProcessor(model_file=b_path)
+        self.a_library, self.b = Tokenizer.from_file(a_path), sentencepiece.SentencePieceProcessor(model_file=b_path)
+        self.a_library.encode_special_tokens = True  # their strings in a text are plain text
+        self.a_library.no_truncation()
+        self.a_library.no_padding()
         n = self.b.get_piece_size()
         self.b_bytes = []
         for i in range(n):
             p = self.b.id_to_piece(i)
             self.b_bytes.append(bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode())
-        blob, starts, sizes = self.a.blob.tobytes(), self.a.starts.tolist(), self.a.sizes.tolist()
-        self.a_bytes = [blob[s : s + k] for s, k in zip(starts, sizes)]
+        letters = byte_letters()
+        tokens = self.a_library.get_vocab()
+        self.a_bytes = [b""] * (max(tokens.values()) + 1)
+        for t, i in tokens.items():
+            self.a_bytes[i] = bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode()
+        self.a_sizes, self.b_sizes = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
+        self.a_spaced, self.b_spaced = (np.array([x[:1] == b" " for x in y]) for y in (self.a_bytes, self.b_bytes))
+        self.marked = [f"{i}{m}" for i in range(max(len(self.a_bytes), n)) for m in ",|;"]
+        self.marked_sizes = np.array(list(map(len, self.marked)), np.int64)
         self.width = -(-len(self.a_bytes) // SLOTS)
         self.clear()
 
@@ -68,64 +79,81 @@ class Aligner:
         self.stats, self.starts = np.zeros((0, 5), np.int64), np.zeros(1, np.int64)
         self.keys, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def key(self, a: int, b: int) -> int:
+    def key(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Pairs by slot, then by the ids: a slot has each SLOTS-th id of the first side."""
         return ((a % SLOTS) * self.width + a // SLOTS) << _B_BITS | b
 
-    def align(self, segment: str, b: list[int]) -> tuple[tuple[int, ...], str, dict[int, int]]:
-        """Of a segment (with the space before it): numbers of ids of both sides, groups and links, and whether it is odd; its
-        groups; its pairs and how often each is linked."""
-        whole = f" {segment}"
-        a = [i for w in self.a.words.findall(whole) for i in self.a.merge(w.encode())]
-        a_bytes, b_bytes, raw = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b], whole.encode()
-        if b"".join(a_bytes) != raw or b"".join(b_bytes) != raw:
-            return (0, 0, 0, 0, 1), "", {}
-        groups, pairs, links = [], {}, 0
-        i = j = 0
-        while i < len(a):
-            first, second = i, j
-            at_a, at_b = len(a_bytes[i]), len(b_bytes[j])
-            i, j = i + 1, j + 1
-            while at_a != at_b:
-                if at_a < at_b:
-                    at_a += len(a_bytes[i])
-                    i += 1
-                else:
-                    at_b += len(b_bytes[j])
-                    j += 1
-            left, right = a[first:i], b[second:j]
-            groups.append(f"{','.join(map(str, left))}|{','.join(map(str, right))}")
-            links += len(left) * len(right)
-            if len(left) * len(right) <= LISTED:
-                for x in left:
-                    for y in right:
-                        k = self.key(x, y)
-                        pairs[k] = pairs.get(k, 0) + 1
-            else:
-                many = Counter(right)
-                for x, n in Counter(left).items():
-                    for y, m in many.items():
-                        k = self.key(x, y)
-                        pairs[k] = pairs.get(k, 0) + n * m
-        return (len(a), len(b), len(groups), links, 0), ";".join(groups), pairs
+    def _ids(self, segments: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of both sides of each segment, with the space before it. Words alone are encoded as one text: of each of them just
+        the first token begins with a space."""
+        plain = [k for k, s in enumerate(segments) if "\u2581" not in s and s.split() == [s]]
+        one = " ".join([segments[k] for k in plain])
+        a, b = ([], []) if not one else (self.a_library.encode(f" {one}", add_special_tokens=False).ids, self.b.encode(one, num_threads=1))
+        out = []
+        for ids, spaced, alone in ((a, self.a_spaced, lambda s: self.a_library.encode(f" {s}", add_special_tokens=False).ids), (b, self.b_spaced, lambda s: self.b.encode(s, num_threads=1))):
+            starts = np.append(np.flatnonzero(spaced[np.array(ids, np.int64)]), len(ids)).tolist()
+            parts: list[list[int]] = [[]] * len(segments)
+            known = set(plain) if len(starts) == len(plain) + 1 else set()
+            for k, x, y in zip(plain if known else (), starts, starts[1:]):
+                parts[k] = ids[x:y]
+            out.append([parts[k] if k in known else alone(s) for k, s in enumerate(segments)])
+        return out[0], out[1]
 
     def add(self, segments: list[str]) -> list[int]:
-        """Places of new segments in the table. Long ones are not found again."""
-        stats, ends, keys, times, out = [], [], [], [], []
-        for s, b in zip(segments, self.b.encode(segments, num_threads=1)):
-            figures, groups, pairs = self.align(s, b)
-            out.append(len(self.listed))
-            if len(s) <= KEPT_CHARS:
-                self.index[s] = len(self.listed)
-            self.listed.append(groups)
-            stats.append(figures)
-            keys += pairs.keys()
-            times += pairs.values()
-            ends.append(len(keys))
-        self.stats = np.concatenate([self.stats, np.array(stats, np.int64).reshape(-1, 5)])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.array(ends, np.int64)])
-        self.keys, self.times = np.concatenate([self.keys, np.array(keys, np.int64)]), np.concatenate([self.times, np.array(times, np.int64)])
-        return out
+        """Places of new segments in the table. Long ones are not found again.
+
+        All segments are aligned at once: bytes, ends of tokens and groups of one after the other are one sequence."""
+        a, b = self._ids(segments)
+        raw = [f" {s}".encode() for s in segments]
+        joined = lambda table, ids: b"".join(map(table.__getitem__, ids))
+        odd = np.zeros(len(segments), np.int64)
+        flat_a, flat_b = list(chain.from_iterable(a)), list(chain.from_iterable(b))
+        if not joined(self.a_bytes, flat_a) == joined(self.b_bytes, flat_b) == b"".join(raw):
+            for k, r in enumerate(raw):
+                if not joined(self.a_bytes, a[k]) == joined(self.b_bytes, b[k]) == r:
+                    odd[k], a[k], b[k], raw[k] = 1, [], [], b""
+            flat_a, flat_b = list(chain.from_iterable(a)), list(chain.from_iterable(b))
+        ia, ib = np.array(flat_a, np.int64), np.array(flat_b, np.int64)
+        end_a, end_b = np.cumsum(self.a_sizes[ia]), np.cumsum(self.b_sizes[ib])
+        common = np.intersect1d(end_a, end_b, assume_unique=True)
+        group_a, group_b = np.searchsorted(common, end_a), np.searchsorted(common, end_b)
+        many_a, many_b = np.bincount(group_a, minlength=len(common)), np.bincount(group_b, minlength=len(common))
+        to_a, to_b = np.cumsum(many_a), np.cumsum(many_b)
+        of = np.searchsorted(np.cumsum(list(map(len, raw))), common)
+        n = len(segments)
+        count = lambda at, w=None: np.bincount(at, w, n).astype(np.int64)
+        n_a, n_b = count(of[group_a]), count(of[group_b])
+        stats = np.stack([n_a, n_b, count(of), count(of, many_a * many_b), odd], axis=1)
+        # Pairs: of small groups all links, of large ones each pair once.
+        large = many_a * many_b > LISTED
+        use = np.flatnonzero(~large[group_a])
+        each = many_b[group_a[use]]
+        ends = np.cumsum(each)
+        place = np.arange(ends[-1] if len(ends) else 0) + np.repeat((to_b - many_b)[group_a[use]] - (ends - each), each)
+        owner, keys, times = [np.repeat(of[group_a[use]], each)], [self.key(np.repeat(ia[use], each), ib[place])], [np.ones(len(place), np.int64)]
+        for g in np.flatnonzero(large).tolist():
+            (x, n_x), (y, n_y) = (np.unique(i[t - m : t], return_counts=True) for i, t, m in ((ia, int(to_a[g]), int(many_a[g])), (ib, int(to_b[g]), int(many_b[g]))))
+            keys.append(self.key(np.repeat(x, len(y)), np.tile(y, len(x))))
+            times.append(np.repeat(n_x, len(y)) * np.tile(n_y, len(x)))
+            owner.append(np.full(len(x) * len(y), of[g]))
+        owner, keys, times = np.concatenate(owner), np.concatenate(keys), np.concatenate(times)
+        if large.any():
+            order = np.argsort(owner, kind="stable")
+            owner, keys, times = owner[order], keys[order], times[order]
+        # Groups as text: each id with the mark after it, in the order of groups, the first side before the second.
+        text = np.empty(len(ia) + len(ib), np.int64)
+        at_a, at_b = np.arange(len(ia)) + (to_b - many_b)[group_a], np.arange(len(ib)) + to_a[group_b]
+        text[at_a] = 3 * ia + (np.arange(len(ia)) == to_a[group_a] - 1)
+        text[at_b] = 3 * ib + 2 * (np.arange(len(ib)) == to_b[group_b] - 1)
+        whole = "".join(map(self.marked.__getitem__, text.tolist()))
+        cuts = np.append(0, np.cumsum(self.marked_sizes[text]))[np.append(0, np.cumsum(n_a + n_b))].tolist()
+        first = len(self.listed)
+        self.listed += [whole[x : y - 1] if y > x else "" for x, y in zip(cuts, cuts[1:])]
+        self.index |= {s: first + k for k, s in enumerate(segments) if len(s) <= KEPT_CHARS}
+        self.stats = np.concatenate([self.stats, stats])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.bincount(owner, minlength=n))])
+        self.keys, self.times = np.concatenate([self.keys, keys]), np.concatenate([self.times, times])
+        return list(range(first, len(self.listed)))
 
     def places(self, texts: list[str]) -> list[list[int]]:
         """The places of each text's segments in the table, which takes up those it does not have."""
