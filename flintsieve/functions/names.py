@@ -97,7 +97,12 @@ def safe_name(text: Column) -> Column:
 
 def key_name(text: str) -> str:
     """A part of a flattened column's name."""
-    return re.sub(r"_+", "_", re.sub(r"\W", "_", re.sub(r"[.\- ]", "_", text))).strip("_")
+    return re.sub(r"[^A-Za-z0-9]+", "_", text).strip("_")
+
+
+def key_column(text: Column) -> Column:
+    """key_name of a column."""
+    return F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "[^A-Za-z0-9]+", "_"), "^_|_$", "")
 
 
 def risk_level(p: Column, threshold: float = 0.5) -> Column:

@@ -1,30 +1,57 @@
-"""From program documents to feature rows: one pass finds the schema of all functions, a projection flattens each by it."""
+"""From program documents to feature rows, and members of nested rows by name."""
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flintsieve.operators import unnest
 from flintsieve.operators.vectorize import flatten
 
 
-def typed(programs: DataFrame, column: str = "f") -> DataFrame:
-    """programs with the variant as a struct of all members that any row has; members of several kinds stay variants."""
-    found = programs.agg(F.schema_of_variant_agg(column)).first()[0]
-    if not found.startswith("OBJECT<"):
-        return programs.withColumn(column, F.struct())
-    return programs.withColumn(column, F.try_variant_get(column, "$", found.replace("OBJECT<", "STRUCT<").replace("VOID", "STRING")))
+def one_kind(kind: T.DataType) -> bool:
+    """Whether a type holds no variant, and no two names that differ in case only."""
+    if isinstance(kind, T.ArrayType):
+        return one_kind(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return len({f.name.lower() for f in kind.fields}) == len(kind.fields) and all(one_kind(f.dataType) for f in kind.fields)
+    return not isinstance(kind, T.VariantType)
+
+
+def merged_schema(programs: DataFrame, column: str) -> str:
+    """All members that any row's variant has; names that differ in case only stay apart, whatever the session's rule is."""
+    conf = programs.sparkSession.conf
+    before = conf.get("spark.sql.caseSensitive")
+    conf.set("spark.sql.caseSensitive", "true")
+    try:
+        return programs.agg(F.schema_of_variant_agg(column)).first()[0] or ""
+    finally:
+        conf.set("spark.sql.caseSensitive", before)
 
 
-def program_features(programs: DataFrame, ids: list[str]) -> DataFrame:
-    """The ids and all features of each function f of programs, absent ones 0; features named like an id are left out.
+def program_features(programs: DataFrame, ids: list[str], features: list[str] | None = None) -> DataFrame:
+    """The ids and the features of each function f of programs, absent ones 0; features named like an id are left out.
 
-    Null or empty documents have no functions. The schema is merged by partial aggregation, so its cost is that of the
-    widest document, and rows are flattened where they lie."""
-    df = typed(programs)
-    flat = flatten(df.schema["f"].dataType, F.col("f"))
-    return df.select(*ids, *[c.alias(k) for k, c in flat.items() if k not in ids])
+    features: the wanted ones in order, or None for all that any function has. The schema of all functions comes from one
+    partial aggregation. Members of one kind in all functions are flattened by it, where they lie. Members whose kinds, or
+    the kinds of what they hold, differ between functions or within a list are taken apart row by row instead, so that each
+    function's features follow from that function alone; where none is such, nothing is shuffled."""
+    found = merged_schema(programs, "f")
+    df = programs.withColumn("typed", F.try_variant_get("f", "$", found.replace("OBJECT<", "STRUCT<").replace("VOID", "STRING")) if found.startswith("OBJECT<") else F.struct())
+    kinds = df.schema["typed"].dataType
+    often = Counter(f.name.lower() for f in kinds.fields)
+    same = [f for f in kinds.fields if often[f.name.lower()] == 1 and one_kind(f.dataType)]
+    odd = [f.name for f in kinds.fields if f not in same]
+    flat = {k: c for k, c in flatten(T.StructType(same), F.col("typed")).items() if k not in ids}
+    if not odd:
+        return df.select(*ids, *[flat.get(k, F.lit(0.0)).alias(k) for k in (flat if features is None else features)])
+    found = unnest.numbers(df.select(*ids, *[c.alias(k) for k, c in flat.items()], "f"), "f", [*ids, *flat], odd)
+    names = unnest.feature_names(found.persist()) if features is None else features
+    out = unnest.wide(found, ids, list(flat), [k for k in names if k not in ids])
+    return out if features is None else out.select(*ids, *features)
 
 
 def strings_and_numbers(schema: T.StructType, at: Column | None = None, path: tuple[str, ...] = ()) -> dict[str, Column]:

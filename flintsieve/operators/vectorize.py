@@ -65,12 +65,16 @@ def _list_features(c: Column, e: T.DataType, nonzero: bool) -> dict[str, Column]
         return number_stats(F.transform(c, lambda v: _number_of(v, e)), nonzero)
     if not isinstance(e, T.StructType):
         return {"count": count}
-    out = {"count": count, "dict_count": F.coalesce(F.size(F.filter(c, lambda v: v.isNotNull())), F.lit(0)).cast("double")}
+    out = {"count": count}
     within = lambda v: flatten(e, v, (), None, False, _present)
     member = lambda name: lambda v: within(v)[name]
-    for name in within(F.col("x")):
+    names = list(within(F.col("x")))
+    for name in names:
         out |= {f"{name}_{k}": s for k, s in number_stats(F.transform(c, member(name)), nonzero).items()}
-    return out
+    # Objects are counted only where one of them has a number.
+    objects = F.coalesce(F.size(F.filter(c, lambda v: v.isNotNull())), F.lit(0)).cast("double")
+    any_ = [v for k, v in out.items() if k.endswith("_count") and k[: -len("_count")] in names]
+    return out | ({"dict_count": F.when(F.greatest(F.lit(0.0), *any_) > 0, objects).otherwise(0.0)} if any_ else {})
 
 
 def _numeric(kind: T.DataType) -> bool:

@@ -303,7 +303,7 @@ t AS (SELECT feature, n, sum(n) OVER (PARTITION BY feature) AS a, sum(n) OVER (P
     "func_classify": f"WITH n(name) AS (VALUES {_sql_values(SYMBOLS)}), b AS (SELECT name, trim(split_part(regexp_replace(trim(name), '(@plt|\\.plt|_plt)', '', 'g'), '@', 1)) AS bare FROM n) SELECT name, CASE WHEN bare = '' THEN 'unknown' WHEN bare IN {_IN(names.RUNTIME)} THEN 'compiler_runtime' WHEN bare IN {_IN(names.IMPORTED)} OR regexp_matches(name, '(@plt|\\.plt|_plt)$') THEN 'import_or_plt_api' WHEN {' OR '.join(f'''starts_with(bare, '{p}')''' for p in C.RUNTIME_PREFIXES)} OR regexp_matches(regexp_replace(lower(bare), '[_.]', '', 'g'), 'tm_clone|registertmclonetable') OR contains(lower(bare), 'itm_') THEN 'compiler_runtime' ELSE 'user_candidate' END AS kind FROM b",
     "risk_level": f"WITH scores AS ({adapters.SCORES}) SELECT {_LEVEL.format('p_rf')} AS risk_level, count(*) AS n FROM scores GROUP BY ALL",
     "line_window_text": r"""WITH l AS (SELECT doc_id, string_split_regex(regexp_replace(text, '[\n\x0b\f\r\x{85}\x{2028}\x{2029}]+$', ''), '\r\n|[\n\x0b\f\r\x{85}\x{2028}\x{2029}]') AS ls FROM documents WHERE text <> ''),
-e AS (SELECT doc_id, ls, unnest(generate_series(0, len(ls) - 1)) AS i FROM l) SELECT doc_id, i, CAST(coalesce(list_sum(list_transform(ls[greatest(i - 8, 0) + 1 : i], lambda x: length(x) + 1)), 0) AS BIGINT) AS n_before FROM e WHERE i % 5 = 0""",
+e AS (SELECT doc_id, ls, unnest(generate_series(0, len(ls) - 1)) AS i FROM l) SELECT doc_id, i, CAST(coalesce(list_sum(list_transform(ls[greatest(i - 8, 0) + 1 : i], lambda x: length(x) + 1)), 0) AS BIGINT) AS n_before FROM e""",
     "finding_table": f"{_FOUND} SELECT function, api AS sink_api, dst_var AS dst_buffer, src_var AS src, risk AS finding_risk, round(fp, 6) AS function_probability, CAST(line_index AS INTEGER) AS line_index, dst_buffer_size AS dst_stack_size, size_value, CAST(overflow_margin AS BIGINT) AS overflow_margin FROM hits",
     "finding_probability_lookup": f"WITH code AS ({adapters.PSEUDO_C}), {_RES} SELECT code.function, round(coalesce(p, 0.0), 6) AS function_probability FROM code LEFT JOIN results ON code.fn = results.fn",
     "static_score": f"{_STATIC} SELECT function, round(CAST(score AS DOUBLE), 6) AS static_finding_score, n AS explicit_findings FROM static",
