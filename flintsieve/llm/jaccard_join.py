@@ -52,6 +52,9 @@ KNOWN, PIECE = 100_000, 1 << 20
 TILE, BUNDLE = 256, 128
 #: Rows to drop that are broadcast (24 bytes each); more are shuffled.
 BROADCAST_ROWS = 500_000
+#: Posts from which a gram's pairs are looked for by sizes and groups; sizes up to which each is a class, and the growth of
+#: classes beyond.
+HOT, EXACT, CLASS = 64, 32, 1.04
 KEY = ["k1", "k2"]
 
 
@@ -371,6 +374,43 @@ def _linked(docs: DataFrame, n: int, percent: int, indexed: DataFrame, pairs: Da
     return links
 
 
+def _need(x: str, y: str, percent: int) -> str:
+    """SQL of the grams that sets of two sizes have to share."""
+    return f"(({percent} * ({x} + {y}) + {99 + percent}) div {100 + percent})"
+
+
+def _inside(percent: int) -> str:
+    """SQL of whether the posts x and y can be the first shared ones of a pair that links: enough grams follow."""
+    need = _need("x.m div 8", "y.m div 8", percent)
+    return f"x.pos <= x.m div 8 - {need} AND y.pos <= y.m div 8 - {need}"
+
+
+def _met(posts: DataFrame, on: list[str], percent: int) -> DataFrame:
+    """(a, b, k) of the posts' pairs of different groups, and how many grams they ask for."""
+    met = posts.alias("x").join(posts.alias("y"), on).where(f"x.id < y.id AND x.root <> y.root AND {_inside(percent)}")
+    return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.expr("least(x.m % 8, y.m % 8)").alias("k"))
+
+
+def _met_hot(posts: DataFrame, percent: int) -> DataFrame:
+    """The same of grams with many posts, without looking at every two of them.
+
+    A place and a size leave only some sizes for a partner. So posts meet by gram and classes of both sizes, each post in
+    the few classes that its partners may have, once as the smaller and once as the larger side; there groups meet first,
+    and posts of different groups only."""
+    kind = lambda c: f"IF({c} < {EXACT}, {c}, CAST(floor({EXACT} + ln({c} / {EXACT}) / ln({CLASS})) AS BIGINT))"
+    # The most that a partner may have for `size - pos` grams to be enough, and the least that it must have.
+    rows = posts.withColumn("size", F.expr("m div 8")).withColumn("high", F.expr(f"((size - pos) * {100 + percent}) div {percent} - size")).withColumn("low", F.expr(f"({percent} * size + 99) div 100"))
+    smaller = rows.where("high >= size").withColumn("large", F.expr(f"explode(sequence({kind('size')}, {kind('least(high, size * 100 div ' + str(percent) + ')')}))")).withColumn("small", F.expr(kind("size")))
+    larger = rows.where("least(size, high) >= low").withColumn("small", F.expr(f"explode(sequence({kind('low')}, {kind('least(size, high)')}))")).withColumn("large", F.expr(kind("size")))
+    on = ["gram", "small", "large"]
+    groups = smaller.select(*on, F.col("root").alias("root_x")).distinct().join(larger.select(*on, F.col("root").alias("root_y")).distinct(), on).where("root_x <> root_y")
+    columns = [*on, "id", "root", "m", "pos"]
+    x = smaller.select(columns).withColumnRenamed("root", "root_x").alias("x")
+    y = larger.select(columns).withColumnRenamed("root", "root_y").alias("y")
+    met = groups.join(x, [*on, "root_x"]).join(y, [*on, "root_y"]).where(f"(x.m div 8 < y.m div 8 OR (x.m div 8 = y.m div 8 AND x.id < y.id)) AND {_inside(percent)}")
+    return met.select(F.expr("least(x.id, y.id)").alias("a"), F.expr("greatest(x.id, y.id)").alias("b"), F.expr("least(x.m % 8, y.m % 8)").alias("k"))
+
+
 def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Of docs (text and other columns): a row for each with size and KEY instead of the text, and (KEY, root) of the
     classes that links connect to others. Classes that are alone have no root."""
@@ -401,23 +441,22 @@ def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
     # The index: the shortest prefixes, in which any linked pair shares a gram.
     least = f"({percent} * size + 99) div 100"
     posts = indexed.join(groups, "id", "left").select("id", F.coalesce("root", "id").alias("root"), F.expr("size * 8 + matches").alias("m"), F.posexplode(F.expr(f"slice(prefix, 1, CAST(size - {least} + 1 AS INT))")).alias("pos", "gram"))
-    x, y = posts.alias("x"), posts.alias("y")
-    size = lambda t: f"({t}.m div 8)"
-    need = f"(({percent} * ({size('x')} + {size('y')}) + {99 + percent}) div {100 + percent})"
-    inside = lambda t: f"{t}.pos <= {size(t)} - {need}"
-    met = x.join(y, "gram").where(f"x.id < y.id AND x.root <> y.root AND {inside('x')} AND {inside('y')}")
-    met = written(met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.expr("least(x.m % 8, y.m % 8)").alias("k")).distinct(), "met")
+    # A gram that one group alone has brings no two groups together.
+    shared = posts.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("seen")).where("low <> high").select("gram", "seen")
+    posts = written(posts.join(shared, "gram"), "posts")
+    met = _met(posts.where(f"seen < {HOT}"), ["gram"], percent).unionByName(_met_hot(posts.where(f"seen >= {HOT}"), percent))
+    met = written(met.distinct(), "met")
     # Of those that ask for more, the lengthened prefixes must share as many grams.
     more = indexed.where("matches > 1").select("id", "size", "prefix")
     both = met.where("k > 1").join(more.toDF("a", "n_a", "p_a"), "a").join(more.toDF("b", "n_b", "p_b"), "b")
-    need = f"(({percent} * (n_a + n_b) + {99 + percent}) div {100 + percent})"
+    need = _need("n_a", "n_b", percent)
     part = lambda t: f"slice(p_{t}, 1, CAST(n_{t} - {need} + k AS INT))"
     enough = both.where(f"size(array_intersect({part('a')}, {part('b')})) >= k")
     pairs = written(met.where("k = 1").select("a", "b").unionByName(enough.select("a", "b")), "pairs")
     # The lead of a pair: the least partner of its smaller class.
     least = pairs.groupBy(F.col("b").alias("a")).agg(F.min("a").alias("m"))
     more = _linked(docs, words, percent, indexed, pairs.join(least, "a", "left").select("a", "b", F.coalesce("m", "a").alias("lead")))
-    discard(star, met, pairs)
+    discard(star, posts, met, pairs)
     groups = components(links.unionByName(more))
     named = written(groups.withColumnRenamed("node", "id").join(indexed.select("id", *KEY), "id").select(*KEY, "root"), "classes")
     discard(indexed, links, more)
