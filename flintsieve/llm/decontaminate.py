@@ -49,7 +49,7 @@ class Index:
     many of them each term of the block is.
     """
 
-    def __init__(self, items: list[tuple[int, str]], whole: tuple[int, int, int, dict[str, int]] | None = None):
+    def __init__(self, items: list[tuple[int | None, str]], whole: tuple[int, int, int, dict[str, int]] | None = None):
         split = [(i, _WORD.findall(x.lower()), len(_WORD.findall(_END.split(x.strip())[-1]))) for i, x in items if x]
         split = [(i, w, a) for i, w, a in split if w]
         self.items = [i for i, _, _ in split]
@@ -197,16 +197,21 @@ def _words(items: DataFrame) -> DataFrame:
     return items.select("t").mapInArrow(run, "w array<string>")
 
 
+def _ordered(items: DataFrame) -> list[tuple[int | None, str]]:
+    """The items of one broadcast by id, null ids last."""
+    return sorted(map(tuple, items.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+
+
 def _blocks(docs: DataFrame, items: DataFrame, item_id: str, text: str) -> Iterator[tuple[object, str]]:
     """The items in broadcasts of at most about ITEMS, however many there are (none: one empty broadcast).
 
     With more than one, each also has the figures that depend on all items, so a score does not depend on the blocks.
     """
     spark = docs.sparkSession
-    rows = items.select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
+    rows = items.select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t")).where("t IS NOT NULL")
     n = -(-rows.count() // ITEMS) or 1
     if n == 1:
-        yield spark.sparkContext.broadcast((sorted(map(tuple, rows.collect())), None)), uuid.uuid4().hex
+        yield spark.sparkContext.broadcast((_ordered(rows), None)), uuid.uuid4().hex
         return
     each = lambda x: _words(x).select(F.explode(F.array_distinct("w")).alias("term"))
     whole = _words(rows).agg(F.count("*"), F.coalesce(F.sum(F.size("w")), F.lit(0)), F.coalesce(F.max(F.size("w")), F.lit(1))).first()
@@ -214,7 +219,7 @@ def _blocks(docs: DataFrame, items: DataFrame, item_id: str, text: str) -> Itera
     for k in range(n):
         part = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
         df = dict(map(tuple, found_in.join(each(part).distinct(), "term", "left_semi").select("term", "count").collect()))
-        yield spark.sparkContext.broadcast((sorted(map(tuple, part.collect())), (*whole, df))), uuid.uuid4().hex
+        yield spark.sparkContext.broadcast((_ordered(part), (*whole, df))), uuid.uuid4().hex
 
 
 def _index(sent: object, key: str) -> Index:
@@ -224,8 +229,8 @@ def _index(sent: object, key: str) -> Index:
 def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, score, overlaps of grams, question and answer) of each document and test item that stands in it.
 
-    Defined results: null and empty texts of either side and items of a null id have no hits, repeated rows have each
-    their own, of an item's equally good passages any stands for it, a null doc_id stays null, an empty table on either
+    Defined results: null and empty texts of either side have no hits, items of a null id have theirs with a null item_id,
+    repeated rows have each their own, of an item's equally good passages any stands for it, a null doc_id stays null, an empty table on either
     side gives no rows; other columns are not read; texts may have any length. No shuffle of documents.
     """
     small_batches(docs.sparkSession)
@@ -248,8 +253,8 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc_id:
 def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of docs in whose text no test item stands; all columns are kept, and rows stay where they are.
 
-    Defined results: null and empty texts stay, repeated rows fare alike, ids play no part, an empty table on either side
-    drops nothing; items of a null id drop nothing."""
+    Defined results: null and empty texts stay, repeated rows fare alike, ids of either side play no part, an empty table on
+    either side drops nothing."""
     small_batches(docs.sparkSession)
     for sent, key in _blocks(docs, items, item_id, item_text):
 

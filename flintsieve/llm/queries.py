@@ -87,33 +87,33 @@ _W = r"'[\p{L}\p{N}_]+'"
 #: Every passage against every item that shares a word, scored and verified without an index.
 OP2_SQL = rf"""
 WITH items AS (
-  SELECT item_id, w, len(w) AS n, CASE WHEN a = 0 THEN len(w) ELSE a END AS a FROM (
+  SELECT row_number() OVER () AS k, item_id, w, len(w) AS n, CASE WHEN a = 0 THEN len(w) ELSE a END AS a FROM (
     SELECT item_id, regexp_extract_all(lower(text), {_W}) AS w,
            len(regexp_extract_all(regexp_split_to_array(regexp_replace(text, '^\s+|\s+$', '', 'g'), '[.!?]+\s+')[-1], {_W})) AS a
-    FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL) WHERE len(w) > 0),
+    FROM benchmark WHERE text IS NOT NULL) WHERE len(w) > 0),
 figures AS (SELECT count(*) AS items, avg(n) AS mean, max(n) AS step FROM items),
-tf AS (SELECT item_id, n, t, count(*) AS f FROM (SELECT item_id, n, unnest(w) AS t FROM items) GROUP BY item_id, n, t),
+tf AS (SELECT k, n, t, count(*) AS f FROM (SELECT k, n, unnest(w) AS t FROM items) GROUP BY k, n, t),
 idf AS (SELECT t, ln(1 + (items - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf CROSS JOIN figures GROUP BY t, items),
-parts AS (SELECT item_id, t, idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / mean)) AS v FROM tf JOIN idf USING (t) CROSS JOIN figures),
-weights AS (SELECT item_id, t, v / sum(v) OVER (PARTITION BY item_id) AS v FROM parts),
+parts AS (SELECT k, t, idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / mean)) AS v FROM tf JOIN idf USING (t) CROSS JOIN figures),
+weights AS (SELECT k, t, v / sum(v) OVER (PARTITION BY k) AS v FROM parts),
 docs AS (SELECT doc_id, w, step FROM (SELECT doc_id, regexp_extract_all(lower(text), {_W}) AS w FROM documents WHERE text IS NOT NULL) CROSS JOIN figures WHERE len(w) > 0),
 starts AS (SELECT doc_id, w, step, unnest(range(0, greatest(1, len(w) - step), step)) AS place FROM docs),
 passages AS (SELECT doc_id, place, w[place + 1 : place + 2 * step] AS p FROM starts),
 found AS (
-  SELECT doc_id, place, item_id, sum(v) AS score FROM (SELECT DISTINCT doc_id, place, unnest(p) AS t FROM passages) JOIN weights USING (t)
-  GROUP BY doc_id, place, item_id HAVING sum(v) >= 0.5 - 1e-9),
+  SELECT doc_id, place, k, sum(v) AS score FROM (SELECT DISTINCT doc_id, place, unnest(p) AS t FROM passages) JOIN weights USING (t)
+  GROUP BY doc_id, place, k HAVING sum(v) >= 0.5 - 1e-9),
 read AS (
-  SELECT doc_id, place, item_id, score, p, w, w[n - a + 1 :] AS answer, CASE WHEN n > a THEN w[: n - a] ELSE w END AS question
-  FROM found JOIN passages USING (doc_id, place) JOIN items USING (item_id)),
+  SELECT doc_id, place, k, item_id, score, p, w, w[n - a + 1 :] AS answer, CASE WHEN n > a THEN w[: n - a] ELSE w END AS question
+  FROM found JOIN passages USING (doc_id, place) JOIN items USING (k)),
 grams AS (
   SELECT *, {_grams("w", "least(5, len(w))")} AS wg, {_grams("p", "least(5, len(w))")} AS wp,
          {_grams("question", "least(5, len(question))")} AS qg, {_grams("p", "least(5, len(question))")} AS qp FROM read),
 shared AS (
-  SELECT doc_id, place, item_id, score, len(list_intersect(wg, wp)) / len(wg) AS gram_overlap, len(list_intersect(qg, qp)) / len(qg) AS question_overlap,
+  SELECT doc_id, place, k, item_id, score, len(list_intersect(wg, wp)) / len(wg) AS gram_overlap, len(list_intersect(qg, qp)) / len(qg) AS question_overlap,
          len(list_intersect(list_distinct(answer), list_distinct(p))) / len(list_distinct(answer)) AS answer_overlap FROM grams)
 SELECT doc_id, item_id, round(score, 6) AS score, round(gram_overlap, 6) AS gram_overlap, round(question_overlap, 6) AS question_overlap, round(answer_overlap, 6) AS answer_overlap
 FROM shared WHERE gram_overlap >= 0.8 AND question_overlap >= 0.5 AND answer_overlap >= 0.5
-QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY score DESC, gram_overlap DESC, place) = 1
+QUALIFY row_number() OVER (PARTITION BY doc_id, k ORDER BY score DESC, gram_overlap DESC, place) = 1
 """
 
 #: Every two different sets that share a shingle, counted, and what their links reach.

@@ -24,8 +24,9 @@ HEX = r"[0-9a-f]{24,}+"
 #: What may be a random token, and the characters of the models; others end a token.
 TOKEN = r"[A-Za-z0-9+/_-]{20,}+"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
-#: Documents that the model of ordinary tokens is trained on, about; the least mean log-likelihood ratio of a step.
-SAMPLE, RATIO = 2000, 0.8
+#: Documents that the model of ordinary tokens is trained on, about; the least mean log-likelihood ratio of a step, between
+#: what held-out random tokens and held-out identifiers have.
+SAMPLE, RATIO = 2000, 0.55
 #: Pairs seen of a first character from which its own counts weigh more than the second character's share.
 PRIOR = 20
 
@@ -74,8 +75,8 @@ def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     n, own = rows.count(), F.col("row")[text]
     some = rows.where(F.pmod(F.xxhash64(own), F.lit(1 << 20)) < math.ceil(min(1.0, SAMPLE / max(n, 1)) * (1 << 20)))
     words = some.where("size(base) = 0").select(F.explode(F.regexp_extract_all(F.coalesce(own, F.lit("")), F.lit(r"[A-Za-z0-9+/_-]{4,}+"), F.lit(0))).alias("token"))
-    # Long tokens of several digits are what is to be judged, and no sample of ordinary ones.
-    words = words.where(~((F.length("token") >= 20) & F.col("token").rlike("[0-9].*[0-9].*[0-9]")))
+    # Long tokens with a digit before a letter are what is to be judged, and no sample of ordinary ones.
+    words = words.where(~((F.length("token") >= 20) & F.col("token").rlike("[0-9].*[A-Za-z]")))
     ratios = markov_ratios(values.where(F.col("token").rlike("[0-9]")), words)
     base = F.col("base")
     spans = base if ratios is None else F.concat(base, F.filter(apart(F.col("long"), F.array_sort(F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))), lambda s: likely_random(s["value"], ratios)))

@@ -220,7 +220,10 @@ def test_decontamination_finds_items_and_nothing_else(spark, docs, odd, empty):
     assert {r["doc_id"] for r in clean.collect()} == {i for i, _ in texts(df)} - {i for i, _ in want}
     assert decontaminate.contaminated(empty, items).isEmpty() and decontaminate.contaminated(odd, items).isEmpty()
     none = spark.createDataFrame([(1, None), (2, ""), (None, "a")], "item_id long, text string")
-    assert decontaminate.without_leaks(odd, none).count() == len(ODD)
+    # Items of a null id drop what they stand in, and are reported without an id.
+    has_a = [i for i, x in texts(odd) if "a" in words(x)]
+    assert decontaminate.without_leaks(odd, none).count() == len(ODD) - len(has_a) < len(ODD)
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(odd, none).collect()) == sorted((i, None) for i in has_a)
 
 
 def test_scores_do_not_depend_on_the_blocks_of_items(spark, docs, monkeypatch):
@@ -307,6 +310,32 @@ def test_random_tokens_are_told_from_identifiers(spark):
     assert [s["kind"] for s in got[300]] == ["random"] and not got[100]
 
 
+def test_random_tokens_and_identifiers_that_were_held_out(spark, docs):
+    """Labelled samples are halved: one half teaches (as assigned values, and inside ordinary documents), the other is judged."""
+    rng = np.random.default_rng(9)
+    letters = list(secrets.ALPHABET[:62])
+    words = sorted({w.lower() for _, x in texts(docs) for w in x.split() if w.isascii() and w.isalpha() and len(w) > 3})
+    random_ = ["".join(rng.choice(letters, rng.integers(20, 41))) for _ in range(800)]
+    random_ = [t for t in random_ if re.search("[0-9]", t) and re.search("[A-Za-z]", t)]
+    parts = [list(rng.choice(words, rng.integers(3, 6))) for _ in range(800)]
+    names = [j.join(p if j else [w.capitalize() for w in p]) + str(rng.integers(1, 1000)) for p, j in zip(parts, ["_", "", "-", "/"] * 200)]
+    names = [t for t in names if len(t) >= 20]
+    taught = [(10_000 + k, f"token = {t}") for k, t in enumerate(random_[::2])] + [(20_000 + k, t) for k, t in enumerate(names[::2])]
+    judged = [(30_000 + k, f"see {t} here") for k, t in enumerate(random_[1::2])] + [(40_000 + k, f"see {t} here") for k, t in enumerate(names[1::2])]
+
+    def rates(more):
+        df = docs.select("doc_id", "text").union(spark.createDataFrame(more + judged, "doc_id long, text string"))
+        found = {r["doc_id"] for r in secrets.find_secrets(df).where("exists(spans, s -> s.kind = 'random')").select("doc_id").collect()}
+        hit = lambda low, n: sum(low + k in found for k in range(n)) / n
+        return hit(30_000, len(random_[1::2])), hit(40_000, len(names[1::2]))
+
+    recall, wrong = rates(taught)
+    assert recall >= 0.95 and wrong <= 0.01
+    # Without any of them beside the base patterns' own values.
+    recall, wrong = rates([])
+    assert recall >= 0.9 and wrong <= 0.01
+
+
 def test_set_hash_is_homomorphic_and_order_independent(spark, docs, odd, empty):
     one = lambda x: set_hash.with_vector(spark.createDataFrame([(x,)], "t string"), F.col("t")).first()["vector"]
     assert one("a b\nc d e\nf") == one("f\na b\nc d e") != one("a b\nc d e\nf\nf")

@@ -11,9 +11,9 @@ ITEM = "Which river runs past the old mill at the northern end of the valley? It
 DOCUMENTS = [
     (1, None), (2, ""), (3, " \t\n"), (4, "One two"), (5, "one  TWO"), (6, "one two three four"), (7, LONG), (8, LONG.upper()), (9, LONG + " tail of some words"),
     (10, LONG.replace("mu7", "other")), (11, LONG + " " + LONG[::-1]), (12, "Élan ÉLAN a b c"), (13, "Élan élan a b c"), (14, f"Before it. {ITEM} After it."), (15, f"{LONG} {ITEM} {LONG}"),
-    (16, ITEM.split("?")[0]), (17, "The answer is Silver Brook river."), (18, ITEM.lower().replace("?", "").replace(".", "")),
+    (16, ITEM.split("?")[0]), (17, "The answer is Silver Brook river."), (19, "a which word has no number? Ruritania. b"), (18, ITEM.lower().replace("?", "").replace(".", "")),
 ]
-BENCHMARK = [(1, ITEM), (2, "What is the capital of the made up land of Ruritania? Strelsau."), (3, None), (4, ""), (5, "...")]
+BENCHMARK = [(1, ITEM), (2, "What is the capital of the made up land of Ruritania? Strelsau."), (3, None), (4, ""), (5, "..."), (None, "Which word has no number? Ruritania.")]
 PAGES = [(1, None), (2, "no scheme"), (3, "https://A.Example.NET/en/x?q#f"), (4, "http://example.net/de/"), (5, "ftp://shop.example.com/de/a"), (6, "http://example.com"), (7, "x://b.org/fr/#"), (8, "x://notnet/"), (9, "")]
 EMBEDDINGS = [(1, [1.0, 0.0], 1), (2, [1.0, 0.1], 1), (3, [1.0, 0.25], 1), (4, [1.0, 0.0], 2), (5, None, 1), (6, [0.0, 0.0], 1), (7, [1.0, 0.0], None), (8, [float("nan"), 0.0], 1), (9, [-1.0, 0.0], 1)]
 
