@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SEED = 42
+#: Trees of a random forest, as trained.
+TREES = 300
 
 
 def balanced(df: DataFrame, label: str = "label", out: str = "weight") -> DataFrame:
@@ -23,7 +25,7 @@ def balanced(df: DataFrame, label: str = "label", out: str = "weight") -> DataFr
     return df.withColumn(out, F.when(F.col(label) == 1, r["n"] / (2 * pos)).otherwise(r["n"] / (2 * neg)))
 
 
-def base_models(n_rows: int, trees: int = 300, rounds: int = 450) -> dict[str, object]:
+def base_models(n_rows: int, trees: int = TREES, rounds: int = 450) -> dict[str, object]:
     """Untrained classifiers by name, on `features`, `label` and `weight`."""
     common = {"featuresCol": "features", "labelCol": "label", "weightCol": "weight"}
     return {

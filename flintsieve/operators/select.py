@@ -7,14 +7,13 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flintsieve.functions import constants as C
 from flintsieve.functions import names
-from flintsieve.operators.models import balanced
+from flintsieve.operators import trees
 from flintsieve.operators.vectorize import finite
 
 # Weights of groups and of the parts of a base score; words of risk columns and how many are taken; the least
@@ -86,15 +85,10 @@ def ranked_features(stats: DataFrame) -> DataFrame:
     return out.withColumn("score", F.col("base_score") * group_weight(F.col("group")))
 
 
-def importances(df: DataFrame, features: list[str], label: str = "label", trees: int = 500, seed: int = 42) -> DataFrame:
-    """(feature, rf_importance, et_importance) of two forests on balanced rows, with the square root and with a third of the
-    features at a split. Spark ML has no extremely random trees; the second forest stands for them."""
-    df = balanced(df.select(*[finite(F.col(c)).alias(c) for c in features], F.col(label).cast("double").alias("label")))
-    vec = VectorAssembler(inputCols=features, outputCol="features").transform(df).select("features", "label", "weight")
-    found = []
-    for strategy in ("sqrt", "onethird"):
-        forest = RandomForestClassifier(labelCol="label", weightCol="weight", numTrees=trees, maxDepth=15, maxBins=64, featureSubsetStrategy=strategy, seed=seed)
-        found.append(forest.fit(vec).featureImportances.toArray().tolist())
+def importances(df: DataFrame, features: list[str], label: str = "label", count: int = 500, seed: int = 42, key: list[str] | None = None) -> DataFrame:
+    """(feature, rf_importance, et_importance) of a random forest, balanced in each bootstrap, and of extremely random trees on
+    balanced rows, both with the square root of the features at a split and without a limit of depth."""
+    found = [trees.fit_forest(df, features, label, count, key=key, seed=seed).importances(), trees.fit_forest(df, features, label, count, random=True, bootstrap=False, key=key, seed=seed + 17).importances()]
     return df.sparkSession.createDataFrame(list(zip(features, *found)), "feature string, rf_importance double, et_importance double")
 
 

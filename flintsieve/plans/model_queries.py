@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flintsieve.operators import ensemble, models, split
+from flintsieve.operators import ensemble, models, split, trees
 from flintsieve.plans import adapters
 from flintsieve.plans.adapters import table
 from flintsieve.streaming import screen
@@ -28,6 +28,14 @@ def _trained(name: str):
     return query
 
 
+def train_rf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """300 trees, each on a bootstrap balanced by itself."""
+    key = ["l_orderkey", "l_linenumber"]
+    df = _rows(spark, sf_dir).select(*key, "label", "partition", *FEATURES).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *key).persist()
+    forest = trees.fit_forest(df.where("partition = 'train'"), FEATURES, "label", models.TREES, depth=15, key=key)
+    return forest.score(df.where("partition = 'test'").select(*key, "label", *FEATURES)).select(*key, "label", "p")
+
+
 def stack_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = split.group_split(adapters.scores(spark, sf_dir), "grp", "y")
     inputs = ["p_rf", "p_xgb", "p_dt", "p_lr"]
@@ -47,7 +55,7 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "train_lr": _trained("LogisticRegression"), "train_dt": _trained("DecisionTree"), "train_rf": _trained("RandomForest"), "train_gbt": _trained("XGBoost"),
+    "train_lr": _trained("LogisticRegression"), "train_dt": _trained("DecisionTree"), "train_rf": train_rf, "train_gbt": _trained("XGBoost"),
     "stack_lr": stack_lr, "gate_lr": gate_lr, "event_windows": event_windows,
 }
 SQL = {"event_windows": "SELECT time_bucket(INTERVAL '10 minutes', ts) AS start, count(*) AS n, count(*) FILTER (value >= 80) AS n_high FROM events GROUP BY ALL"}

@@ -61,7 +61,7 @@ def test_holdout_keeps_groups_or_deals_rows(spark):
 
 def test_importances_and_saved_models(spark, tmp_path):
     df = spark.range(300).select((F.col("id") % 2).cast("double").alias("good"), (F.col("id") % 7).cast("double").alias("noise"), (F.col("id") % 2).cast("int").alias("label"))
-    got = {r["feature"]: r for r in select.importances(df, ["noise", "good"], trees=10).collect()}
+    got = {r["feature"]: r for r in select.importances(df, ["noise", "good"], count=10).collect()}
     assert got["good"]["rf_importance"] > 0.8 and got["good"]["et_importance"] > got["noise"]["et_importance"]
     model = models.train(df, ["noise", "good"], "DecisionTree")
     ranks = {r["feature"]: r["rf_importance"] for r in select.model_importances(spark, {"DecisionTree": model, "LogisticRegression": models.train(df, ["noise", "good"], "LogisticRegression")}).collect()}
