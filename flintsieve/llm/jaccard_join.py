@@ -403,7 +403,10 @@ def _met_hot(posts: DataFrame, percent: int) -> DataFrame:
     smaller = rows.where("high >= size").withColumn("large", F.expr(f"explode(sequence({kind('size')}, {kind('least(high, size * 100 div ' + str(percent) + ')')}))")).withColumn("small", F.expr(kind("size")))
     larger = rows.where("least(size, high) >= low").withColumn("small", F.expr(f"explode(sequence({kind('low')}, {kind('least(size, high)')}))")).withColumn("large", F.expr(kind("size")))
     on = ["gram", "small", "large"]
-    groups = smaller.select(*on, F.col("root").alias("root_x")).distinct().join(larger.select(*on, F.col("root").alias("root_y")).distinct(), on).where("root_x <> root_y")
+    # Of each group its best post: the most grams that follow, and the smallest size.
+    best = lambda side, t: side.groupBy(*on, F.col("root").alias(f"root_{t}")).agg(F.expr(f"max(size - pos) AS left_{t}"), F.expr(f"min(size) AS size_{t}"))
+    enough = " AND ".join(f"{percent} * (size_x + size_y) <= {100 + percent} * left_{t}" for t in "xy")
+    groups = best(smaller, "x").join(best(larger, "y"), on).where(f"root_x <> root_y AND {enough}").select(*on, "root_x", "root_y")
     columns = [*on, "id", "root", "m", "pos"]
     x = smaller.select(columns).withColumnRenamed("root", "root_x").alias("x")
     y = larger.select(columns).withColumnRenamed("root", "root_y").alias("y")
