@@ -45,7 +45,7 @@ BUFFER = (
 CALL = r"\b([A-Za-z_]\w*)\s*\((.*)\)\s*;"
 LOOP = r"\b(for|while)\s*\("
 LITERAL = r'L?"((?:\\.|[^"\\])*)"'
-CAST = r"^\s*\(\s*(?:size_t|ssize_t|int|uint|uint32_t|uint64_t|long|ulong|unsigned\s+int|unsigned\s+long|longlong|ulonglong)\s*\)\s*"
+CAST = r"\(\s*(?:size_t|ssize_t|int|uint|uint32_t|uint64_t|long|ulong|unsigned\s+int|unsigned\s+long|longlong|ulonglong)\s*\)"
 SUM = r"(?i)^[+-]?(?:0x[0-9a-f]+|\d+)(?:[+-](?:0x[0-9a-f]+|\d+))*$"
 
 # Risk levels, and weights of a static finding.

@@ -123,19 +123,47 @@ def source_origin(expr: Column, found: Column, params: Column) -> Column:
     )
 
 
-#: Casts and outer parentheses that are taken off a size expression, one after the other.
-LAYERS = 4
+def within_brackets(expr: Column) -> Column:
+    """An expression without the casts before it and the pairs of parentheses around it, in any number and order.
 
+    One pass: what opens at the beginning and what closes at the end are counted, and of the pairs as many stand around the
+    whole as the depth in between never falls below."""
+    count = lambda x, c: F.length(x) - F.length(F.replace(x, F.lit(c)))
 
-def size_value(expr: Column, dst: Column, dst_size: Column) -> Column:
-    """Value of a size expression that is a signed sum of numbers, sizeof(dst) being dst_size; else, or below 0, null.
+    def step(s: Column, c: Column) -> Column:
+        now = s["now"] + F.when(c == "(", 1).otherwise(-1)
+        return F.struct(now.alias("now"), F.least(s["low"], now).alias("low"))
 
-    Up to LAYERS casts or pairs of outer parentheses are taken off.
-    """
-    e = F.trim(F.coalesce(expr, F.lit("")))
-    for _ in range(LAYERS):
-        e = F.trim(F.regexp_replace(e, C.CAST, ""))
-        e = F.trim(F.regexp_replace(e, r"^\(((?:[^()]|\([^()]*\))*)\)$", "$1"))
+    def parted(e: Column) -> Column:
+        head = F.regexp_extract(e, "^[\\s(\u0001]*", 0)
+        return F.struct(head.alias("head"), F.substring(e, F.length(head) + 1, F.length(e)).alias("rest"))
+
+    def counted(s: Column) -> Column:
+        tail = F.regexp_extract(F.reverse(s["rest"]), r"^[\s)]*", 0)
+        return F.struct(s["head"].alias("head"), F.left(s["rest"], F.length(s["rest"]) - F.length(tail)).alias("core"), count(s["head"], "(").alias("opened"), count(tail, ")").alias("closed"))
+
+    def deep(s: Column) -> Column:
+        brackets = F.filter(F.split(F.regexp_replace(s["core"], "[^()]+", ""), ""), lambda c: c != "")
+        depth = F.aggregate(brackets, F.struct(s["opened"].alias("now"), s["opened"].alias("low")), step)
+        return F.struct(*[s[k].alias(k) for k in ("head", "core", "opened", "closed")], depth.alias("depth"))
+
+    def stripped(s: Column) -> Column:
+        opened, closed, depth = s["opened"], s["closed"], s["depth"]
+        pairs = F.when(depth["now"] == closed, F.greatest(F.lit(0), F.least(opened, closed, depth["low"]))).otherwise(0)
+        left = F.when(opened > pairs, F.concat(F.lit("("), F.call_function("substring_index", s["head"], F.lit("("), pairs - opened))).otherwise("")
+        return F.trim(F.concat(left, s["core"], F.repeat(F.lit(")"), closed - pairs)))
+
+    # A cast becomes one character, which no expression has. Each step works on what the last one named, so none is done twice.
+    out = F.array(F.regexp_replace(F.coalesce(expr, F.lit("")), C.CAST, "\u0001"))
+    for part in (parted, counted, deep, stripped):
+        out = F.transform(out, part)
+    return F.element_at(out, 1)
+
+
+def size_value(expr: Column, dst: Column, dst_size: Column) -> Column:
+    """Value of a size expression that is a signed sum of numbers, sizeof(dst) being dst_size; else, or below 0, null. Casts
+    before it and parentheses around it do not matter."""
+    e = within_brackets(expr)
     known = F.when((dst != "") & (dst_size > 0), F.regexp_replace(e, F.concat(F.lit(r"(?i)\bsizeof\s*(?:\(\s*&?\s*"), dst, F.lit(r"\s*\)|\s+"), dst, F.lit(r"\b)")), dst_size.cast("string"))).otherwise(e)
     bare = F.regexp_replace(known, r"\s+", "")
     terms = F.regexp_extract_all(bare, F.lit(r"[+-]?(?:0[xX][0-9a-fA-F]+|\d+)"), F.lit(0))

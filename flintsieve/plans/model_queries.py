@@ -31,9 +31,9 @@ def _trained(name: str):
 def train_rf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """300 trees, each on a bootstrap balanced by itself."""
     key = ["l_orderkey", "l_linenumber"]
-    df = _rows(spark, sf_dir).select(*key, "label", "partition", *FEATURES).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *key).persist()
+    df = _rows(spark, sf_dir).select(*dict.fromkeys([*key, "label", "partition", *FEATURES])).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *key).persist()
     forest = trees.fit_forest(df.where("partition = 'train'"), FEATURES, "label", models.TREES, depth=15, key=key)
-    return forest.score(df.where("partition = 'test'").select(*key, "label", *FEATURES)).select(*key, "label", "p")
+    return forest.score(df.where("partition = 'test'")).select(*key, "label", "p")
 
 
 def stack_lr(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -128,5 +128,5 @@ SQL = {
         SELECT row_number() OVER (ORDER BY pl) AS place, feature FROM (SELECT 1 AS pl, 'l_quantity' AS feature FROM c UNION ALL SELECT 2, 'twice' FROM c WHERE qt < 0.965 UNION ALL SELECT 3, 'l_discount' FROM c WHERE dq < 0.965
         UNION ALL SELECT 4, 'l_tax' FROM c WHERE t < 0.965 UNION ALL SELECT 5, 'l_linenumber' FROM c WHERE n < 0.985)""",
     "split_manifest": f"""SELECT {_PARTITIONS} AS "partition", count(*) AS n, sum(CASE WHEN o_totalprice > 150000 THEN 1 ELSE 0 END)::BIGINT AS n_one, 0::BIGINT AS n_missing, 0::BIGINT AS n_beyond,
-        (SELECT count(*) FROM (SELECT o_orderkey FROM orders GROUP BY 1 HAVING count(*) > 1))::BIGINT AS n_repeated_rows, 0::BIGINT AS n_split_groups, 0::BIGINT AS n_one_label, 0 AS n_hash_differs FROM orders GROUP BY 1""",
+        (SELECT count(*) FROM (SELECT o_orderkey FROM orders GROUP BY 1 HAVING count(*) > 1))::BIGINT AS n_repeated_rows, 0::BIGINT AS n_split_groups, 0::BIGINT AS n_one_label, 0::BIGINT AS n_no_group, 0::BIGINT AS n_bad_labels, 0::BIGINT AS n_lacking_partitions, 0::BIGINT AS n_other_partitions, 0 AS n_hash_differs FROM orders GROUP BY 1""",
 }

@@ -2,6 +2,9 @@
 
 import json
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,11 +60,41 @@ def test_arguments(spark, inside, want):
 
 @pytest.mark.parametrize(("expr", "want"), [
     ("32", 32), ("0x20-1", 31), ("(size_t)0x20", 32), ("((int)(4 + 4))", 8), ("sizeof(buf)-1", 63), ("sizeof buf", 64), ("sizeof(other)", None), ("n", None), ("strlen(s)+1", None), ("3-4", None), ("", None), ("-2+5", 3),
+    ("(" * 200 + "5" + ")" * 200, 5), ("(size_t) (" * 50 + " 7 " + ")" * 50, 7), ("((4)+(4))", None), ("(4", None), ("4)", None), ("()", None), ("((int))", None), ("(int)(long)(uint)(ulong)(size_t)9", 9), (" ( ( (int) 0x10 ) ) ", 16), ("(1)-(2)", None), ("(((((((5)))))))", 5),
 ])
 def test_sizes(spark, expr, want):
     assert one(spark, text.size_value(F.col("e"), F.lit("buf"), F.lit(64)), e=expr) == want
 
 
+def test_brackets_are_taken_off_to_the_end(spark):
+    cast = re.compile(r"^\s*\(\s*(?:size_t|int|unsigned\s+long)\s*\)\s*")
+
+    def wraps(e):
+        depth = 0
+        for i, c in enumerate(e):
+            depth += (c == "(") - (c == ")")
+            if depth < 0 or (depth == 0 and i < len(e) - 1):
+                return False
+        return depth == 0
+
+    def plain(e):
+        e, before = e.strip(" "), None
+        while e != before:
+            before, e = e, cast.sub("", e, count=1).strip(" ")
+            while e.startswith("(") and e.endswith(")") and wraps(e):
+                e = e[1:-1].strip(" ")
+        return e
+
+    rnd = random.Random(2)
+    exprs = ["".join(rnd.choices(["(", ")", "(int)", "( size_t )", "(unsigned long)", "5", "+", " "], [6, 6, 2, 1, 1, 3, 1, 1], k=rnd.randrange(12))) for _ in range(3000)]
+    exprs += ["(" * k + e + ")" * k for k in (1, 2, 5) for e in exprs[:500]]
+    found = {r[0]: r[1] for r in spark.createDataFrame([(e,) for e in set(exprs)], "e string").select("e", text.size_value(F.col("e"), F.lit(""), F.lit(0))).collect()}
+    number = re.compile(r"[+]?\d+([+]\d+)*")
+    for e in set(exprs):
+        bare = re.sub(r"\s+", "", plain(e))
+        assert found[e] == (sum(map(int, re.findall(r"\d+", bare))) if number.fullmatch(bare) else None), (e, bare)
+
+
 @pytest.mark.parametrize(("name", "want"), [("__strcpy_chk", "strcpy_chk"), ("j_memcpy@@GLIBC_2.2", "memcpy"), ("gets@plt", "gets"), (None, "")])
 def test_symbols(spark, name, want):
     assert one(spark, text.symbol(F.col("n")), n=name) == want

@@ -42,3 +42,23 @@ def test_manifest_fits_its_data_alone(spark):
     for wrong, frame in ((saved.where("row_id <> 3"), df), (saved, df.where("row <> 3")), (saved, df.withColumn("label", F.lit(1))), (saved.withColumn("partition", F.when(F.col("row_id") == 1, "test").otherwise(F.col("partition"))), df), (saved.unionAll(saved.limit(1)), df)):
         with pytest.raises(ValueError, match="does not fit"):
             manifest.loaded(wrong, frame, "row", "label")
+
+
+def test_manifest_names_all_partitions_and_labels(spark):
+    df = spark.createDataFrame([(i, i // 4, i % 2) for i in range(40)], "row long, grp long, label int")
+    split = df.withColumn("partition", F.element_at(F.array(*map(F.lit, manifest.PARTITIONS)), (F.col("grp") % 4 + 1).cast("int")))
+    of = lambda s, d: manifest.manifest_report(manifest.make_manifest(s, "row", "grp", "partition"), d, "row", "label").first().asDict()
+    assert not any(of(split, df).values())
+    alone = of(split.withColumn("partition", F.lit("train")), df)
+    assert {k: v for k, v in alone.items() if v} == {"n_lacking_partitions": 3}
+    other = of(split.withColumn("partition", F.when(F.col("partition") == "test", "held").otherwise(F.col("partition"))), df)
+    assert {k: v for k, v in other.items() if v} == {"n_lacking_partitions": 1, "n_other_partitions": 1}
+    no_labels = split.withColumn("label", F.when(F.col("partition") == "meta", None).otherwise(F.col("label")))
+    found = of(no_labels, no_labels.drop("partition"))
+    assert found["n_one_label"] == 1 and found["n_bad_labels"] == no_labels.where("label IS NULL").count()
+    no_group = split.withColumn("grp", F.when(F.col("row") == 5, None).otherwise(F.col("grp")))
+    assert of(no_group, no_group.drop("partition"))["n_no_group"] == 1
+    apart = split.withColumn("partition", F.when(F.col("row") == 5, "test").otherwise(F.col("partition")))
+    assert of(apart, df)["n_split_groups"] == (1 if apart.where("row = 4").first()["partition"] != "test" else 0)
+    empty = manifest.make_manifest(split.where("false"), "row", "grp", "partition")
+    assert manifest.manifest_report(empty, df, "row", "label").first()["n_lacking_partitions"] == 4
