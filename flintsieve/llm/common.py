@@ -28,6 +28,13 @@ def held(key: Any, make: Callable[[], Any]) -> Any:
     return _HELD[key]
 
 
+def released() -> None:
+    """Lets go what this Python worker kept for another operator; for operators that keep nothing themselves."""
+    if _HELD:
+        _HELD.clear()
+        gc.collect()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; only where it is unset (tests), a folder of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None)

@@ -32,7 +32,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flintsieve.llm.common import discard, fresh, small_batches, written
+from flintsieve.llm.common import discard, fresh, released, small_batches, written
 from flintsieve.llm.components import components
 
 #: Grams and words of the tables of common ones; each task reports so many of its own; what a task counts at a time.
@@ -180,6 +180,7 @@ def _described(docs: DataFrame, n: int) -> DataFrame:
     fields = [f for f in docs.schema if f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         counts, known, schema = (_Counts(REPORTED), _Counts(REPORTED_WORDS)), set(), None
         for b in batches:
             rows = []
@@ -254,6 +255,7 @@ def _prefixes(docs: DataFrame, n: int, percent: int, common: tuple, words: tuple
     sent = docs.sparkSession.sparkContext.broadcast((*common, (100 * places).round().astype(np.int32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         table, seen, level = sent.value
         low, known = np.uint64((1 << PLACE_BITS) - 1), set()
         maybe = np.zeros(1 << PLACE_BITS, bool)  # tells most grams that are not in the table
@@ -316,6 +318,7 @@ def _sets(docs: DataFrame, n: int, nodes: DataFrame) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         on = np.unpackbits(sent.value.view(np.uint8), bitorder="little").astype(bool)
         for b in batches:
             keys, sets = [], []
