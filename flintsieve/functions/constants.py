@@ -1,28 +1,28 @@
 """Names, weights and cut-offs that results must agree on."""
 
 # Call names by what they do, after normalisation of symbols.
-DANGEROUS = (
-    "gets memcpy memmove wmemcpy wmemmove read recv recvfrom sprintf swprintf vsprintf vswprintf sprintf_chk "
-    "strcat strcpy wcscat wcscpy strcpy_chk strcat_chk"
-).split()
-BOUNDED = (
-    "fgets fgetws snprintf snprintf_chk vsnprintf vsnprintf_chk strncpy strncat wcsncpy wcsncat strncpy_chk strncat_chk "
-    "memcpy memmove wmemcpy wmemmove memcpy_chk memmove_chk strcpy_chk strcat_chk"
-).split()
-UNBOUNDED = "gets sprintf swprintf vsprintf vswprintf strcpy strcat wcscpy wcscat".split()
-INPUT = "gets fgets fgetws scanf sscanf fscanf isoc99_scanf isoc99_sscanf isoc23_scanf isoc23_sscanf read recv recvfrom".split()
-LENGTH = "strlen wcslen strnlen wcsnlen sizeof".split()
-INIT = "memset wmemset bzero".split()
-FORMAT = "sprintf snprintf swprintf vsprintf vsnprintf vswprintf".split()
+DANGEROUS = [
+    "gets", "memcpy", "memmove", "wmemcpy", "wmemmove", "read", "recv", "recvfrom", "sprintf", "swprintf", "vsprintf", "vswprintf", "sprintf_chk",
+    "strcat", "strcpy", "wcscat", "wcscpy", "strcpy_chk", "strcat_chk",
+]
+BOUNDED = [
+    "fgets", "fgetws", "snprintf", "vsnprintf", "snprintf_chk", "vsnprintf_chk", "strncpy", "strncat", "wcsncpy", "wcsncat", "strncpy_chk",
+    "strncat_chk", "memcpy", "memmove", "wmemcpy", "wmemmove", "memcpy_chk", "memmove_chk", "strcpy_chk", "strcat_chk",
+]
+UNBOUNDED = ["gets", "sprintf", "swprintf", "vsprintf", "vswprintf", "strcpy", "strcat", "wcscpy", "wcscat"]
+INPUT = ["gets", "fgets", "fgetws", "scanf", "sscanf", "fscanf", "isoc99_scanf", "isoc99_sscanf", "isoc23_scanf", "isoc23_sscanf", "read", "recv", "recvfrom"]
+LENGTH = ["strlen", "wcslen", "strnlen", "wcsnlen", "sizeof"]
+INIT = ["memset", "wmemset", "bzero"]
+FORMAT = ["sprintf", "snprintf", "swprintf", "vsprintf", "vsnprintf", "vswprintf"]
 
 # Places of the destination, source and size arguments; -1 is none. Others have none at all.
 ROLES = {
-    (0, 1, -1): "strcpy strcat wcscpy wcscat".split(),
-    (0, 1, 2): "memcpy memmove wmemcpy wmemmove memcpy_chk memmove_chk strncpy strncat wcsncpy wcsncat strncpy_chk strncat_chk strcpy_chk strcat_chk".split(),
-    (0, -1, 2): "memset wmemset sprintf_chk".split(),
-    (0, -1, 1): "snprintf vsnprintf snprintf_chk vsnprintf_chk fgets fgetws".split(),
-    (0, -1, -1): "sprintf swprintf".split(),
-    (1, -1, 2): "read recv recvfrom".split(),
+    (0, 1, -1): ["strcpy", "strcat", "wcscpy", "wcscat"],
+    (0, 1, 2): ["memcpy", "memmove", "wmemcpy", "wmemmove", "memcpy_chk", "memmove_chk", "strncpy", "strncat", "wcsncpy", "wcsncat", "strncpy_chk", "strncat_chk", "strcpy_chk", "strcat_chk"],
+    (0, -1, 2): ["memset", "wmemset", "sprintf_chk"],
+    (0, -1, 1): ["snprintf", "vsnprintf", "snprintf_chk", "vsnprintf_chk", "fgets", "fgetws"],
+    (0, -1, -1): ["sprintf", "swprintf"],
+    (1, -1, 2): ["read", "recv", "recvfrom"],
 }
 
 # Bytes of a type by the first of these words that its lower-case name contains; else 1.
@@ -31,10 +31,10 @@ TYPE_BYTES = [
     ("long long", 8), ("uint64", 8), ("int", 4), ("long", 8), ("float", 4), ("double", 8),
 ]
 # Words of an expression that stands for outside input.
-INPUT_WORDS = "argv envp getenv stdin read recv scanf fgets gets".split()
-INPUT_SOURCES = "argv envp getenv stdin scanf sscanf fscanf fgets gets read recv recvfrom getchar".split()
-LENGTH_WORDS = "strlen wcslen strnlen wcsnlen sizeof".split()
-BOUND_WORDS = "len size count bound".split()
+INPUT_WORDS = ["argv", "envp", "getenv", "stdin", "read", "recv", "scanf", "fgets", "gets"]
+INPUT_SOURCES = ["argv", "envp", "getenv", "stdin", "scanf", "sscanf", "fscanf", "fgets", "gets", "read", "recv", "recvfrom", "getchar"]
+LENGTH_WORDS = ["strlen", "wcslen", "strnlen", "wcsnlen", "sizeof"]
+BOUND_WORDS = ["len", "size", "count", "bound"]
 
 # Patterns of declarations, calls and literals.
 BUFFER = (
@@ -50,12 +50,12 @@ SUM = r"(?i)^[+-]?(?:0x[0-9a-f]+|\d+)(?:[+-](?:0x[0-9a-f]+|\d+))*$"
 
 # Risk levels, and weights of a static finding.
 HIGH, MEDIUM = 0.85, 0.65
-ALWAYS_UNBOUNDED = "strcpy strcat gets sprintf vsprintf".split()
+ALWAYS_UNBOUNDED = ["strcpy", "strcat", "gets", "sprintf", "vsprintf"]
 
 # Calls that may be findings; of them copies with a bound; words of safe evidence.
-FINDABLE = "strcpy strcat gets sprintf vsprintf memcpy memmove strncpy strncat scanf sscanf fscanf read recv recvfrom snprintf vsnprintf wcscpy wcscat wmemcpy wmemmove".split()
-COPIES = "memcpy memmove strncpy strncat scanf sscanf fscanf read recv recvfrom".split()
-SAFE_WORDS = "safe_proof strong_guard size_lt_dst size_eq_dst size_le_dst sizeof guard bound check literal_copy_safe".split()
+FINDABLE = ["strcpy", "strcat", "gets", "sprintf", "vsprintf", "memcpy", "memmove", "strncpy", "strncat", "scanf", "sscanf", "fscanf", "read", "recv", "recvfrom", "snprintf", "vsnprintf", "wcscpy", "wcscat", "wmemcpy", "wmemmove"]
+COPIES = ["memcpy", "memmove", "strncpy", "strncat", "scanf", "sscanf", "fscanf", "read", "recv", "recvfrom"]
+SAFE_WORDS = ["safe_proof", "strong_guard", "size_lt_dst", "size_eq_dst", "size_le_dst", "sizeof", "guard", "bound", "check", "literal_copy_safe"]
 
 # Beginnings of runtime names.
 RUNTIME_PREFIXES = ["__x86.get_pc_thunk", "__libc_", "__cxa_", "__gmon_", "_Unwind_"]

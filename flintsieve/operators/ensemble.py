@@ -127,3 +127,13 @@ def apply_gate(df: DataFrame, gate, inputs: list[str], a: str, b: str, least: fl
 
 #: Pairs of least and most weight that gates are tried with.
 GATE_BOUNDS = [(lo, hi) for lo in (0.0, 0.02, 0.05) for hi in (0.20, 0.35, 0.50, 0.65) if hi > lo]
+
+
+def best_gate(scores: DataFrame, a: str, b: str, gate: Column, floor: float | None = 0.95, bounds: list[tuple[float, float]] = GATE_BOUNDS) -> DataFrame:
+    """least, most and threshold of the best gated score of a pair on rows with label y, and its counts and metrics; `ok` says
+    whether the recall reaches the floor. All bounds and thresholds are counted in one pass; ties go to the first bounds."""
+    options = F.array(*[F.struct(F.lit(lo).alias("least"), F.lit(hi).alias("most")) for lo, hi in bounds])
+    met = scores.select("y", F.col(a).alias("a"), F.col(b).alias("b"), gate.alias("g"), F.explode(options).alias("o"))
+    p = F.round(F.col("o.least") + (F.col("o.most") - F.col("o.least")) * F.col("g"), 12)
+    met = met.select("y", "o.least", "o.most", F.round(p * F.col("b") + (1 - p) * F.col("a"), 9).alias("p"))
+    return metrics.best_threshold(metrics.with_metrics(metrics.threshold_counts(met, ["least", "most"])), [], floor, ["least", "most", "threshold"])

@@ -13,6 +13,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flintsieve.operators import metrics
+
 SEED = 42
 #: Trees of a random forest, as trained.
 TREES = 300
@@ -58,3 +60,14 @@ def stack(meta: DataFrame, inputs: list[str], c: float = 0.5) -> PipelineModel:
         VectorAssembler(inputCols=inputs, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True),
         LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", regParam=1 / (c * n), standardization=False),
     ]).fit(df)
+
+
+def best_stacks(meta: DataFrame, select: DataFrame, inputs: list[str], risks: list[str], floor: float = 0.95) -> DataFrame:
+    """recipe, threshold, counts and metrics of stacks with and without risk columns: fitted on the meta rows, thresholds chosen
+    on the select rows. A stack that no threshold brings to the recall floor is refused (`ok` is false)."""
+    found = []
+    for recipe, columns in (("STACK_LOGISTIC_PROB_ONLY", inputs), ("STACK_LOGISTIC_PROB_RISK", [*inputs, *risks])):
+        rows = scored(stack(meta, columns), select, "p").select("y", F.round("p", 9).alias("p"))
+        best = metrics.best_threshold(metrics.with_metrics(metrics.threshold_counts(rows, [])), [], floor)
+        found.append(best.select(F.lit(recipe).alias("recipe"), *best.columns))
+    return found[0].unionByName(found[1])
