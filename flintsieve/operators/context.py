@@ -14,7 +14,7 @@ ALIAS = r"\b([A-Za-z_]\w*)\s*=\s*&?\s*([A-Za-z_]\w*)\b\s*;"
 LOOP_GUARDS, SIZE_GUARDS, COMPARED = ["<", "len", "size"], ["strlen", "wcslen", "strnlen", "sizeof", "len", "size", "count"], ["<", ">", "==", "!="]
 SOURCES = r"\b(" + "|".join(C.INPUT_SOURCES) + r")\b"
 ASSIGNED = r"\E\b\s*=\s*.*\b(argv|envp|getenv|stdin|scanf|sscanf|fgets|gets|read|recv|recvfrom|getchar)\b"
-SNPRINTF, STRNCPY, MEMCPY = "snprintf vsnprintf snprintf_chk vsnprintf_chk".split(), "strncpy strncat strncpy_chk strncat_chk".split(), "memcpy memmove memcpy_chk memmove_chk".split()
+SNPRINTF, STRNCPY, MEMCPY = ["snprintf", "vsnprintf", "snprintf_chk", "vsnprintf_chk"], ["strncpy", "strncat", "strncpy_chk", "strncat_chk"], ["memcpy", "memmove", "memcpy_chk", "memmove_chk"]
 
 
 def _has(text: Column, words: list[str]) -> Column:
