@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Share of rows of each partition in thousandths.
@@ -19,36 +19,81 @@ def group_split(df: DataFrame, group: str, label: str, seed: int = 42, parts: di
     sees at most 3 * WEIGHTY rows, however many groups there are. Fewer groups than partitions, and rows without a
     group, are errors; there is no split by row.
     """
+    rows, total, lot = _units(df, group, label, seed, len(parts))
+    names, shares = list(parts), list(parts.values())
+    want = [[t * s / sum(shares) for t in total] for s in shares]
+    have, chosen = [[0, 0] for _ in shares], []
+    for r in sorted(rows, key=lambda r: (-(r["n0"] + r["n1"]), r["h"])):
+        lack = [sum((w[c] - h[c]) / max(w[c], 1) * (r["n1"] if c else r["n0"]) for c in (0, 1)) for w, h in zip(want, have)]
+        k = max(range(len(shares)), key=lambda i: (lack[i], -i))
+        have[k][0] += r["n0"]
+        have[k][1] += r["n1"]
+        chosen.append((r, names[k]))
+    return _assigned(df, group, chosen, lot, "partition")
+
+
+def _units(df: DataFrame, group: str, label: str, seed: int, least: int) -> tuple[list, list[int], Column]:
+    """What is placed as one: groups that weigh, and lots of those that do not, with their labels; both totals; the lot of a row."""
     mixed = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(group).cast("string")))
     lot = F.pmod(F.conv(F.left(mixed, F.lit(8)), 16, 10).cast("long"), F.lit(WEIGHTY))
     each = df.groupBy(group).agg(F.count_if(F.col(label) == 0).alias("n0"), F.count_if(F.col(label) == 1).alias("n1"))
     every = each.agg(F.count("*").alias("n"), F.count_if(F.col(group).isNull()).alias("none"), F.coalesce(F.sum("n0"), F.lit(0)).alias("n0"), F.coalesce(F.sum("n1"), F.lit(0)).alias("n1")).first()
-    if every["n"] < len(parts):
-        raise ValueError(f"{every['n']} groups cannot fill {len(parts)} partitions")
+    if every["n"] < least:
+        raise ValueError(f"{every['n']} groups cannot fill {least} partitions")
     if every["none"]:
         raise ValueError("a row has no group")
-    names, shares, total = list(parts), list(parts.values()), [every["n0"], every["n1"]]
+    total = [every["n0"], every["n1"]]
     alone = (F.col("n0") * WEIGHTY > total[0]) | (F.col("n1") * WEIGHTY > total[1])
     large = each.where(alone).select(F.col(group).alias("g"), F.lit(None).cast("long").alias("lot"), mixed.alias("h"), "n0", "n1")
     lots = each.where(~alone).groupBy(lot.alias("lot")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    rows = large.unionByName(lots.withColumn("h", F.lpad(F.col("lot").cast("string"), 8, "0")), allowMissingColumns=True).collect()
-    want = [[t * s / sum(shares) for t in total] for s in shares]
-    have, groups, of_lot = [[0, 0] for _ in shares], [], []
-    for r in sorted(rows, key=lambda r: (-(r["n0"] + r["n1"]), r["h"])):
-        lack = [sum((w[c] - h[c]) / max(w[c], 1) * (r["n1"] if c else r["n0"]) for c in (0, 1)) for w, h in zip(want, have)]
-        k = max(range(len(shares)), key=lambda i: (lack[i], -i))
-        have[k][0] += r["n0"]
-        have[k][1] += r["n1"]
-        if r["lot"] is None:
-            groups.append((r["g"], names[k]))
-        else:
-            of_lot.append((r["lot"], names[k]))
-    spark = df.sparkSession
-    out = df.join(F.broadcast(spark.createDataFrame(groups, df.select(F.col(group).alias("_group"), F.lit("").alias("_alone")).schema)), F.col(group) == F.col("_group"), "left")
+    return large.unionByName(lots.withColumn("h", F.lpad(F.col("lot").cast("string"), 8, "0")), allowMissingColumns=True).collect(), total, lot
+
+
+def _assigned(df: DataFrame, group: str, chosen: list[tuple], lot: Column, out: str) -> DataFrame:
+    """df with what its group, or its group's lot, was given; at most 3 * WEIGHTY rows are broadcast."""
+    spark, kind = df.sparkSession, "int" if chosen and isinstance(chosen[0][1], int) else "string"
+    groups, of_lot = [(r["g"], k) for r, k in chosen if r["lot"] is None], [(r["lot"], k) for r, k in chosen if r["lot"] is not None]
+    done = df.join(F.broadcast(spark.createDataFrame(groups, df.select(F.col(group).alias("_group"), F.lit(None).cast(kind).alias("_alone")).schema)), F.col(group) == F.col("_group"), "left")
     if not of_lot:
-        return out.withColumn("partition", F.col("_alone")).drop("_group", "_alone")
-    out = out.join(F.broadcast(spark.createDataFrame(of_lot, "_lot long, _gathered string")), lot == F.col("_lot"), "left")
-    return out.withColumn("partition", F.coalesce("_alone", "_gathered")).drop("_group", "_alone", "_lot", "_gathered")
+        return done.withColumn(out, F.col("_alone")).drop("_group", "_alone")
+    done = done.join(F.broadcast(spark.createDataFrame(of_lot, f"_lot long, _gathered {kind}")), lot == F.col("_lot"), "left")
+    return done.withColumn(out, F.coalesce("_alone", "_gathered")).drop("_group", "_alone", "_lot", "_gathered")
+
+
+def group_folds(df: DataFrame, group: str, label: str, folds: int, seed: int = 42) -> DataFrame:
+    """df with `fold` from 0: whole groups, placed one by one where the folds' shares of both labels spread least.
+
+    Groups whose labels differ most in number come first, in an order shuffled by the seed; of folds that do equally well the
+    one with fewer rows is taken. Fewer groups than folds, and rows without a group, are errors. Small groups are placed by
+    lots, as in group_split."""
+    rows, total, lot = _units(df, group, label, seed, folds)
+    have, chosen = [[0, 0] for _ in range(folds)], []
+    spread = lambda xs: (sum((x - sum(xs) / len(xs)) ** 2 for x in xs) / len(xs)) ** 0.5
+    for r in sorted(rows, key=lambda r: (-abs(r["n0"] - r["n1"]), r["h"])):
+        own = (r["n0"], r["n1"])
+
+        def cost(k: int) -> tuple[float, int]:
+            shares = [[(h[c] + (own[c] if i == k else 0)) / max(1, total[c]) for i, h in enumerate(have)] for c in (0, 1)]  # noqa: B023
+            return round(sum(map(spread, shares)), 12), sum(have[k])
+
+        k = min(range(folds), key=cost)
+        have[k] = [have[k][0] + own[0], have[k][1] + own[1]]
+        chosen.append((r, k))
+    return _assigned(df, group, chosen, lot, "fold")
+
+
+def staged_split(df: DataFrame, group: str, label: str, seed: int = 42) -> DataFrame:
+    """df with `partition` in three stages of whole groups: one fold of five is test, one of four of the rest is for choosing,
+    and of that one of two is select and the other meta; what is left is train. Seeds of the stages: seed, + 1, + 77."""
+    first = group_folds(df, group, label, 5, seed)
+    test, rest = first.where("fold = 0").drop("fold"), first.where("fold <> 0").drop("fold")
+    second = group_folds(rest, group, label, 4, seed + 1)
+    third = group_folds(second.where("fold = 0").drop("fold"), group, label, 2, seed + 77)
+    parts = [
+        second.where("fold <> 0").drop("fold").withColumn("partition", F.lit("train")), third.withColumn("partition", F.when(F.col("fold") == 0, "select").otherwise("meta")).drop("fold"),
+        test.withColumn("partition", F.lit("test")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def holdout(df: DataFrame, group: str | None, label: str, seed: int = 42) -> DataFrame:

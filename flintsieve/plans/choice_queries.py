@@ -32,11 +32,24 @@ def neighbour_information(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.neighbour_information(df, FEATURES, "label", KEY).select("feature", F.round("mutual_info", 6).alias("mutual_info"))
 
 
-QUERIES = {f.__name__: f for f in (gate_best, stack_best, neighbour_information)}
+def staged_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the staged split promises of each partition; which group falls where is not for SQL."""
+    df = table(spark, sf_dir, "lineitem").select("l_suppkey", F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("label"))
+    parts = split.staged_split(df, "l_suppkey", "label")
+    report = split.split_report(parts, "l_suppkey", "label")
+    whole = df.agg(F.count("*").alias("n"), F.avg("label").alias("share"))
+    share = {"train": 0.6, "meta": 0.1, "select": 0.1, "test": 0.2}
+    wanted = F.element_at(F.create_map(*[F.lit(x) for kv in share.items() for x in kv]), F.col("partition"))
+    met = report.crossJoin(whole)  # one row
+    return met.select("partition", "n_leaking", (F.abs(F.col("n_rows") / F.col("n") - wanted) < 0.05).alias("near_its_share"), (F.abs(F.col("n_vulnerable") / F.col("n_rows") - F.col("share")) < 0.05).alias("near_its_labels"))
+
+
+QUERIES = {f.__name__: f for f in (gate_best, stack_best, neighbour_information, staged_split)}
 
 _PSI = "(ln({0} + 16.0) - 1 / (2 * ({0} + 16.0)) - 1 / (12 * ({0} + 16.0) ** 2) + 1 / (120 * ({0} + 16.0) ** 4) - 1 / (252 * ({0} + 16.0) ** 6) - list_sum([1.0 / ({0} + i) for i in range(16)]))"
 _COLUMNS = ", ".join(f"CAST({f} AS DOUBLE) AS {f}" for f in FEATURES)
 SQL = {
+    "staged_split": """SELECT unnest(['train', 'meta', 'select', 'test']) AS "partition", 0::BIGINT AS n_leaking, true AS near_its_share, true AS near_its_labels""",
     "gate_best": f"""WITH {S.SCORED}, {S.THRESHOLDS}, bounds(least, most) AS (VALUES {", ".join(f"(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))" for a, b in BOUNDS)}),
 weighed AS (SELECT y, p_rf, p_xgb, least, most, round(least + (most - least) * p_lr, 12) AS w FROM scores CROSS JOIN bounds),
 met AS (SELECT least, most, y, round(w * p_xgb + (1 - w) * p_rf, 9) AS p, count(*) AS n FROM weighed GROUP BY ALL),

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from flintsieve.operators import manifest, results, select
+from flintsieve.operators import manifest, results, select, split
 
 
 def test_result_table_hides_and_explains(spark):
@@ -62,3 +62,23 @@ def test_manifest_names_all_partitions_and_labels(spark):
     assert of(apart, df)["n_split_groups"] == (1 if apart.where("row = 4").first()["partition"] != "test" else 0)
     empty = manifest.make_manifest(split.where("false"), "row", "grp", "partition")
     assert manifest.manifest_report(empty, df, "row", "label").first()["n_lacking_partitions"] == 4
+
+
+def test_folds_are_whole_groups_of_like_labels(spark):
+    df = spark.range(6000).select("id", (F.col("id") % 83).alias("g"), (F.xxhash64("id") % 10 < F.col("id") % 83 % 5).cast("int").alias("label"))
+    folds = split.group_folds(df, "g", "label", 5, 7)
+    assert folds.groupBy("g").agg(F.count_distinct("fold").alias("k")).where("k > 1").isEmpty() and folds.count() == 6000
+    for r in folds.groupBy("fold").agg(F.count("*").alias("n"), F.avg("label").alias("share")).collect():
+        assert abs(r["n"] / 6000 - 0.2) < 0.03 and abs(r["share"] - df.agg(F.avg("label")).first()[0]) < 0.03
+    # A group with a third of all rows fills a fold, and the others stay even.
+    hot = df.withColumn("g", F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("g")))
+    sizes = sorted(r["count"] for r in split.group_folds(hot, "g", "label", 3, 7).groupBy("fold").count().collect())
+    assert sum(sizes) == 6000 and sizes[0] > 1700
+    staged = split.staged_split(df, "g", "label", 7)
+    split.check_split(staged, "g", "label")
+    assert {r["partition"] for r in staged.select("partition").distinct().collect()} == {"train", "meta", "select", "test"}
+    assert sorted(map(tuple, staged.select("id", "partition").collect())) == sorted(map(tuple, split.staged_split(df.repartition(7), "g", "label", 7).select("id", "partition").collect()))
+    with pytest.raises(ValueError, match="cannot fill"):
+        split.group_folds(df.where("g < 3"), "g", "label", 5)
+    with pytest.raises(ValueError, match="no group"):
+        split.group_folds(df.withColumn("g", F.when(F.col("id") > 5, F.col("g"))), "g", "label", 5)
