@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import math
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -36,10 +37,13 @@ def released() -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; only where it is unset (tests), a folder of our own."""
+    """The folder that spark.checkpoint.dir names. Only where it is unset and Spark runs in one process, as in tests, a folder of
+    our own; on a cluster a local folder would lose data, so that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="flintsieve-")
