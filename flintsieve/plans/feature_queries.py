@@ -11,6 +11,7 @@ from flintsieve.functions import names, text
 from flintsieve.operators import findings, infer, program, scoring, split, stats, vectorize
 from flintsieve.plans import adapters, code_queries
 from flintsieve.plans.adapters import table
+from flintsieve.sources import readers
 
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
 NAMES = [
@@ -73,7 +74,9 @@ def id_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def magic_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").groupBy((F.left("url", F.lit(5)) == "https").alias("match")).agg(F.count("*").alias("n"))
+    """Whether a file is a binary, and its short name, of pages of which every other one has a binary's first bytes."""
+    made = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("\x7fELF"), F.col("html"))).otherwise(F.col("html")).cast("binary")
+    return table(spark, sf_dir, "pages").select("page_id", made.alias("content")).select("page_id", readers.is_elf(F.col("content")).alias("match"), F.left(F.sha2("content", 256), F.lit(12)).alias("sha"))
 
 
 def instr_class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,7 +208,7 @@ def line_window_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
-    return p.select(F.concat(F.lit("fn_"), F.col("p_partkey").cast("string")).alias("function"), F.lower(F.hex("p_partkey")).alias("entry"), (F.col("p_partkey") % 101 / 100).alias("prob_vulnerable")).where(F.col("prob_vulnerable") < 0.95)
+    return p.select(F.concat(F.lit("fn_"), F.col("p_partkey").cast("string")).alias("function"), F.lower(F.hex("p_partkey")).alias("entry"), (F.col("p_partkey") % 101 / 100).alias("prob_vulnerable"))
 
 
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,7 +257,7 @@ def _group_sql(variant: str) -> str:
 _LEVEL = "CASE WHEN {0} >= 0.85 THEN 'HIGH' WHEN {0} >= 0.65 THEN 'MEDIUM' WHEN {0} >= 0.5 THEN 'LOW' ELSE 'SAFE' END"
 _IN = code_queries._listed
 
-_RES = "results AS (SELECT 'fn_' || p_partkey AS function, p_partkey AS fn, p_partkey % 101 / 100 AS p FROM part WHERE p_partkey % 101 < 95)"
+_RES = "results AS (SELECT 'fn_' || p_partkey AS function, p_partkey AS fn, p_partkey % 101 / 100 AS p FROM part)"
 _FOUND = f"""{code_queries.WITH_SITES}, {_RES}, located AS (SELECT s.*, coalesce(r.p, 0.0) AS fp FROM sites s LEFT JOIN results r ON s.fn = r.fn),
 hits AS (SELECT *, CASE WHEN overflow_margin > 0 OR size_to_dst_ratio > 1 THEN 'HIGH' WHEN api IN {_IN(C.ALWAYS_UNBOUNDED)} THEN CASE WHEN fp >= 0.5 THEN 'HIGH' ELSE 'MEDIUM' END WHEN api IN {_IN(C.FINDABLE)} AND fp >= 0.65 THEN 'MEDIUM' ELSE {_LEVEL.format('fp')} END AS risk
   FROM located WHERE api IN {_IN(C.FINDABLE)} OR fp >= 0.5 OR overflow_margin > 0 OR size_to_dst_ratio > 1)"""
@@ -275,7 +278,7 @@ SQL = {
     "nonzero_report": f"SELECT count(*) AS rows, CAST({len(FEATURES)} AS BIGINT) AS features, round(avg(n), 6) AS mean_nonzero, CAST(sum(n) AS BIGINT) AS total_nonzero FROM (SELECT " + " + ".join(f"CASE WHEN {f} <> 0 THEN 1 ELSE 0 END" for f in FEATURES) + " AS n FROM lineitem)",
     "safe_name": "SELECT page_id, CASE WHEN s = '' THEN 'unknown' ELSE s END AS safe FROM (SELECT page_id, left(regexp_replace(regexp_replace(coalesce(url, ''), '[^A-Za-z0-9_.+-]+', '_', 'g'), '^_+|_+$', '', 'g'), 120) AS s FROM pages)",
     "id_coalesce": "SELECT c_custkey, coalesce(nullif(CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END, ''), nullif(c_name, ''), '') AS name FROM customer",
-    "magic_bytes": "SELECT starts_with(url, 'https') AS match, count(*) AS n FROM pages GROUP BY ALL",
+    "magic_bytes": "SELECT page_id, starts_with(c, chr(127) || 'ELF') AS match, left(sha256(c), 12) AS sha FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN chr(127) || 'ELF' || html ELSE html END AS c FROM pages)",
     "instr_class_counts": "SELECT user_id, count(*) AS instruction_count, count(*) FILTER (k = 1) AS call_instruction_count, count(*) FILTER (k IN (2, 3, 7)) AS branch_count, count(*) FILTER (k = 3) AS conditional_branch_count, count(*) FILTER (k IN (4, 6)) AS compare_count, count(*) FILTER (k = 5) AS lea_count FROM (SELECT user_id, event_id % 8 AS k FROM events) GROUP BY user_id",
     "distinct_offsets": "SELECT l_suppkey, array_to_string(list_sort(list(DISTINCT l_linenumber * -8)), ',') AS offsets, count(DISTINCT l_linenumber) AS n_offsets FROM lineitem GROUP BY l_suppkey",
     "cyclomatic": "WITH b AS (SELECT o_orderkey AS k, count(*) AS blocks FROM orders GROUP BY 1), e AS (SELECT l_orderkey AS k, count(*) AS edges FROM lineitem GROUP BY 1) SELECT b.k, blocks, coalesce(edges, 0) AS edges, greatest(1, coalesce(edges, 0) - blocks + 2) AS cyclomatic FROM b LEFT JOIN e ON b.k = e.k",
