@@ -409,11 +409,13 @@ def _met_hot(posts: DataFrame, percent: int) -> DataFrame:
     # Of each group its best post: the most grams that follow, and the smallest size.
     best = lambda side, t: side.groupBy(*on, F.col("root").alias(f"root_{t}")).agg(F.expr(f"max(size - pos) AS left_{t}"), F.expr(f"min(size) AS size_{t}"))
     enough = " AND ".join(f"{percent} * (size_x + size_y) <= {100 + percent} * left_{t}" for t in "xy")
-    groups = best(smaller, "x").join(best(larger, "y"), on).where(f"root_x <> root_y AND {enough}").select(*on, "root_x", "root_y")
+    groups = best(smaller, "x").join(best(larger, "y"), on).where(f"root_x <> root_y AND {enough}").select(*on, "root_x", "root_y", "size_y", "left_y")
     columns = [*on, "id", "root", "m", "pos"]
     x = smaller.select(columns).withColumnRenamed("root", "root_x").alias("x")
     y = larger.select(columns).withColumnRenamed("root", "root_y").alias("y")
-    met = groups.join(x, [*on, "root_x"]).join(y, [*on, "root_y"]).where(f"(x.m div 8 < y.m div 8 OR (x.m div 8 = y.m div 8 AND x.id < y.id)) AND {_inside(percent)}")
+    # Then each post of one side that can link with the other group's best, and only then the posts of that group.
+    able = " AND ".join(f"{percent} * (x.m div 8 + size_y) <= {100 + percent} * {left}" for left in ("(x.m div 8 - x.pos)", "left_y"))
+    met = groups.join(x, [*on, "root_x"]).where(able).join(y, [*on, "root_y"]).where(f"(x.m div 8 < y.m div 8 OR (x.m div 8 = y.m div 8 AND x.id < y.id)) AND {_inside(percent)}")
     return met.select(F.expr("least(x.id, y.id)").alias("a"), F.expr("greatest(x.id, y.id)").alias("b"), F.expr("least(x.m % 8, y.m % 8)").alias("k"))
 
 
