@@ -60,3 +60,8 @@ def predict(df: DataFrame, columns: dict[str, str], recipe: str, weights: dict[s
     df = df.withColumn("prob_vulnerable", p)
     on = F.col("prob_vulnerable") >= threshold
     return df.withColumns({"pred_label": on.cast("int"), "prediction": F.when(on, "FLAGGED").otherwise("NOT_FLAGGED"), "risk_level": risk_level(F.col("prob_vulnerable"), threshold)})
+
+
+def prediction_table(predicted: DataFrame, ids: list[str]) -> DataFrame:
+    """The ids, probability and label of predictions, highest probability first, ties by the ids."""
+    return predicted.select(*ids, "prob_vulnerable", "pred_label").orderBy(F.desc("prob_vulnerable"), *ids)

@@ -111,6 +111,21 @@ def composition(audit: DataFrame) -> DataFrame:
     return out.orderBy(F.desc("feature_count"), F.desc("mean_score"), "group")
 
 
+def only_known(table: DataFrame, known: DataFrame, name: str = "feature") -> DataFrame:
+    """Rows of a feature table whose feature another table, or the columns of a data set, has."""
+    return table.join(known.select(name).distinct(), name, "left_semi")
+
+
+def lacking(wanted: DataFrame, have: DataFrame, name: str = "feature") -> DataFrame:
+    """The wanted features that another table does not have, each once."""
+    return wanted.select(name).distinct().join(have.select(name), name, "left_anti")
+
+
+def columns_of(df: DataFrame, name: str = "feature") -> DataFrame:
+    """The columns of a data set as a feature table."""
+    return df.sparkSession.createDataFrame([(c,) for c in df.columns], f"{name} string")
+
+
 def select_score(audit: DataFrame) -> DataFrame:
     """Audited features (audit_score, group, proxy_flags) with their final score: a bonus for the group, less a penalty for
     each mark of a stand-in."""

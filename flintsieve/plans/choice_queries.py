@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flintsieve.operators import ensemble, models, neighbours, split
+from flintsieve.operators import ensemble, infer, models, neighbours, select, split
 from flintsieve.plans import adapters
 from flintsieve.plans import score_queries as S
 from flintsieve.plans.adapters import table
@@ -44,11 +44,27 @@ def staged_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.select("partition", "n_leaking", (F.abs(F.col("n_rows") / F.col("n") - wanted) < 0.05).alias("near_its_share"), (F.abs(F.col("n_vulnerable") / F.col("n_rows") - F.col("share")) < 0.05).alias("near_its_labels"))
 
 
-QUERIES = {f.__name__: f for f in (gate_best, stack_best, neighbour_information, staged_split)}
+def feature_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as an audited table and brands of large parts as the features of a data set: which rows stay, and what lacks."""
+    audit = table(spark, sf_dir, "part").select(F.concat_ws("_", "p_brand", "p_size").alias("feature"), "p_partkey")
+    known = table(spark, sf_dir, "part").where("p_size > 25").select(F.concat(F.col("p_brand"), F.lit("_"), F.col("p_size") - 20).alias("feature"))
+    kept = select.only_known(audit, known).select("feature", F.lit("kept").alias("what"), F.col("p_partkey").cast("long").alias("p_partkey"))
+    return kept.unionByName(select.lacking(known, audit).select("feature", F.lit("lacking").alias("what"), F.lit(None).cast("long").alias("p_partkey")))
+
+
+def prediction_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    predicted = infer.predict(adapters.scores(spark, sf_dir), {"RandomForest": "p_rf", "DecisionTree": "p_dt"}, "WEIGHT_RF_DT", {"RandomForest": 0.95, "DecisionTree": 0.05})
+    return infer.prediction_table(predicted, KEY).withColumn("prob_vulnerable", F.round("prob_vulnerable", 6))
+
+
+QUERIES = {f.__name__: f for f in (gate_best, stack_best, neighbour_information, staged_split, feature_membership, prediction_table)}
 
 _PSI = "(ln({0} + 16.0) - 1 / (2 * ({0} + 16.0)) - 1 / (12 * ({0} + 16.0) ** 2) + 1 / (120 * ({0} + 16.0) ** 4) - 1 / (252 * ({0} + 16.0) ** 6) - list_sum([1.0 / ({0} + i) for i in range(16)]))"
 _COLUMNS = ", ".join(f"CAST({f} AS DOUBLE) AS {f}" for f in FEATURES)
 SQL = {
+    "feature_membership": """WITH a AS (SELECT p_brand || '_' || p_size AS feature, p_partkey FROM part), k AS (SELECT p_brand || '_' || (p_size - 20) AS feature FROM part WHERE p_size > 25)
+SELECT feature, 'kept' AS what, p_partkey::BIGINT AS p_partkey FROM a WHERE feature IN (SELECT feature FROM k) UNION ALL SELECT DISTINCT feature, 'lacking', NULL::BIGINT FROM k WHERE feature NOT IN (SELECT feature FROM a)""",
+    "prediction_table": f"WITH {S.SCORED} SELECT l_orderkey, l_linenumber, round(0.95 * p_rf + 0.05 * p_dt, 6) AS prob_vulnerable, CASE WHEN 0.95 * p_rf + 0.05 * p_dt >= 0.5 THEN 1 ELSE 0 END AS pred_label FROM scores",
     "staged_split": """SELECT unnest(['train', 'meta', 'select', 'test']) AS "partition", 0::BIGINT AS n_leaking, true AS near_its_share, true AS near_its_labels""",
     "gate_best": f"""WITH {S.SCORED}, {S.THRESHOLDS}, bounds(least, most) AS (VALUES {", ".join(f"(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))" for a, b in BOUNDS)}),
 weighed AS (SELECT y, p_rf, p_xgb, least, most, round(least + (most - least) * p_lr, 12) AS w FROM scores CROSS JOIN bounds),

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 import os
+import re
 
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flintsieve.functions.names import safe_name
@@ -112,7 +113,12 @@ def read_binaries(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def load_models(folder: str, names: list[str]) -> tuple[dict[str, PipelineModel], dict[str, str]]:
-    """Models that load, and the errors of those that do not; none at all is an error."""
+    """Models that load, and the errors of those that do not; none at all is an error, and so is a file that is not as it was
+    saved, where the folder has digests."""
+    try:
+        check_manifest(SparkSession.active(), folder)
+    except AnalysisException:
+        pass  # saved without digests
     models, errors = {}, {}
     for n in names:
         try:
@@ -125,11 +131,58 @@ def load_models(folder: str, names: list[str]) -> tuple[dict[str, PipelineModel]
 
 
 def save_models(models: dict[str, PipelineModel], folder: str, features: list[str]) -> None:
-    """Each model in a folder of its name, and the features in their order beside them."""
+    """Each model in a folder of its name, the features in their order beside them, and digests of all files."""
     for name, model in models.items():
         model.write().overwrite().save(os.path.join(folder, name))
     spark = SparkSession.active()
     spark.createDataFrame([(json.dumps({"feature_columns": features}),)], "value string").coalesce(1).write.mode("overwrite").text(os.path.join(folder, "feature_columns.json"))
+    write_manifest(spark, folder)
+
+
+def _listing(spark: SparkSession, folder: str) -> DataFrame:
+    """Files below a folder in any store that Spark reads; contents are read only where a query uses them."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+
+
+def discover(spark: SparkSession, folder: str, patterns: list[str], parts: list[str], beside: str | None = None) -> DataFrame:
+    """(path, place) of the files below a folder whose path, or of the folders of a file named `beside` whose path, matches one
+    of the patterns (regular expressions on what follows the folder). The first place is the one to take: paths with the
+    earliest of the parts in them come first, then shorter ones. No file's content is read. None is an empty table."""
+    files = _listing(spark, folder).select("path", "length")
+    if beside is not None:
+        files = files.where(F.element_at(F.split("path", "/"), -1) == beside).select(F.regexp_replace("path", "/[^/]*$", "").alias("path"))
+    root = folder.rstrip("/").split(":", 1)[-1].lstrip("/")
+    own = F.element_at(F.split("path", f"/{re.escape(root)}/", 2), -1)
+    first = F.coalesce(*[F.when(F.contains("path", F.lit(t)), F.lit(k)) for k, t in enumerate(parts)], F.lit(len(parts)))
+    found = files.where(F.exists(F.array(*map(F.lit, patterns)), lambda p: F.regexp_like(own, p))).select("path", first.alias("first"), F.length("path").alias("size")).distinct()
+    # Files that match are few; their order is a list to choose from.
+    order = Window.orderBy("first", "size", "path")
+    return found.withColumn("place", F.row_number().over(order)).select("path", "place").orderBy("place")
+
+
+MANIFEST = "MANIFEST.sha256"
+
+
+def folder_digests(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, length, sha256) of all files below a folder, names from the folder on; files of over 2 GB cannot be read."""
+    root = folder.rstrip("/").split(":", 1)[-1].lstrip("/")
+    own = F.element_at(F.split("path", f"/{re.escape(root)}/", 2), -1)
+    kept = _listing(spark, folder).withColumn("file", own).where(~F.contains("file", F.lit(MANIFEST)))
+    return kept.select("file", "length", F.sha2("content", 256).alias("sha256"))
+
+
+def write_manifest(spark: SparkSession, folder: str) -> None:
+    """Writes the digests of a saved folder beside its files."""
+    folder_digests(spark, folder).coalesce(1).write.mode("overwrite").json(f"{folder}/{MANIFEST}")
+
+
+def check_manifest(spark: SparkSession, folder: str) -> None:
+    """Raises ValueError if any file below the folder is changed, lost or new since write_manifest."""
+    saved = spark.read.schema("file string, length long, sha256 string").json(f"{folder}/{MANIFEST}")
+    both = saved.join(folder_digests(spark, folder).toDF("file", "now", "digest"), "file", "full")
+    odd = [r["file"] for r in both.where("NOT (sha256 <=> digest AND length <=> now)").select("file").orderBy("file").limit(5).collect()]
+    if odd:
+        raise ValueError(f"not as they were saved: {', '.join(odd)}")
 
 
 def model_features(model: object) -> list[str] | None:
