@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ def lines(text: Column) -> Column:
     return F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, r"\R"))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value made once however often it is used, also within functions of elements."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def in_list(api: Column, names: list[str]) -> Column:
     return F.coalesce(api.isin(*names), F.lit(False))
 
@@ -58,7 +65,8 @@ def buffers(text: Column) -> Column:
         ),
     )
     kept = F.filter(made, lambda x: x["element_count"] > 0)
-    return F.filter(kept, lambda x, i: F.array_position(F.transform(kept, lambda y: y["name"]), x["name"]) == i + 1)
+    named = once(kept, lambda k: F.struct(k.alias("kept"), F.transform(k, lambda y: y["name"]).alias("names")))
+    return once(named, lambda s: F.filter(s["kept"], lambda x, i: F.array_position(s["names"], x["name"]) == i + 1))
 
 
 def buffer_of(found: Column, name: Column) -> Column:

@@ -24,14 +24,20 @@ def _has(text: Column, words: list[str]) -> Column:
 def aliases(ls: Column, found: Column) -> Column:
     """array<struct<alias, target, line_index, target_size>>: names that a line sets to a buffer, each pair once. A
     pointer declaration with a value has the same form after its type, so one pattern finds both."""
-    pairs = F.flatten(F.transform(ls, lambda x, i: F.transform(
-        F.arrays_zip(F.regexp_extract_all(x, F.lit(ALIAS), F.lit(1)).alias("a"), F.regexp_extract_all(x, F.lit(ALIAS), F.lit(2)).alias("b")),
-        lambda p: F.struct(p["a"].alias("alias"), p["b"].alias("b"), i.alias("line_index")))))
-    # Names of buffers are compared without case, as the texts are; the buffer's own spelling is the target.
-    named = F.transform(pairs, lambda p: F.struct(p["alias"].alias("alias"), F.get(F.filter(found, lambda b: F.lower(b["name"]) == F.lower(p["b"])), 0).alias("t"), p["line_index"].alias("line_index")))
-    kept = F.transform(F.filter(named, lambda p: p["t"].isNotNull() & (p["alias"] != p["t"]["name"])), lambda p: F.struct(p["alias"].alias("alias"), p["t"]["name"].alias("target"), p["line_index"].alias("line_index"), p["t"]["byte_size"].alias("target_size")))
-    keys = F.transform(kept, lambda p: F.concat_ws("->", p["alias"], p["target"]))
-    return F.filter(kept, lambda p, i: F.array_position(keys, F.concat_ws("->", p["alias"], p["target"])) == i + 1)
+    def paired(s: Column) -> Column:
+        pairs = F.flatten(F.transform(s["ls"], lambda x, i: F.transform(
+            F.arrays_zip(F.regexp_extract_all(x, F.lit(ALIAS), F.lit(1)).alias("a"), F.regexp_extract_all(x, F.lit(ALIAS), F.lit(2)).alias("b")),
+            lambda p: F.struct(p["a"].alias("alias"), p["b"].alias("b"), i.alias("line_index")))))
+        # Names of buffers are compared without case, as the texts are; the buffer's own spelling is the target.
+        named = F.transform(pairs, lambda p: F.struct(p["alias"].alias("alias"), F.get(F.filter(s["found"], lambda b: F.lower(b["name"]) == F.lower(p["b"])), 0).alias("t"), p["line_index"].alias("line_index")))
+        return F.transform(F.filter(named, lambda p: p["t"].isNotNull() & (p["alias"] != p["t"]["name"])), lambda p: F.struct(p["alias"].alias("alias"), p["t"]["name"].alias("target"), p["line_index"].alias("line_index"), p["t"]["byte_size"].alias("target_size")))
+
+    def first(s: Column) -> Column:
+        return F.filter(s["kept"], lambda p, i: F.array_position(s["keys"], F.concat_ws("->", p["alias"], p["target"])) == i + 1)
+
+    kept = T.once(F.struct(ls.alias("ls"), found.alias("found")), paired)
+    keyed = T.once(kept, lambda k: F.struct(k.alias("kept"), F.transform(k, lambda p: F.concat_ws("->", p["alias"], p["target"])).alias("keys")))
+    return T.once(keyed, first)
 
 
 def alias_summary(found: Column) -> Column:
@@ -47,20 +53,29 @@ def resolved(name: Column, found: Column) -> Column:
 
 
 def loops(ls: Column, found: Column) -> Column:
-    """struct of loop counts and of the score of loops that copy to the stack; the window is the loop's line and ten more."""
-    def one(line: Column, i: Column) -> Column:
-        w = F.lower(F.array_join(F.slice(ls, i + 1, 11), "\n"))
-        writes = F.exists(found, lambda b: F.regexp_like(w, F.concat(F.lit(r"(?i)\b\Q"), b["name"], F.lit(r"\E\s*\[[^\]]+\]\s*="))))
-        return F.struct(F.lower(line).rlike(C.LOOP).alias("on"), writes.alias("writes"), w.rlike(SOURCES).alias("reads"), line.rlike(r"\d").alias("const"), _has(w, LOOP_GUARDS).alias("guard"))
-
-    found_loops = F.filter(F.transform(ls, one), lambda x: x["on"])
-    count = lambda test: F.size(F.filter(found_loops, test)).cast("long")
-    copies = count(lambda x: x["writes"] & (x["reads"] | ~x["guard"] | ~x["const"]))
-    writes, reads = count(lambda x: x["writes"]), count(lambda x: x["reads"])
-    return F.struct(
-        F.size(found_loops).cast("long").alias("loop_count"), writes.alias("loop_writes_stack"), reads.alias("loop_reads_external"), count(lambda x: x["const"]).alias("loop_bound_const"),
-        count(lambda x: ~x["const"]).alias("loop_bound_unknown"), count(lambda x: x["guard"]).alias("loop_has_index_guard"), copies.alias("loop_copy_risk"), (copies * 3.0 + writes + reads).alias("loop_copy_risk_score"),
-    )
+    """struct of loop counts and of the score of loops that copy to the stack; the window is the loop's line and ten more. Lines
+    without a loop are dropped first, and each step works on what the last one named, so none is done twice."""
+    def seen(s: Column, loop: Column) -> Column:
+        def looked(w: Column) -> Column:
+            writes = F.exists(s["found"], lambda b: F.regexp_like(w, F.concat(F.lit(r"(?i)\b\Q"), b["name"], F.lit(r"\E\s*\[[^\]]+\]\s*="))))
+            return F.struct(writes.alias("writes"), w.rlike(SOURCES).alias("reads"), loop["line"].rlike(r"\d").alias("const"), _has(w, LOOP_GUARDS).alias("guard"))
+
+        return T.once(F.lower(F.array_join(F.slice(s["ls"], loop["at"] + 1, 11), "\n")), looked)
+
+    def met(s: Column) -> Column:
+        lines = F.transform(s["ls"], lambda x, i: F.struct(x.alias("line"), i.alias("at")))
+        return F.transform(F.filter(lines, lambda x: F.lower(x["line"]).rlike(C.LOOP)), lambda x: seen(s, x))
+
+    def counted(met: Column) -> Column:
+        count = lambda test: F.size(F.filter(met, test)).cast("long")
+        return F.struct(
+            F.size(met).cast("long").alias("loop_count"), count(lambda x: x["writes"]).alias("loop_writes_stack"), count(lambda x: x["reads"]).alias("loop_reads_external"), count(lambda x: x["const"]).alias("loop_bound_const"),
+            count(lambda x: ~x["const"]).alias("loop_bound_unknown"), count(lambda x: x["guard"]).alias("loop_has_index_guard"), count(lambda x: x["writes"] & (x["reads"] | ~x["guard"] | ~x["const"])).alias("loop_copy_risk"),
+        )
+
+    names = ["loop_count", "loop_writes_stack", "loop_reads_external", "loop_bound_const", "loop_bound_unknown", "loop_has_index_guard", "loop_copy_risk"]
+    scored = lambda n: F.struct(*[n[k].alias(k) for k in names], (n["loop_copy_risk"] * 3.0 + n["loop_writes_stack"] + n["loop_reads_external"]).alias("loop_copy_risk_score"))
+    return T.once(T.once(T.once(F.struct(ls.alias("ls"), found.alias("found")), met), counted), scored)
 
 
 def source_distance(ls: Column, at: Column) -> Column:

@@ -4,7 +4,8 @@ import pytest
 from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import functions as F
 
-from flintsieve.operators import ensemble, features, models, program, select, split
+from flintsieve.functions import text as T
+from flintsieve.operators import context, ensemble, features, models, program, select, split
 from flintsieve.sources import readers
 
 
@@ -82,3 +83,12 @@ def test_reports_and_json_are_written(spark, tmp_path):
     assert [r[0] for r in spark.read.text(f"{tmp_path}/r").collect()] == ["== first", "name, v", "x, 1.500000", ", 2.000000", "== second", "name"]
     readers.write_json(a, f"{tmp_path}/j")
     assert sorted(r[0] for r in spark.read.text(f"{tmp_path}/j").collect()) == ['{"name":"x","v":1.5}', '{"name":null,"v":2.0}']
+
+
+def test_loops_are_looked_at_once(spark):
+    """Neither lines, buffers nor windows are made again for each count or line."""
+    df = spark.createDataFrame([(1, "char a [4];\nfor (i = 0; i < 3; i++) {\n  a[i] = getenv(x);\n}\nwhile (1) ;")], "fn long, text string")
+    df = df.select(context.loops(T.lines(F.col("text")), T.buffers(F.col("text"))).alias("x")).select("x.*")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(for|while)") == 1 and plan.count("11), ") == 1
+    assert tuple(df.first()) == (2, 1, 1, 2, 0, 1, 1, 5.0)
