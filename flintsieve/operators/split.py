@@ -19,7 +19,7 @@ def group_split(df: DataFrame, group: str, label: str, seed: int = 42, parts: di
     sees at most 3 * WEIGHTY rows, however many groups there are. Fewer groups than partitions, and rows without a
     group, are errors; there is no split by row.
     """
-    rows, total, lot = _units(df, group, label, seed, len(parts))
+    rows, total, lot = _units(_counted(df, group, label), group, seed, len(parts))
     names, shares = list(parts), list(parts.values())
     want = [[t * s / sum(shares) for t in total] for s in shares]
     have, chosen = [[0, 0] for _ in shares], []
@@ -32,11 +32,15 @@ def group_split(df: DataFrame, group: str, label: str, seed: int = 42, parts: di
     return _assigned(df, group, chosen, lot, "partition")
 
 
-def _units(df: DataFrame, group: str, label: str, seed: int, least: int) -> tuple[list, list[int], Column]:
+def _counted(df: DataFrame, group: str, label: str) -> DataFrame:
+    """Rows of both labels by group."""
+    return df.groupBy(group).agg(F.count_if(F.col(label) == 0).alias("n0"), F.count_if(F.col(label) == 1).alias("n1"))
+
+
+def _units(each: DataFrame, group: str, seed: int, least: int) -> tuple[list, list[int], Column]:
     """What is placed as one: groups that weigh, and lots of those that do not, with their labels; both totals; the lot of a row."""
     mixed = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(group).cast("string")))
     lot = F.pmod(F.conv(F.left(mixed, F.lit(8)), 16, 10).cast("long"), F.lit(WEIGHTY))
-    each = df.groupBy(group).agg(F.count_if(F.col(label) == 0).alias("n0"), F.count_if(F.col(label) == 1).alias("n1"))
     every = each.agg(F.count("*").alias("n"), F.count_if(F.col(group).isNull()).alias("none"), F.coalesce(F.sum("n0"), F.lit(0)).alias("n0"), F.coalesce(F.sum("n1"), F.lit(0)).alias("n1")).first()
     if every["n"] < least:
         raise ValueError(f"{every['n']} groups cannot fill {least} partitions")
@@ -66,7 +70,13 @@ def group_folds(df: DataFrame, group: str, label: str, folds: int, seed: int = 4
     Groups whose labels differ most in number come first, in an order shuffled by the seed; of folds that do equally well the
     one with fewer rows is taken. Fewer groups than folds, and rows without a group, are errors. Small groups are placed by
     lots, as in group_split."""
-    rows, total, lot = _units(df, group, label, seed, folds)
+    chosen, lot = _folded(_counted(df, group, label), group, folds, seed)
+    return _assigned(df, group, chosen, lot, "fold")
+
+
+def _folded(each: DataFrame, group: str, folds: int, seed: int) -> tuple[list[tuple], Column]:
+    """The fold of each unit of counted groups, and the lot of a row."""
+    rows, total, lot = _units(each, group, seed, folds)
     have, chosen = [[0, 0] for _ in range(folds)], []
     spread = lambda xs: (sum((x - sum(xs) / len(xs)) ** 2 for x in xs) / len(xs)) ** 0.5
     for r in sorted(rows, key=lambda r: (-abs(r["n0"] - r["n1"]), r["h"])):
@@ -79,21 +89,22 @@ def group_folds(df: DataFrame, group: str, label: str, folds: int, seed: int = 4
         k = min(range(folds), key=cost)
         have[k] = [have[k][0] + own[0], have[k][1] + own[1]]
         chosen.append((r, k))
-    return _assigned(df, group, chosen, lot, "fold")
+    return chosen, lot
 
 
 def staged_split(df: DataFrame, group: str, label: str, seed: int = 42) -> DataFrame:
     """df with `partition` in three stages of whole groups: one fold of five is test, one of four of the rest is for choosing,
     and of that one of two is select and the other meta; what is left is train. Seeds of the stages: seed, + 1, + 77."""
-    first = group_folds(df, group, label, 5, seed)
-    test, rest = first.where("fold = 0").drop("fold"), first.where("fold <> 0").drop("fold")
-    second = group_folds(rest, group, label, 4, seed + 1)
-    third = group_folds(second.where("fold = 0").drop("fold"), group, label, 2, seed + 77)
-    parts = [
-        second.where("fold <> 0").drop("fold").withColumn("partition", F.lit("train")), third.withColumn("partition", F.when(F.col("fold") == 0, "select").otherwise("meta")).drop("fold"),
-        test.withColumn("partition", F.lit("test")),
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    # Rows are counted by group once, and read once more for their places; stages choose among the counted groups.
+    each, done, names = _counted(df, group, label).persist(), df, ["_first", "_second", "_third"]
+    left = each
+    for name, folds, of_stage, kept in zip(names, (5, 4, 2), (seed, seed + 1, seed + 77), ("_first <> 0", "_second = 0", None)):
+        chosen, lot = _folded(left, group, folds, of_stage)
+        done = _assigned(done, group, chosen, lot, name)
+        left = _assigned(left, group, chosen, lot, name).where(kept).drop(name) if kept else left
+    each.unpersist()
+    place = F.when(F.col("_first") == 0, "test").when(F.col("_second") != 0, "train").when(F.col("_third") == 0, "select").otherwise("meta")
+    return done.withColumn("partition", place).drop(*names)
 
 
 def holdout(df: DataFrame, group: str | None, label: str, seed: int = 42) -> DataFrame:

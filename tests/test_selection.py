@@ -82,3 +82,11 @@ def test_folds_are_whole_groups_of_like_labels(spark):
         split.group_folds(df.where("g < 3"), "g", "label", 5)
     with pytest.raises(ValueError, match="no group"):
         split.group_folds(df.withColumn("g", F.when(F.col("id") > 5, F.col("g"))), "g", "label", 5)
+
+
+def test_staged_split_reads_its_rows_once_more(spark):
+    """Stages choose among counted groups: the rows are not read again for each stage's branch."""
+    df = spark.range(4000).select("id", (F.col("id") % 97).alias("g"), (F.col("id") % 3 == 0).cast("int").alias("label"))
+    out = split.staged_split(df, "g", "label")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+    assert out.count() == 4000 and out.select("g", "partition").distinct().count() == 97
