@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,9 +76,14 @@ def splits(rows, tree: np.ndarray, node: np.ndarray, own: np.ndarray, edges: np.
             break
         f = order[look, j]
         of, x, w = rows(look, f)
-        code = of * bins + x
-        by = np.argsort(code, kind="stable")
-        code, of, x, sums = code[by], of[by], x[by].astype(np.int64), np.cumsum(w[by], axis=0)
+        code, span = of * bins + x, len(look) * bins
+        if span <= 4 * len(code):
+            h = np.stack([np.bincount(code, w[:, y], span) for y in (0, 1)], axis=1).astype(np.int64)
+            code = np.flatnonzero(h.any(axis=1))
+            of, x, sums = code // bins, code % bins, np.cumsum(h[code], axis=0)
+        else:
+            by = np.argsort(code)
+            code, of, x, sums = code[by], of[by], x[by].astype(np.int64), np.cumsum(w[by], axis=0)
         # A cut lies behind the last row of a bin, if the node has more.
         at = np.flatnonzero((code[1:] != code[:-1]) & (of[1:] == of[:-1]))
         first = np.searchsorted(of, np.arange(len(look)))
@@ -166,22 +172,46 @@ class Tree:
 
     def put(self, at: int, nodes: tuple[np.ndarray, ...]) -> int:
         """Puts nodes (as grow() gives them) in the place of one leaf; the place of their second."""
-        f, c, left, w, g = nodes
-        base = len(self.feature) - 1
-        left = np.where(left >= 0, left + base, -1)
-        self.feature[at], self.cut[at], self.left[at], self.weights[at], self.gain[at] = f[0], c[0], left[0], w[0], g[0]
-        self.feature, self.cut, self.left = np.append(self.feature, f[1:]), np.append(self.cut, c[1:]), np.append(self.left, left[1:])
-        self.weights, self.gain = np.concatenate([self.weights, w[1:]]), np.append(self.gain, g[1:])
-        return base + 1
+        second = len(self.feature)
+        self.put_all([(at, nodes)])
+        return second
+
+    def put_all(self, parts: list[tuple[int, tuple[np.ndarray, ...]]]) -> None:
+        """Puts nodes in the places of several leaves, with one copy of the tree."""
+        base, more = len(self.feature) - 1, []
+        for at, (f, c, left, w, g) in parts:
+            left = np.where(left >= 0, left + base, -1)
+            self.feature[at], self.cut[at], self.left[at], self.weights[at], self.gain[at] = f[0], c[0], left[0], w[0], g[0]
+            more.append((f[1:], c[1:], left[1:], w[1:], g[1:]))
+            base += len(f) - 1
+        names = ("feature", "cut", "left", "weights", "gain")
+        for name, values in zip(names, zip(*more)):
+            setattr(self, name, np.concatenate([getattr(self, name), *values]))
 
     def leaf(self, x: np.ndarray) -> np.ndarray:
         """The leaf of each row of bins."""
-        at, live = np.zeros(len(x), np.int64), np.arange(len(x))
-        while len(live):
-            live = live[self.feature[at[live]] >= 0]
-            f = self.feature[at[live]]
-            at[live] = self.left[at[live]] + (x[live, f] > self.cut[at[live]])
-        return at
+        return leaf_of(self.feature, self.cut, self.left, x)
+
+    def shares(self) -> tuple[np.ndarray, ...]:
+        """(feature, cut, left, label 1's share of the weight) of all nodes, in as few bytes as scoring needs."""
+        share = self.weights[:, 1] / np.maximum(self.weights.sum(axis=1), 1e-300)
+        return self.feature.astype(np.int32), self.cut.astype(np.uint16), self.left.astype(np.int32), share
+
+
+def leaf_of(feature: np.ndarray, cut: np.ndarray, left: np.ndarray, x: np.ndarray) -> np.ndarray:
+    at, live = np.zeros(len(x), np.int64), np.arange(len(x))
+    while len(live):
+        live = live[feature[at[live]] >= 0]
+        now = at[live]
+        at[live] = left[now] + (x[live, feature[now]] > cut[now])
+    return at
+
+
+def mean_share(trees: list[tuple[np.ndarray, ...]], x: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(x))
+    for feature, cut, left, share in trees:
+        out += share[leaf_of(feature, cut, left, x)]
+    return out / max(1, len(trees))
 
 
 @dataclass
@@ -200,25 +230,21 @@ class Forest:
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         """Mean over trees of label 1's share of the leaf's weight, by bins."""
-        out = np.zeros(len(x))
-        for t in self.trees:
-            share = t.weights[:, 1] / np.maximum(t.weights.sum(axis=1), 1e-300)
-            out += share[t.leaf(x)]
-        return out / max(1, len(self.trees))
+        return mean_share([t.shares() for t in self.trees], x)
 
     def score(self, df: DataFrame, out: str = "p") -> DataFrame:
         """df with the probability of label 1. The forest is broadcast once: its size is that of its nodes, which the depth and
         the number of trees bound."""
         names = fresh_names(df, self.features)
-        sent = df.sparkSession.sparkContext.broadcast(self)
+        sent = df.sparkSession.sparkContext.broadcast((self.edges, [t.shares() for t in self.trees]))
         prepared = df.withColumns({n: finite(F.col(f"`{f}`")) for f, n in zip(self.features, names)})
         kept = df.columns
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            forest = sent.value
+            edges, shares = sent.value
             for b in batches:
-                x = binned(np.stack([b.column(n).to_numpy() for n in names], axis=1), forest.edges)
-                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array(forest.probabilities(x))], names=[*kept, out])
+                x = binned(np.stack([b.column(n).to_numpy() for n in names], axis=1), edges)
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array(mean_share(shares, x))], names=[*kept, out])
 
         return prepared.mapInArrow(run, df.withColumn(out, F.lit(0.0)).schema)
 
@@ -268,6 +294,19 @@ def _opened(batch: pa.RecordBatch, k: int) -> Iterator[tuple[np.ndarray, np.ndar
         yield np.frombuffer(i.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.uint8), np.frombuffer(x.as_buffer(), np.uint16).reshape(-1, k)
 
 
+def _places(tree: Tree, places: dict[int, int]) -> np.ndarray:
+    """The place of each node of a tree, -1 for those that have none."""
+    of = np.full(len(tree.feature), -1)
+    of[list(places)] = list(places.values())
+    return of
+
+
+def _cut(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The bytes of rows as one element for each end."""
+    data = np.ascontiguousarray(values)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer((np.append(0, ends) * (data.nbytes // len(data))).astype(np.int32)), pa.py_buffer(data)])
+
+
 def fit_forest(df: DataFrame, features: list[str], label: str = "label", trees: int = 300, per_split: int | None = None, random: bool = False, bootstrap: bool = True, depth: int | None = None, bins: int = 64, seed: int = 42, key: list[str] | None = None, local: int = LOCAL) -> Forest:
     """A forest on rows with label 0 or 1; both classes weigh the same in each tree, counted in its own bootstrap.
 
@@ -308,8 +347,12 @@ def fit_forest(df: DataFrame, features: list[str], label: str = "label", trees:
                 below = (t, first + side, int(_child(np.array([node]), side)[0]), level + 1)
                 if min(w) > 0 and (depth is None or level + 1 < depth):
                     (large if n > local else small).append(below)
+    below_of: list[list] = [[] for _ in range(trees)]
     for t, at, nodes in _grown_pass(spark, chunks, small, grown, weight, drawn, edges, rule):
-        grown[t].put(at, nodes)
+        below_of[t].append((at, nodes))
+    for t, parts in enumerate(below_of):
+        if parts:
+            grown[t].put_all(parts)
     chunks.unpersist()
     return Forest(features, edges, grown)
 
@@ -317,23 +360,33 @@ def fit_forest(df: DataFrame, features: list[str], label: str = "label", trees:
 def _split_pass(spark, chunks: DataFrame, take: list[tuple], grown: list[Tree], weight: np.ndarray, drawn, edges: np.ndarray, bins: int, rule: Rule) -> list[tuple]:
     """One pass over the rows for some nodes: each one's split, and what both sides have."""
     k = len(edges)
+    take = sorted(take)
     sent = spark.sparkContext.broadcast({t: grown[t] for t, *_ in take})
+    nodes: dict[int, dict[int, int]] = {}
+    for place, (t, at, *_) in enumerate(take):
+        nodes.setdefault(t, {})[at] = place
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = sent.value
-        sums = np.zeros((len(take), k, bins, 3), np.int64)
+        of = {t: _places(trees[t], p) for t, p in nodes.items()}
+        # How often rows count for a label by node, feature and bin, and from the 33rd bit how many these are.
+        sums = np.zeros(len(take) * k * bins * 2, np.int64)
         for b in batches:
             for ids, y, x in _opened(b, k):
-                leaf = {}
-                for place, (t, at, _, _) in enumerate(take):
-                    if t not in leaf:
-                        leaf = {t: (trees[t].leaf(x), drawn(t, ids))}
-                    here = np.flatnonzero((leaf[t][0] == at) & (leaf[t][1] > 0))
-                    times, labels = leaf[t][1][here], y[here]
-                    for f in range(k):
-                        for c, w in enumerate((times * (labels == 0), times * (labels == 1), None)):
-                            sums[place, f, :, c] += np.bincount(x[here, f], w, bins).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(take)), pa.int32()), pa.array([s.tobytes() for s in sums], pa.binary())], names=["place", "sums"])
+                for t, places in nodes.items():
+                    times, at = drawn(t, ids), of[t][trees[t].leaf(x)]
+                    here = np.flatnonzero((at >= 0) & (times > 0))
+                    # A tree's nodes stand beside each other, from the first one's place.
+                    first = min(places.values())
+                    code = ((((at[here] - first)[:, None] * k + np.arange(k)) * bins + x[here]) * 2 + y[here, None]).ravel()
+                    value, own = np.repeat(times[here] + (1 << 32), k), sums[first * k * bins * 2 : (first + len(places)) * k * bins * 2]
+                    if len(own) <= 4 * len(code):
+                        own += np.bincount(code, value, len(own)).astype(np.int64)
+                    else:
+                        np.add.at(own, code, value)
+        sums = sums.reshape(len(take), k, bins, 2)
+        parts = (np.concatenate([s & 0xFFFFFFFF, (s >> 32).sum(axis=-1, keepdims=True)], axis=-1).tobytes() for s in sums)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(take)), pa.int32()), pa.array(parts, pa.binary())], names=["place", "sums"])
 
     def choose(key: tuple[pa.Scalar, ...], parts: pa.Table) -> pa.Table:
         place = key[0].as_py()
@@ -356,27 +409,23 @@ def _grown_pass(spark, chunks: DataFrame, small: list[tuple], grown: list[Tree],
         return
     k = len(edges)
     sent = spark.sparkContext.broadcast((grown, weight))
-    nodes = [dict() for _ in grown]
+    nodes: dict[int, dict[int, int]] = {}
     for place, (t, at, *_) in enumerate(small):
-        nodes[t][at] = place
+        nodes.setdefault(t, {})[at] = place
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees, _ = sent.value
+        of = {t: _places(trees[t], p) for t, p in nodes.items()}
         for b in batches:
             for ids, y, x in _opened(b, k):
-                for t, places in enumerate(nodes):
-                    if not places:
-                        continue
+                for t in nodes:
                     times = drawn(t, ids)
-                    of = np.full(len(trees[t].feature), -1)
-                    of[list(places)] = list(places.values())
-                    at = np.where(times > 0, of[trees[t].leaf(x)], -1)
-                    rows = []
-                    for p in np.unique(at[at >= 0]).tolist():
-                        r = np.flatnonzero(at == p)
-                        rows.append((p, times[r].astype(np.uint8).tobytes(), y[r].tobytes(), x[r].tobytes()))
-                    if rows:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 3))], names=["place", "times", "y", "x"])
+                    at = np.where(times > 0, of[t][trees[t].leaf(x)], -1)
+                    r = np.argsort(at, kind="stable")[np.count_nonzero(at < 0) :]
+                    if len(r):
+                        at = at[r]
+                        ends = np.append(np.flatnonzero(at[1:] != at[:-1]) + 1, len(at))
+                        yield pa.RecordBatch.from_arrays([pa.array(at[ends - 1], pa.int32()), *[_cut(v[r], ends) for v in (times.astype(np.uint8), y, x)]], names=["place", "times", "y", "x"])
 
     def below(key: tuple[pa.Scalar, ...], parts: pa.Table) -> pa.Table:
         place = key[0].as_py()
@@ -389,7 +438,11 @@ def _grown_pass(spark, chunks: DataFrame, small: list[tuple], grown: list[Tree],
         return pa.table({"place": pa.array([place], pa.int32()), **{n: pa.array([v.tobytes()], pa.binary()) for n, v in zip("fclwg", out)}})
 
     found = chunks.mapInArrow(deal, "place int, times binary, y binary, x binary").groupBy("place").applyInArrow(below, "place int, f binary, c binary, l binary, w binary, g binary")
+    # All tasks grow at once; the driver then fetches what they grew, part by part.
+    found = found.persist(StorageLevel.DISK_ONLY)
+    found.count()
     for r in found.toLocalIterator():
         t, at, *_ = small[r["place"]]
         i = lambda c: np.frombuffer(r[c], np.int32).astype(np.int64)  # noqa: E731, B023
         yield t, at, (i("f"), i("c"), i("l"), np.frombuffer(r["w"]).reshape(-1, 2), np.frombuffer(r["g"]))
+    found.unpersist()

@@ -72,6 +72,32 @@ def test_trees_do_not_depend_on_who_grows_them(spark, random):
     assert len({len(t.feature) for t in grown[0].trees}) > 1
 
 
+def test_small_nodes_are_grown_by_all_tasks_at_once(spark, monkeypatch):
+    df, _, _ = table(spark)
+    fetch, held = type(df).toLocalIterator, []
+
+    def fetched(self, *more):
+        # Rows that are not kept would be made while they are fetched, one partition after the other.
+        held.append(self.storageLevel.useDisk)
+        return fetch(self, *more)
+
+    monkeypatch.setattr(type(df), "toLocalIterator", fetched)
+    forest = trees.fit_forest(df, NAMES, trees=3, key=["id"], local=200)
+    assert held == [True] and all(len(t.feature) > 3 for t in forest.trees)
+
+
+def test_many_parts_are_put_as_one_by_one():
+    part = (np.array([0, -1, -1]), np.array([3, 0, 0]), np.array([1, -1, -1]), np.arange(6.0).reshape(3, 2), np.ones(3))
+    one, all_ = trees.Tree(), trees.Tree()
+    for t in (one, all_):
+        t.put(0, part)
+    for at in (1, 2):
+        one.put(at, part)
+    all_.put_all([(1, part), (2, part)])
+    for name in ("feature", "cut", "left", "weights", "gain"):
+        assert getattr(one, name).tolist() == getattr(all_, name).tolist()
+
+
 def test_bootstraps_are_drawn_and_balanced(spark):
     n = trees.times_drawn(1, 2, np.arange(100_000))
     assert n.mean() == pytest.approx(1, abs=0.02) and (n == 0).mean() == pytest.approx(np.exp(-1), abs=0.01)
