@@ -52,13 +52,14 @@ def times_drawn(seed: int, tree: int, rows: np.ndarray) -> np.ndarray:
 @dataclass(frozen=True)
 class Rule:
     """How trees are grown. per_split: features that a node looks at; more only until one can be split. random: one random cut
-    for each of them instead of the best one. depth: levels at most, or None."""
+    for each of them instead of the best one. depth: levels at most, or None. least: rows (as drawn) of either side of a cut."""
 
     per_split: int
     random: bool = False
     bootstrap: bool = True
     depth: int | None = None
     seed: int = 42
+    least: int = 1
 
 
 def splits(rows, tree: np.ndarray, node: np.ndarray, own: np.ndarray, edges: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -95,10 +96,14 @@ def splits(rows, tree: np.ndarray, node: np.ndarray, own: np.ndarray, edges: np.
             value = bound(low) + (bound(high) - bound(low)) * _uniform(rule.seed + 1, tree[look], node[look], f)
             cut = np.clip((e < value[:, None]).sum(axis=1), low, np.maximum(low, high - 1))
             at = at[(x[at] <= cut[of[at]]) & (x[at + 1] > cut[of[at]])]
+        start = np.where((first > 0)[:, None], sums[first - 1], 0)
+        whole = sums[last] - start
+        if rule.least > 1:
+            low = (sums[at] - start[of[at]]).sum(axis=1)
+            at = at[(low >= rule.least) & (whole[of[at]].sum(axis=1) - low >= rule.least)]
         if not len(at):
             continue
-        start = np.where((first > 0)[:, None], sums[first - 1], 0)
-        whole, holder = sums[last] - start, of[at]
+        holder = of[at]
         left = sums[at] - start[holder]
         gain = gini(whole * own)[holder] - gini(left * own) - gini((whole[holder] - left) * own)
         groups = np.flatnonzero(np.append(True, holder[1:] != holder[:-1]))
@@ -307,12 +312,12 @@ def _cut(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer((np.append(0, ends) * (data.nbytes // len(data))).astype(np.int32)), pa.py_buffer(data)])
 
 
-def fit_forest(df: DataFrame, features: list[str], label: str = "label", trees: int = 300, per_split: int | None = None, random: bool = False, bootstrap: bool = True, depth: int | None = None, bins: int = 64, seed: int = 42, key: list[str] | None = None, local: int = LOCAL) -> Forest:
+def fit_forest(df: DataFrame, features: list[str], label: str = "label", trees: int = 300, per_split: int | None = None, random: bool = False, bootstrap: bool = True, depth: int | None = None, bins: int = 64, seed: int = 42, key: list[str] | None = None, local: int = LOCAL, least: int = 1) -> Forest:
     """A forest on rows with label 0 or 1; both classes weigh the same in each tree, counted in its own bootstrap.
 
     per_split: features at a node, the square root of all if None. random: extremely random trees. key: columns that name a
-    row, for the draw. local: rows from which a node is split by all tasks together."""
-    rule = Rule(per_split or max(1, math.isqrt(len(features))), random, bootstrap, depth, seed)
+    row, for the draw. local: rows from which a node is split by all tasks together. least: rows of a leaf."""
+    rule = Rule(per_split or max(1, math.isqrt(len(features))), random, bootstrap, depth, seed, least)
     edges = bin_edges(df, features, bins)
     k, spark = len(features), df.sparkSession
     chunks = chunked(df.where(F.col(label).isin(0, 1)), features, label, key, edges).persist()

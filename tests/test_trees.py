@@ -72,6 +72,17 @@ def test_trees_do_not_depend_on_who_grows_them(spark, random):
     assert len({len(t.feature) for t in grown[0].trees}) > 1
 
 
+@pytest.mark.parametrize("local", [10_000, 50])
+def test_leaves_have_their_least_rows(spark, local):
+    df, x, y = table(spark, 400)
+    for least in (2, 9):
+        forest = trees.fit_forest(df, NAMES, trees=1, per_split=4, bootstrap=False, bins=32, local=local, least=least)
+        leaf = forest.trees[0].leaf(trees.binned(x, forest.edges))
+        rows = np.unique(leaf, return_counts=True)[1]
+        # A cut is refused only where it leaves too few rows, so that some leaves are as small as they may be.
+        assert rows.min() == least and len(rows) > 3
+
+
 def test_small_nodes_are_grown_by_all_tasks_at_once(spark, monkeypatch):
     df, _, _ = table(spark)
     fetch, held = type(df).toLocalIterator, []
