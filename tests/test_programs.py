@@ -92,3 +92,12 @@ def test_loops_are_looked_at_once(spark):
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("(for|while)") == 1 and plan.count("11), ") == 1
     assert tuple(df.first()) == (2, 1, 1, 2, 0, 1, 1, 5.0)
+
+
+def test_documents_are_made_by_all_tasks(spark, monkeypatch):
+    from flintsieve.plans import program_queries
+
+    seen = []
+    monkeypatch.setattr(program_queries.features, "program_features", lambda programs, ids: seen.append(programs) or programs)
+    program_queries.program_features(spark, "/root/testdata/sf0.001")
+    assert seen[0].select(F.spark_partition_id()).distinct().count() == 4
