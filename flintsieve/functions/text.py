@@ -46,10 +46,11 @@ def hex_or_decimal(digits: Column) -> Column:
 def stack_offset(name: Column) -> Column:
     """Offset from a frame register, or the negative hexadecimal part of a stack name; null if there is neither."""
     low = F.replace(F.lower(F.coalesce(name, F.lit(""))), F.lit(" "), F.lit(""))
-    signed = F.nullif(F.coalesce(F.nullif(F.regexp_extract(low, r"\b(?:r|e)?bp([+-](?:0x[0-9a-f]+|\d+))", 1), F.lit("")), F.regexp_extract(low, r"\b(?:r|e)?sp([+-](?:0x[0-9a-f]+|\d+))", 1)), F.lit(""))
-    size = hex_or_decimal(F.substring(signed, 2, 64))
-    named = F.nullif(F.regexp_extract(low, r"(?:local|stack|austack|acstack|aistack)_([0-9a-f]+)", 1), F.lit(""))
-    return F.coalesce(F.when(signed.startswith("-"), -size).otherwise(size), -hex_or_decimal(F.concat(F.lit("0x"), named)))
+    filled = lambda c: once(c, lambda v: F.nullif(v, F.lit("")))
+    signed = F.coalesce(filled(F.regexp_extract(low, r"\b(?:r|e)?bp([+-](?:0x[0-9a-f]+|\d+))", 1)), filled(F.regexp_extract(low, r"\b(?:r|e)?sp([+-](?:0x[0-9a-f]+|\d+))", 1)))
+    named = filled(F.regexp_extract(low, r"(?:local|stack|austack|acstack|aistack)_([0-9a-f]+)", 1))
+    size = lambda v: hex_or_decimal(F.substring(v, 2, 64))
+    return F.coalesce(once(signed, lambda v: F.when(v.startswith("-"), -size(v)).otherwise(size(v))), -once(named, lambda v: hex_or_decimal(F.concat(F.lit("0x"), v))))
 
 
 def buffers(text: Column) -> Column:
@@ -171,13 +172,13 @@ def within_brackets(expr: Column) -> Column:
 def size_value(expr: Column, dst: Column, dst_size: Column) -> Column:
     """Value of a size expression that is a signed sum of numbers, sizeof(dst) being dst_size; else, or below 0, null. Casts
     before it and parentheses around it do not matter."""
-    e = within_brackets(expr)
-    known = F.when((dst != "") & (dst_size > 0), F.regexp_replace(e, F.concat(F.lit(r"(?i)\bsizeof\s*(?:\(\s*&?\s*"), dst, F.lit(r"\s*\)|\s+"), dst, F.lit(r"\b)")), dst_size.cast("string"))).otherwise(e)
-    bare = F.regexp_replace(known, r"\s+", "")
-    terms = F.regexp_extract_all(bare, F.lit(r"[+-]?(?:0[xX][0-9a-fA-F]+|\d+)"), F.lit(0))
-    value = lambda t: F.when(t.startswith("-"), -hex_or_decimal(F.regexp_replace(t, "^[+-]", ""))).otherwise(hex_or_decimal(F.regexp_replace(t, "^[+-]", "")))
-    total = F.aggregate(F.transform(terms, value), F.lit(0).cast("long"), lambda a, x: a + x)
-    return F.when(bare.rlike(C.SUM) & (total >= 0), total)
+    sized = lambda e: F.when((dst != "") & (dst_size > 0), F.regexp_replace(e, F.concat(F.lit(r"(?i)\bsizeof\s*(?:\(\s*&?\s*"), dst, F.lit(r"\s*\)|\s+"), dst, F.lit(r"\b)")), dst_size.cast("string"))).otherwise(e)
+    number = lambda t: hex_or_decimal(F.regexp_replace(t, "^[+-]", ""))
+    value = lambda t: F.when(t.startswith("-"), -number(t)).otherwise(number(t))
+    terms = lambda bare: F.regexp_extract_all(bare, F.lit(r"[+-]?(?:0[xX][0-9a-fA-F]+|\d+)"), F.lit(0))
+    total = lambda bare: F.aggregate(F.transform(terms(bare), value), F.lit(0).cast("long"), lambda a, x: a + x)
+    bare = F.regexp_replace(once(within_brackets(expr), sized), r"\s+", "")
+    return once(bare, lambda b: F.when(b.rlike(C.SUM), once(total(b), lambda t: F.when(t >= 0, t))))
 
 
 def window(ls: Column, at: Column, before: int) -> Column:

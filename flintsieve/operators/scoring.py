@@ -21,7 +21,8 @@ def call_sites(functions: DataFrame, keep: list[str] | None = None) -> DataFrame
     """
     known = sorted({*C.DANGEROUS, *C.BOUNDED, *C.INPUT, *C.LENGTH, *C.INIT})
     df = functions.select("fn", "function", "params", T.buffers(F.col("text")).alias("buffers"), T.lines(F.col("text")).alias("ls"))
-    df = df.select("*", F.posexplode("ls").alias("line_index", "line")).where(F.col("line").rlike(C.CALL))
+    # Outer, as the filter of empty lists that Spark adds else would make all texts where the file is read, by few tasks.
+    df = df.select("*", F.posexplode_outer("ls").alias("line_index", "line")).where(F.col("line").rlike(C.CALL))
     df = df.withColumn("api", T.symbol(F.regexp_extract("line", C.CALL, 1))).where(T.in_list(F.col("api"), known))
     df = df.withColumn("args", T.arguments(F.regexp_extract("line", C.CALL, 2)))
     places = {"dst_arg": 0, "src_arg": 1, "size_arg": 2}

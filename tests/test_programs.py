@@ -101,3 +101,11 @@ def test_documents_are_made_by_all_tasks(spark, monkeypatch):
     monkeypatch.setattr(program_queries.features, "program_features", lambda programs, ids: seen.append(programs) or programs)
     program_queries.program_features(spark, "/root/testdata/sf0.001")
     assert seen[0].select(F.spark_partition_id()).distinct().count() == 4
+
+
+def test_texts_of_calls_are_made_after_parts_are_dealt_out(spark):
+    from flintsieve.plans import feature_queries
+
+    plan = feature_queries.static_score(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Repartition ", 1)
+    assert "void fn_" in above and "void fn_" not in below
