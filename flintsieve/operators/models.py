@@ -6,11 +6,14 @@ other libraries, and are compared by their range only.
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flintsieve.operators import metrics
@@ -38,9 +41,18 @@ def base_models(n_rows: int, trees: int = TREES, rounds: int = 450) -> dict[str,
     }
 
 
+def checkpoints(spark: SparkSession) -> None:
+    """Lets boosting cut its lineage, as each round's errors follow from the round's before: without a folder every task of a
+    round names all rounds. Where none is set, and Spark runs in one process, it is a folder of our own."""
+    context, named = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
+    if not context.getCheckpointDir() and (named or re.match(r"local($|\[)", context.master)):
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="flintsieve-"))
+
+
 def train(df: DataFrame, features: list[str], name: str, label: str = "label", **size: int) -> PipelineModel:
     """One base model with its assembler (and scaler), trained on balanced rows."""
     df = balanced(df.withColumn("label", F.col(label).cast("double")))
+    checkpoints(df.sparkSession)
     stages = [VectorAssembler(inputCols=features, outputCol="raw" if name == "LogisticRegression" else "features", handleInvalid="error")]
     if name == "LogisticRegression":
         stages.append(StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True))

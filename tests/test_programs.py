@@ -109,3 +109,9 @@ def test_texts_of_calls_are_made_after_parts_are_dealt_out(spark):
     plan = feature_queries.static_score(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     above, below = plan.split("Repartition ", 1)
     assert "void fn_" in above and "void fn_" not in below
+
+
+def test_training_cuts_the_lineage_of_rounds(spark):
+    df = spark.range(40).select((F.col("id") % 5).cast("double").alias("a"), (F.col("id") % 2).cast("int").alias("y"))
+    models.train(df, ["a"], "XGBoost", "y", rounds=2)
+    assert spark.sparkContext.getCheckpointDir()
