@@ -1,8 +1,9 @@
 """Forests grown level by level: random forests with bootstraps balanced tree by tree, and extremely random trees.
 
-Rows are cut into bins once and stay where they are. While a node has more rows than LOCAL, each task adds up counts by
-node, feature and bin for several trees in one pass, and one row for each node and task is shuffled to find its split. Nodes
-with fewer rows are sent to one task each, which grows all that is below them. Which rows a tree draws, which features a node
+Rows are cut into bins once and go to the task of their cell, which is all rows with the same bins: a tree needs no more of a
+cell than how often it draws either label there. While a node may have more cells than a task holds (LOCAL), each task adds up
+counts by node, feature and bin for several trees in one pass, and one row for each node and task is shuffled to find its split.
+Smaller nodes, whole trees where cells are few, are sent to one task each, which grows all that is below them. Which rows a tree draws, which features a node
 looks at and where a random cut falls follow from hashes of the seed, the tree, the row and the node, so a task that is run
 again gives the same. There is no limit of depth but the caller's.
 """
@@ -21,8 +22,9 @@ from pyspark.sql import functions as F
 
 from flintsieve.operators.vectorize import finite
 
-#: Rows from which a node is split by all tasks together; bytes of counts that a task holds in one pass, about; rows of a chunk.
-LOCAL, PASS_BYTES, CHUNK = 16_384, 64 << 20, 8192
+#: Bytes of bins, and cells at least and at most, from which a node is split by all tasks together; bytes of counts that a task
+#: holds in one pass, about; rows of a chunk, and of a chunk of cells.
+LOCAL, PASS_BYTES, CHUNK, CELLS = (64 << 20, 16_384, 1 << 20), 64 << 20, 8192, 65_536
 #: How often a row is drawn into a bootstrap: the distribution of a count of mean 1.
 _DRAWN = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
 
@@ -64,7 +66,7 @@ class Rule:
 
 def splits(rows, tree: np.ndarray, node: np.ndarray, own: np.ndarray, edges: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(feature, cut, gain) for each node; feature -1 where none can be split. rows(which, feature) gives the rows of nodes
-    (places) with one feature of each: the node's place in which, the bin, how often it counts for either label. own: weights of
+    (places) with one feature of each: the node's place in which, the bin, how often it counts for either label (a line for each). own: weights of
     the labels. Counts are whole numbers, so gains do not depend on the order of the rows."""
     n, k = len(node), len(edges)
     order = np.argsort(np.stack([_hash(rule.seed, tree, node, f) for f in range(k)], axis=1), axis=1, kind="stable")
@@ -79,12 +81,12 @@ def splits(rows, tree: np.ndarray, node: np.ndarray, own: np.ndarray, edges: np.
         of, x, w = rows(look, f)
         code, span = of * bins + x, len(look) * bins
         if span <= 4 * len(code):
-            h = np.stack([np.bincount(code, w[:, y], span) for y in (0, 1)], axis=1).astype(np.int64)
+            h = np.stack([np.bincount(code, w[y], span) for y in (0, 1)], axis=1).astype(np.int64)
             code = np.flatnonzero(h.any(axis=1))
             of, x, sums = code // bins, code % bins, np.cumsum(h[code], axis=0)
         else:
             by = np.argsort(code)
-            code, of, x, sums = code[by], of[by], x[by].astype(np.int64), np.cumsum(w[by], axis=0)
+            code, of, x, sums = code[by], of[by], x[by].astype(np.int64), np.cumsum(w[:, by].T, axis=0)
         # A cut lies behind the last row of a bin, if the node has more.
         at = np.flatnonzero((code[1:] != code[:-1]) & (of[1:] == of[:-1]))
         first = np.searchsorted(of, np.arange(len(look)))
@@ -125,10 +127,11 @@ def _child(node: np.ndarray, side: int) -> np.ndarray:
 def grow(x: np.ndarray, w: np.ndarray, own: np.ndarray, tree: int, node: int, level: int, edges: np.ndarray, rule: Rule) -> tuple[np.ndarray, ...]:
     """(feature, cut, left, weights of both labels, gain) of the nodes below one node, itself first; the right child follows the
     left. All nodes of a level are split at once. w: how often each row counts for either label; own: the labels' weights."""
-    ids, place = np.array([node]), np.zeros(len(x), np.int64)
+    ids, k = np.array([node]), x.shape[1]
     out_f, out_c, out_l, out_w, out_g = [], [], [], [], []
-    first = 0
-    rows = np.arange(len(x))
+    # Rows that are in a node of this level, where each begins in all bins, its node, and how often it counts.
+    flat, first = x.ravel(), 0
+    begin, at, held = np.arange(len(x)) * k, np.zeros(len(x), np.int64), np.ascontiguousarray(w.T, np.float64)
     now = w.sum(axis=0)[None]
     while True:
         n = len(ids)
@@ -138,19 +141,21 @@ def grow(x: np.ndarray, w: np.ndarray, own: np.ndarray, tree: int, node: int, le
         f, c, g = np.full(n, -1), np.zeros(n, np.int64), np.zeros(n)
         if can.any():
             open_ = np.flatnonzero(can)
-            of = np.full(n, -1)
-            of[open_] = np.arange(len(open_))
-            rows = rows[of[place[rows]] >= 0]
-            at = of[place[rows]]
-
-            def held(which: np.ndarray, features: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            if len(open_) < n:
+                stay = np.flatnonzero(can[at])
+                begin, at, held = begin[stay], at[stay], held[:, stay]
+            place = (np.cumsum(can) - 1)[at]
+
+            def rows(which: np.ndarray, features: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                if len(which) == len(open_):  # noqa: B023
+                    return place, flat[begin + features[place]], held  # noqa: B023
                 chosen = np.full(len(open_), -1)  # noqa: B023
                 chosen[which] = np.arange(len(which))
-                k = chosen[at]  # noqa: B023
-                r, k = (rows, k) if len(which) == len(open_) else (rows[k >= 0], k[k >= 0])  # noqa: B023
-                return k, x[r, features[k]], w[r]
+                some = np.flatnonzero(chosen[place] >= 0)  # noqa: B023
+                of = chosen[place[some]]  # noqa: B023
+                return of, flat[begin[some] + features[of]], held[:, some]  # noqa: B023
 
-            f[open_], c[open_], g[open_] = splits(held, np.full(len(open_), tree), ids[open_], own, edges, rule)
+            f[open_], c[open_], g[open_] = splits(rows, np.full(len(open_), tree), ids[open_], own, edges, rule)
         split = np.flatnonzero(f >= 0)
         child = np.full(n, -1)
         child[split] = first + n + 2 * np.arange(len(split))
@@ -158,12 +163,13 @@ def grow(x: np.ndarray, w: np.ndarray, own: np.ndarray, tree: int, node: int, le
             o.append(v)
         if not len(split):
             break
-        rows = rows[f[place[rows]] >= 0]
-        p = place[rows]
-        right = x[rows, f[p]] > c[p]
-        place[rows] = child[p] + right - (first + n)
+        if len(split) < n:
+            stay = np.flatnonzero(f[at] >= 0)
+            begin, at, held = begin[stay], at[stay], held[:, stay]
+        right = flat[begin + f[at]] > c[at]
+        at = (child - (first + n))[at] + right
         ids = np.stack([_child(ids[split], 0), _child(ids[split], 1)], axis=1).ravel()
-        now = np.stack([np.bincount(place[rows], w[rows, y], 2 * len(split)) for y in (0, 1)], axis=1).astype(np.int64)
+        now = np.stack([np.bincount(at, v, 2 * len(split)) for v in held], axis=1).astype(np.int64)
         first, level = first + n, level + 1
     return tuple(np.concatenate(o) for o in (out_f, out_c, out_l, out_w, out_g))
 
@@ -294,6 +300,59 @@ def chunked(df: DataFrame, features: list[str], label: str, key: list[str] | Non
     return rows.mapInArrow(run, "ids binary, y binary, x binary")
 
 
+def cells(df: DataFrame, features: list[str], label: str, key: list[str] | None, edges: np.ndarray) -> tuple[DataFrame, DataFrame, int]:
+    """(ids, y, sizes, x) of up to CELLS rows each: names and labels of rows in the order of their cells, the cells' numbers of
+    rows, and their bins; the rows that they are made of, which are kept until then; about how many cells there are. Rows of one
+    key draw alike."""
+    k = len(features)
+
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for ids, y, x in _opened(b, k):
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(y.astype(np.int8)), _cut(x, np.arange(1, len(y) + 1)) if k else pa.array([b""] * len(y), pa.binary())], names=["id", "y", "x"])
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n >= CELLS:
+                yield merged(held)
+                held, n = [], 0
+        if n:
+            yield merged(held)
+
+    def merged(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        ids, y = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("id", "y"))
+        x = np.frombuffer(b"".join(v for b in held for v in b.column("x").to_pylist()), np.uint16).reshape(len(y), k)
+        by = np.lexsort(x.T) if k else np.arange(len(y))
+        x = x[by]
+        first = np.append(0, np.flatnonzero((x[1:] != x[:-1]).any(axis=1)) + 1)
+        sizes = np.diff(np.append(first, len(y))).astype(np.int32)
+        parts = (ids[by], y[by].astype(np.uint8), sizes, np.ascontiguousarray(x[first]))
+        return pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in parts], names=["ids", "y", "sizes", "x"])
+
+    rows = chunked(df, features, label, key, edges).mapInArrow(apart, "id long, y byte, x binary").persist()
+    n, different = rows.agg(F.count("*"), F.approx_count_distinct("x", 0.02)).first()
+    # Cells of very many rows are dealt out in parts.
+    parts = max(1, min(64, n // (16 * max(1, different))))
+    dealt = rows.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "x", F.pmod("id", F.lit(parts)))
+    return dealt.mapInArrow(together, "ids binary, y binary, sizes binary, x binary").persist(), rows, different * parts
+
+
+def _cells(batch: pa.RecordBatch, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, place of the cell and label, cells' bins) of chunks of cells."""
+    for i, y, n, x in zip(*(batch.column(c) for c in ("ids", "y", "sizes", "x"))):
+        sizes = np.frombuffer(n.as_buffer(), np.int32)
+        of = np.repeat(2 * np.arange(len(sizes)), sizes) + np.frombuffer(y.as_buffer(), np.uint8)
+        yield np.frombuffer(i.as_buffer(), np.int64), of, np.frombuffer(x.as_buffer(), np.uint16).reshape(len(sizes), k)
+
+
+def _times(times: np.ndarray, of: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """How often each cell counts for either label."""
+    return np.bincount(of, times, 2 * len(x)).astype(np.int64).reshape(-1, 2)
+
+
 def _opened(batch: pa.RecordBatch, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     for i, y, x in zip(*(batch.column(c) for c in ("ids", "y", "x"))):
         yield np.frombuffer(i.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.uint8), np.frombuffer(x.as_buffer(), np.uint16).reshape(-1, k)
@@ -312,33 +371,37 @@ def _cut(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer((np.append(0, ends) * (data.nbytes // len(data))).astype(np.int32)), pa.py_buffer(data)])
 
 
-def fit_forest(df: DataFrame, features: list[str], label: str = "label", trees: int = 300, per_split: int | None = None, random: bool = False, bootstrap: bool = True, depth: int | None = None, bins: int = 64, seed: int = 42, key: list[str] | None = None, local: int = LOCAL, least: int = 1) -> Forest:
+def fit_forest(df: DataFrame, features: list[str], label: str = "label", trees: int = 300, per_split: int | None = None, random: bool = False, bootstrap: bool = True, depth: int | None = None, bins: int = 64, seed: int = 42, key: list[str] | None = None, local: int | None = None, least: int = 1) -> Forest:
     """A forest on rows with label 0 or 1; both classes weigh the same in each tree, counted in its own bootstrap.
 
     per_split: features at a node, the square root of all if None. random: extremely random trees. key: columns that name a
-    row, for the draw. local: rows from which a node is split by all tasks together. least: rows of a leaf."""
+    row, for the draw. local: cells from which a node is split by all tasks together, what LOCAL says if None. least: rows of a leaf."""
     rule = Rule(per_split or max(1, math.isqrt(len(features))), random, bootstrap, depth, seed, least)
     edges = bin_edges(df, features, bins)
     k, spark = len(features), df.sparkSession
-    chunks = chunked(df.where(F.col(label).isin(0, 1)), features, label, key, edges).persist()
+    chunks, rows, different = cells(df.where(F.col(label).isin(0, 1)), features, label, key, edges)
+    local = local or min(max(LOCAL[0] // (2 * max(1, k)), LOCAL[1]), LOCAL[2])
+    # About so many cells there are; no node has more of them.
+    alone = 1.1 * different <= local
     drawn = lambda t, ids: times_drawn(seed, t, ids) if bootstrap else np.ones(len(ids), np.int64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros((trees, 3), np.int64)
         for b in batches:
-            for ids, y, _ in _opened(b, k):
+            for ids, of, x in _cells(b, k):
                 for t in range(trees):
-                    d = drawn(t, ids)
-                    n[t] += (int(d[y == 0].sum()), int(d[y == 1].sum()), int((d > 0).sum()))
+                    w = _times(drawn(t, ids), of, x)
+                    n[t] += (*w.sum(axis=0), np.count_nonzero(w.any(axis=1)))
         yield pa.RecordBatch.from_arrays([pa.array(range(trees), pa.int32()), *[pa.array(c) for c in n.T]], names=["tree", "n0", "n1", "rows"])
 
     totals = chunks.mapInArrow(count, "tree int, n0 long, n1 long, rows long").groupBy("tree").agg(F.sum("n0"), F.sum("n1"), F.sum("rows")).collect()
+    rows.unpersist()
     of = {r[0]: r[1:] for r in totals}
     weight = np.array([[sum(of[t][:2]) / (2 * max(1, of[t][y])) for y in (0, 1)] for t in range(trees)]) if of else np.ones((trees, 2))
     grown = [Tree() for _ in range(trees)]
-    # Nodes that are open, by tree: place, name, level and rows.
-    large = [(t, 0, 1, 0) for t in range(trees) if of and of[t][2] > local]
-    small = [(t, 0, 1, 0) for t in range(trees) if of and 0 < of[t][2] <= local]
+    # Nodes that are open, by tree: place, name and level.
+    large = [(t, 0, 1, 0) for t in range(trees) if of and of[t][2] > local and not alone]
+    small = [(t, 0, 1, 0) for t in range(trees) if of and of[t][2] > 0 and (alone or of[t][2] <= local)]
     each = 8 * 3 * k * bins
     while large:
         take, large = large[: max(1, PASS_BYTES // each)], large[max(1, PASS_BYTES // each) :]
@@ -374,17 +437,17 @@ def _split_pass(spark, chunks: DataFrame, take: list[tuple], grown: list[Tree],
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = sent.value
         of = {t: _places(trees[t], p) for t, p in nodes.items()}
-        # How often rows count for a label by node, feature and bin, and from the 33rd bit how many these are.
+        # How often rows count for a label by node, feature and bin, and from the 33rd bit how many cells these are.
         sums = np.zeros(len(take) * k * bins * 2, np.int64)
         for b in batches:
-            for ids, y, x in _opened(b, k):
+            for ids, of_, x in _cells(b, k):
                 for t, places in nodes.items():
-                    times, at = drawn(t, ids), of[t][trees[t].leaf(x)]
-                    here = np.flatnonzero((at >= 0) & (times > 0))
+                    w, at = _times(drawn(t, ids), of_, x), of[t][trees[t].leaf(x)]
+                    here = np.flatnonzero((at >= 0) & w.any(axis=1))
                     # A tree's nodes stand beside each other, from the first one's place.
                     first = min(places.values())
-                    code = ((((at[here] - first)[:, None] * k + np.arange(k)) * bins + x[here]) * 2 + y[here, None]).ravel()
-                    value, own = np.repeat(times[here] + (1 << 32), k), sums[first * k * bins * 2 : (first + len(places)) * k * bins * 2]
+                    code = ((((at[here] - first)[:, None] * k + np.arange(k)) * bins + x[here])[:, :, None] * 2 + np.arange(2)).ravel()
+                    value, own = np.repeat(w[here] + [1 << 32, 0], k, axis=0).ravel(), sums[first * k * bins * 2 : (first + len(places)) * k * bins * 2]
                     if len(own) <= 4 * len(code):
                         own += np.bincount(code, value, len(own)).astype(np.int64)
                     else:
@@ -398,7 +461,7 @@ def _split_pass(spark, chunks: DataFrame, take: list[tuple], grown: list[Tree],
         h = sum(np.frombuffer(s.as_buffer(), np.int64) for s in parts.column("sums")).reshape(k, bins, 3)
         t, _, node, _ = take[place]
         # The bins with rows stand for rows.
-        held = lambda _, f: (np.zeros(len(b := np.flatnonzero(h[f[0], :, 2])), np.int64), b, h[f[0], b, :2])
+        held = lambda _, f: (np.zeros(len(b := np.flatnonzero(h[f[0], :, 2])), np.int64), b, h[f[0], b, :2].T)
         f, c, g = (v[0] for v in splits(held, np.array([t]), np.array([node]), weight[t], edges, rule))
         side = h[max(f, 0)]
         low, high = side[: c + 1].sum(axis=0), side[c + 1 :].sum(axis=0)
@@ -409,10 +472,10 @@ def _split_pass(spark, chunks: DataFrame, take: list[tuple], grown: list[Tree],
 
 
 def _grown_pass(spark, chunks: DataFrame, small: list[tuple], grown: list[Tree], weight: np.ndarray, drawn, edges: np.ndarray, rule: Rule) -> Iterator[tuple]:
-    """All that is below nodes of at most LOCAL rows, each grown by one task from its rows."""
+    """All that is below small nodes, each grown by one task from its cells."""
     if not small:
         return
-    k = len(edges)
+    k, kind = len(edges), np.uint8 if edges.shape[1] < 256 else np.uint16
     sent = spark.sparkContext.broadcast((grown, weight))
     nodes: dict[int, dict[int, int]] = {}
     for place, (t, at, *_) in enumerate(small):
@@ -422,27 +485,28 @@ def _grown_pass(spark, chunks: DataFrame, small: list[tuple], grown: list[Tree],
         trees, _ = sent.value
         of = {t: _places(trees[t], p) for t, p in nodes.items()}
         for b in batches:
-            for ids, y, x in _opened(b, k):
+            for ids, of_, x in _cells(b, k):
                 for t in nodes:
-                    times = drawn(t, ids)
-                    at = np.where(times > 0, of[t][trees[t].leaf(x)], -1)
+                    w = _times(drawn(t, ids), of_, x)
+                    at = np.where(w.any(axis=1), of[t][trees[t].leaf(x)], -1)
                     r = np.argsort(at, kind="stable")[np.count_nonzero(at < 0) :]
                     if len(r):
                         at = at[r]
                         ends = np.append(np.flatnonzero(at[1:] != at[:-1]) + 1, len(at))
-                        yield pa.RecordBatch.from_arrays([pa.array(at[ends - 1], pa.int32()), *[_cut(v[r], ends) for v in (times.astype(np.uint8), y, x)]], names=["place", "times", "y", "x"])
+                        yield pa.RecordBatch.from_arrays([pa.array(at[ends - 1], pa.int32()), _cut(w[r].astype(np.uint32), ends), _cut(x[r].astype(kind), ends)], names=["place", "times", "x"])
 
     def below(key: tuple[pa.Scalar, ...], parts: pa.Table) -> pa.Table:
         place = key[0].as_py()
         t, _, node, level = small[place]
         own = sent.value[1][t]
-        times, y, x = (np.frombuffer(b"".join(parts.column(c).to_pylist()), kind) for c, kind in (("times", np.uint8), ("y", np.uint8), ("x", np.uint16)))
-        w = times[:, None].astype(np.int64) * np.stack([y == 0, y == 1], axis=1)
-        f, c, left, weights, gain = grow(x.reshape(-1, k), w, own, t, node, level, edges, rule)
+        w, x = (np.frombuffer(b"".join(parts.column(c).to_pylist()), t) for c, t in (("times", np.uint32), ("x", kind)))
+        f, c, left, weights, gain = grow(x.reshape(-1, k), w.reshape(-1, 2).astype(np.int64), own, t, node, level, edges, rule)
         out = (f.astype(np.int32), c.astype(np.int32), left.astype(np.int32), weights, gain)
         return pa.table({"place": pa.array([place], pa.int32()), **{n: pa.array([v.tobytes()], pa.binary()) for n, v in zip("fclwg", out)}})
 
-    found = chunks.mapInArrow(deal, "place int, times binary, y binary, x binary").groupBy("place").applyInArrow(below, "place int, f binary, c binary, l binary, w binary, g binary")
+    # A task holds the nodes of its part one by one.
+    dealt = chunks.mapInArrow(deal, "place int, times binary, x binary").repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(len(small) // 4, 1000)), "place")
+    found = dealt.groupBy("place").applyInArrow(below, "place int, f binary, c binary, l binary, w binary, g binary")
     # All tasks grow at once; the driver then fetches what they grew, part by part.
     found = found.persist(StorageLevel.DISK_ONLY)
     found.count()

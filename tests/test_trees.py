@@ -137,3 +137,14 @@ def test_scores_and_odd_input(spark):
     assert trees.fit_forest(odd, NAMES, trees=2).score(odd).where("p BETWEEN 0 AND 1").count() == len(y)
     deep = trees.fit_forest(df, NAMES, trees=1, depth=1, key=["id"]).trees[0]
     assert len(deep.feature) == 3
+
+
+def test_copies_of_few_rows_need_no_pass_by_all_tasks(spark, monkeypatch):
+    """A tree needs no more of equal rows than how often it draws them: it is grown by one task, however many they are."""
+    few = spark.range(60).select((F.col("id") % 10).cast("double").alias("a"), F.floor(F.col("id") / 10).cast("double").alias("b"), (F.hash("id") % 2 == 0).cast("int").alias("label"))
+    df = few.crossJoin(spark.range(100).withColumnRenamed("id", "copy"))
+    want = trees.fit_forest(df, ["a", "b"], trees=3, key=["a", "b", "copy"], local=10)
+    monkeypatch.delattr(trees, "_split_pass")
+    found = trees.fit_forest(df, ["a", "b"], trees=3, key=["a", "b", "copy"], local=1000)
+    x = np.array([(a, b) for a in range(10) for b in range(6)])
+    assert found.probabilities(x) == pytest.approx(want.probabilities(x)) and len({len(t.feature) for t in found.trees}) > 1
