@@ -64,3 +64,22 @@ def test_learns_and_odd_input(spark):
     one = boosting.fit_boosted(df.where("label = 1"), ["x"], rounds=2)
     assert not one.trees and {r["p"] for r in one.score(df.limit(3)).collect()} == {1.0}
     assert boosting.fit_boosted(df.where("false"), ["x"], rounds=2).score(df.limit(3)).where("p = 0.5").count() == 3
+
+
+def test_few_jobs_for_each_round_and_pairs_give_the_same_trees(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(900, 4)).round(1)
+    y = (x[:, 0] * x[:, 1] + x[:, 2] > rng.normal(size=900) * 0.5).astype(int)
+    df = spark.createDataFrame([(i, int(t), *map(float, r)) for i, (t, r) in enumerate(zip(y, x))], "id long, label int, a double, b double, c double, d double")
+    rule, jobs, models = boosting.Boost(step=0.3, least=0.1), [], []
+    for rounds in (2, 6):
+        group = f"boosting {rounds}"
+        spark.sparkContext.setJobGroup(group, group)
+        models.append(boosting.fit_boosted(df, list("abcd"), rounds=rounds, rule=rule, bins=16, key=["id"]))
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)))
+    spark.sparkContext.setJobGroup("", "")
+    # Five levels of a tree are three jobs.
+    assert jobs[1] - jobs[0] <= 4 * 3 and max(len(t.feature) for t in models[1].trees) > 31
+    monkeypatch.setattr(boosting, "SENT_BYTES", 0)
+    alone = boosting.fit_boosted(df, list("abcd"), rounds=6, rule=rule, bins=16, key=["id"])
+    assert [[getattr(t, n).tolist() for n in ("feature", "cut", "left", "weights")] for t in alone.trees] == [[getattr(t, n).tolist() for n in ("feature", "cut", "left", "weights")] for t in models[1].trees]
